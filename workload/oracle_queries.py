@@ -1,0 +1,407 @@
+"""SQL for the registered queries, written independently of the Spark code."""
+
+from __future__ import annotations
+
+# ---- the corpus -----------------------------------------------------------------------------
+
+DOCS = """
+docs AS (
+  SELECT doc_id, source AS root, text, strlen(text) AS length, ext,
+         source || '/' || lang || '/' || doc_id || raw_ext AS path,
+         lang || '/' || doc_id || raw_ext AS below,
+         CASE ext WHEN '.docx' THEN 'docx' WHEN '.xyz' THEN NULL ELSE 'text' END AS kind
+  FROM (SELECT *, lower(raw_ext) AS ext
+        FROM (SELECT *, ['.txt', '.md', '.PY', '.csv', '.log', '.xyz', '.docx'][doc_id % 7 + 1]
+                        AS raw_ext
+              FROM documents))
+)"""
+
+# Globs spelled as anchored patterns over the path below the root.
+ANY = "TRUE"
+TXT = "ends_with(below, '.txt')"
+MD = "ends_with(below, '.md')"
+EN = "starts_with(below, 'en/')"
+PY = "ends_with(below, '.py')"
+GLOBS = [TXT, MD, EN, PY]
+
+
+def chosen(conditions: list[str], max_bytes: int = 10485760) -> str:
+    """``chosen``: one row per (glob, path) with the skip reason, sizes tested first."""
+    cases = " UNION ALL ".join(
+        f"SELECT {i} AS pattern_idx, * FROM docs WHERE {c}" for i, c in enumerate(conditions)
+    )
+    return f"""{DOCS}, chosen AS (
+      SELECT *, CASE WHEN length > {max_bytes} THEN 'too_large'
+                     WHEN kind IS NULL THEN 'unsupported' END AS reason,
+             CASE WHEN length > {max_bytes} THEN 'File too large: ' || path
+                  WHEN kind IS NULL THEN 'Unsupported file type: ' || path END AS message
+      FROM ({cases}))"""
+
+
+def listed(conditions: list[str], max_bytes: int = 10485760, max_files: int | None = None) -> str:
+    """``files`` (with occurrence numbers) and ``skips``, cut at ``max_files``."""
+    head = chosen(conditions, max_bytes)
+    if max_files is None:
+        return f"""{head}, files AS (
+          SELECT *, row_number() OVER (PARTITION BY path ORDER BY pattern_idx) AS occurrence
+          FROM chosen WHERE reason IS NULL),
+        skips AS (SELECT 0 AS phase, pattern_idx, path, reason, message
+                  FROM chosen WHERE reason IS NOT NULL)"""
+    return f"""{head}, ranked AS (
+      SELECT *, count(*) FILTER (WHERE reason IS NULL) OVER (
+                  ORDER BY pattern_idx, path ROWS UNBOUNDED PRECEDING) AS so_far
+      FROM chosen),
+    kept AS (SELECT *, so_far - (CASE WHEN reason IS NULL THEN 1 ELSE 0 END) AS earlier
+             FROM ranked),
+    files AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pattern_idx) AS occurrence
+              FROM kept WHERE reason IS NULL AND earlier < {max_files}),
+    skips AS (
+      SELECT 0 AS phase, pattern_idx, path, reason, message
+      FROM kept WHERE reason IS NOT NULL AND earlier < {max_files}
+      UNION ALL
+      SELECT 1, min(pattern_idx), '', 'max_files', 'Reached max_files limit ({max_files})'
+      FROM kept
+      WHERE earlier >= {max_files} AND pattern_idx = (SELECT max(pattern_idx) FROM files)
+      HAVING count(*) > 0)"""
+
+
+def line_source(table: str, text: str = "text") -> str:
+    """``lined`` (``L``: all lines) and ``numbered`` (``line``, ``n``)."""
+    return f"""pieces AS (SELECT *, string_split({text}, chr(10)) AS a FROM {table}),
+    lined AS (SELECT *, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS L FROM pieces),
+    numbered AS (SELECT *, unnest(L) AS line, generate_subscripts(L, 1) AS n FROM lined)"""
+
+
+def snippet(context: int | str = 2) -> str:
+    return (
+        f"array_to_string(L[greatest(1, n - {context}):least(len(L), n + {context})], chr(10))"
+    )
+
+
+LOCATION = "CASE kind WHEN 'docx' THEN 'paragraph ' || n ELSE n::VARCHAR END"
+
+
+def matches(condition: str, head: str, context: int = 2, limit: int | None = None) -> str:
+    """``found``: matches, cut at ``limit`` in scan order, with their place in result order."""
+    cut = f"ORDER BY path, occurrence, n LIMIT {limit}" if limit else ""
+    return f"""WITH {head}, {line_source("files")}, scanned AS (
+      SELECT path AS file_path, {LOCATION} AS location, {snippet(context)} AS snippet,
+             n::INT AS line_number, kind <> 'text' AS is_doc, occurrence
+      FROM numbered WHERE {condition} {cut}),
+    found AS (
+      SELECT *, row_number() OVER (
+        ORDER BY file_path, CASE WHEN NOT is_doc THEN line_number END,
+                 CASE WHEN is_doc THEN location END, occurrence) AS i
+      FROM scanned)"""
+
+
+def literal(word: str) -> str:
+    return f"contains(lower(line), '{word}')"
+
+
+ALL = listed([ANY])
+MATCH = "SELECT file_path, location, snippet, line_number FROM found"
+
+# ---- redaction ------------------------------------------------------------------------------
+
+# Fixed values, as in the library.
+SECRETS = [
+    r"""(api[_-]?key["'\s]*[:=]["'\s]*[a-zA-Z0-9_-]{20,})""",
+    r"""(sk-[a-zA-Z0-9_-]{20,})""",
+    r"""(AIza[a-zA-Z0-9_-]{35})""",
+    r"""(password["'\s]*[:=]["'\s]*[^\s]{8,})""",
+    r"""(pwd["'\s]*[:=]["'\s]*[^\s]{6,})""",
+    r"""(token["'\s]*[:=]["'\s]*[a-zA-Z0-9_-]{20,})""",
+    r"""(bearer["'\s]+[a-zA-Z0-9_-]{20,})""",
+    r"""(mongodb://[^\s]+)""",
+    r"""(postgresql://[^\s]+)""",
+    r"""(mysql://[^\s]+)""",
+    r"""(AKIA[0-9A-Z]{16})""",
+    r"""-----BEGIN [A-Z]+ KEY-----""",
+    r"""-----BEGIN PRIVATE KEY-----""",
+]
+
+
+def redacted(column: str) -> str:
+    for pattern in SECRETS:
+        quoted = pattern.replace("'", "''")
+        column = f"regexp_replace({column}, '{quoted}', '[REDACTED]', 'gi')"
+    return column
+
+
+# ---- coverage, answers, reports -------------------------------------------------------------
+
+
+def coverage(
+    limit: int | None, max_files: int | None, roots: str, globs: list[str], context: int = 2
+) -> str:
+    """``report``: the one-row coverage report over ``found``, ``files`` and ``skips``."""
+    limits = [f"max_files={max_files}"] if max_files else []
+    limits += [f"max_matches={limit}"] if limit else []
+    limits.append(f"context_lines={context}")
+    truncated = f"(SELECT count(*) FROM found) >= {limit}" if limit else "FALSE"
+    files_truncated = f"(SELECT count(*) FROM files) >= {max_files}" if max_files else "FALSE"
+    return f"""report AS (SELECT
+      '{roots}' AS roots, '{"|".join(globs)}' AS globs,
+      (SELECT count(*) FROM files) AS scanned_files,
+      {files_truncated} AS files_truncated,
+      (SELECT count(DISTINCT (file_path, occurrence)) FROM found) AS matched_files,
+      (SELECT count(DISTINCT file_path) FROM found) AS cited_files,
+      (SELECT count(*) FROM found) AS total_matches,
+      {truncated} AS truncated,
+      (SELECT count(*) FROM skips) AS skipped_total,
+      (SELECT coalesce(string_agg(message, '|' ORDER BY phase, pattern_idx, path), '')
+       FROM (SELECT * FROM skips ORDER BY phase, pattern_idx, path LIMIT 10)) AS skipped_files,
+      0::BIGINT AS errors_total, '' AS errors,
+      '{"|".join(limits)}' AS limits_applied)"""
+
+
+def graded(source: str) -> str:
+    share = "(matched_files / greatest(scanned_files, 1))"
+    level = (
+        f"CASE WHEN total_matches >= 10 AND {share} >= 0.1 THEN 'high' "
+        f"WHEN total_matches >= 3 AND {share} >= 0.05 THEN 'medium' ELSE 'low' END"
+    )
+    return f"""SELECT *, CASE
+        WHEN total_matches = 0 THEN 'No matches found for the query'
+        WHEN confidence = 'low'
+          THEN 'Only ' || total_matches || ' matches found, results may be limited'
+        ELSE 'Found ' || total_matches || ' matches across ' || matched_files || ' files'
+      END AS reason
+      FROM (SELECT *, {level} AS confidence FROM {source})"""
+
+
+NL = "chr(10)"
+
+
+def bullets(column: str, before: str, after: str = "") -> str:
+    return (
+        f"(CASE WHEN {column} = '' THEN '' ELSE '{before}' || "
+        f"replace({column}, '|', '{after}' || {NL} || '{before}') || '{after}' || {NL} END)"
+    )
+
+
+SECTION = f"""rtrim('### Coverage Report' || {NL} || '**Search Scope:**' || {NL}
+  || {bullets("roots", "- Root: `", "`")} || {bullets("globs", "- Pattern: `", "`")}
+  || '**Statistics:**' || {NL}
+  || '- Files scanned: ' || format('{{:,}}', scanned_files) || {NL}
+  || '- Files with matches: ' || format('{{:,}}', matched_files) || {NL}
+  || (CASE WHEN limits_applied = '' THEN '' ELSE '**Limits Applied:**' || {NL} END)
+  || {bullets("replace(limits_applied, '=', ': ')", "- ")}
+  || (CASE WHEN skipped_total > 0
+      THEN '**Skipped Files:** (' || skipped_total || ' total)' || {NL} ELSE '' END)
+  || {bullets("skipped_files", "- ")}
+  || (CASE WHEN skipped_total > 10
+      THEN '- ... and ' || (skipped_total - 10) || ' more' || {NL} ELSE '' END), {NL})"""
+
+
+def answer(question: str, text: str = "snippet") -> str:
+    point = rf"regexp_replace(string_split({text}, {NL})[1], '^\s+|\s+$', '', 'g')"
+    return f"""answered AS (SELECT CASE WHEN total = 0
+        THEN 'No information found to answer: {question}'
+        ELSE 'Found ' || total || ' relevant matches across ' || files || ' file'
+             || (CASE WHEN files <> 1 THEN 's' ELSE '' END) || '. Key information includes:'
+             || coalesce(points, '') END AS answer
+      FROM (SELECT count(*) AS total, count(DISTINCT file_path) AS files FROM found),
+           (SELECT string_agg({NL} || '- ' || point, '' ORDER BY i) AS points
+            FROM (SELECT i, {point} AS point FROM found WHERE i <= 3) WHERE point <> ''))"""
+
+
+def rendered(head: str, text: str = "snippet") -> str:
+    """The blocks of a report: header, matches, coverage, confidence."""
+    trimmed = rf"regexp_replace({text}, '\s+$', '')"
+    return f"""SELECT 0::BIGINT AS seq, {head} AS text
+      UNION ALL
+      SELECT i, '**' || i || '.** `' || file_path || ':' || location || '`' || {NL} || '```'
+             || {NL} || {trimmed} || {NL} || '```' || {NL} FROM found
+      UNION ALL SELECT 1000000000::BIGINT, {SECTION} FROM report
+      UNION ALL SELECT 1000000001::BIGINT, '### Confidence: ' || confidence || {NL} || reason
+                FROM ({graded("report")})"""
+
+
+REPORT_HEAD = listed([ANY], 65536)
+
+
+def _report(word: str) -> str:
+    return matches(literal(word), REPORT_HEAD, limit=30) + ", " + coverage(
+        30, None, "documents", ["*"]
+    )
+
+
+def _search_report(word: str) -> str:
+    head = f"""(SELECT '## Search Results' || {NL} || '**Query:** {word}' || {NL}
+      || '**Found:** ' || total_matches || ' matches' || {NL}
+      || (CASE WHEN truncated THEN '**Warning:** Results truncated due to limits' || {NL}
+          ELSE '' END) || {NL} || (CASE WHEN total_matches > 0 THEN '### Matches'
+          ELSE '### No matches found' || {NL} END) FROM report)"""
+    return _report(word) + " " + rendered(head)
+
+
+def _ask_report(word: str) -> str:
+    text = redacted("snippet")
+    head = f"""(SELECT '## Answer' || {NL} || answer || {NL} || {NL}
+      || (CASE WHEN total_matches > 0 THEN '### Citations'
+          ELSE '### No sources found' || {NL} END) FROM report, answered)"""
+    return _report(word) + ", " + answer(word, text) + " " + rendered(head, text)
+
+
+LIMITED = (
+    matches(literal("the"), listed([TXT, ANY], 8192, 170), limit=250)
+    + ", "
+    + coverage(250, 170, "documents", ["*.txt", "*"])
+)
+
+# ---- history --------------------------------------------------------------------------------
+
+HISTORY = """WITH history AS (
+  SELECT event_id AS seq, ts, event_type AS roots,
+         CASE WHEN event_type <> 'error' THEN user_id END AS scanned FROM events)"""
+
+LAST = (
+    HISTORY
+    + """, report AS (
+  SELECT roots, '*' AS globs, coalesce(scanned, 0) AS scanned_files, 1::BIGINT AS matched_files,
+         'Unsupported file type: ' || roots AS skipped_files, '' AS errors,
+         'max_files=5000' AS limits_applied, 1::BIGINT AS skipped_total, 0::BIGINT AS errors_total
+  FROM history ORDER BY seq DESC LIMIT 1)"""
+)
+
+CSV = f"""WITH {DOCS}, {line_source("docs")}, rows AS (
+  SELECT path, 0::BIGINT AS row_index, 2::BIGINT AS n_cells, 'line|length' AS cells FROM docs
+  UNION ALL
+  SELECT path, n::BIGINT, 2::BIGINT, line || '|' || length(line) FROM numbered
+  UNION ALL
+  SELECT path, len(L) + 1, 3::BIGINT, 'a' || {NL} || 'b||x' FROM lined)"""
+
+ORACLES: dict[str, str] = {
+    "search_literal_ci": f"{matches(literal('license'), ALL)} {MATCH}",
+    "search_literal_cs": matches("contains(line, 'license')", ALL) + f" {MATCH}",
+    "search_regex_ci": matches(r"regexp_matches(line, 'licen[sc]e|token\s*[:=]', 'i')", ALL)
+    + f" {MATCH}",
+    "search_regex_cs": matches("regexp_matches(line, '^Licen[sc]ed|[0-9]{12,}')", ALL)
+    + f" {MATCH}",
+    "search_globs": f"{matches(literal('license'), listed(GLOBS))} {MATCH}",
+    "search_turns": f"""WITH turns AS (
+        SELECT role || '/' || conv_id || '-' || turn || '.md' AS path, text FROM conversations),
+      {line_source("turns")}
+      SELECT path AS file_path, n::VARCHAR AS location, {snippet()} AS snippet,
+             n::INT AS line_number FROM numbered WHERE {literal("the")}""",
+    "search_pages": f"""WITH {line_source("pages", "html")}
+      SELECT 'web/' || page_id || '.txt' AS file_path, n::VARCHAR AS location,
+             {snippet(1)} AS snippet, n::INT AS line_number
+      FROM numbered WHERE {literal("track(")}""",
+    "search_context": f"""WITH {DOCS}, {line_source("docs")}
+      SELECT path, c::INT AS context, n::INT AS line_number, {snippet("c")} AS snippet
+      FROM numbered, (VALUES (0), (1), (3), (5)) v(c) WHERE {literal("license")}""",
+    "search_limit": f"{matches(literal('the'), ALL, limit=2000)} {MATCH}",
+    "result_order": f"""{matches(literal("the"), ALL, limit=1500)}
+      SELECT file_path, location, i::INT AS position FROM found""",
+    "location_label": f"""{matches(literal("license"), ALL)}
+      SELECT file_path, line_number, location, is_doc FROM found""",
+    "list_corpus": f"""WITH {listed(GLOBS)}
+      SELECT root, path, ext, length, pattern_idx, occurrence FROM files""",
+    "glob_filter": "WITH "
+    + chosen(
+        [
+            "regexp_matches(below, '[05][.]txt$')",
+            "regexp_matches(below, '^en/[^/]*[.]m.$')",
+            "regexp_matches(below, '/[^1-4/][^/]*[.]csv$')",
+            ANY,
+            ANY,
+        ]
+    )
+    + " SELECT path, pattern_idx FROM chosen",
+    "glob_union_all": f"""WITH {listed([TXT, TXT, ANY])}
+      SELECT path, count(*) AS times_listed, max(occurrence) AS last_occurrence
+      FROM files GROUP BY path""",
+    "supported_files": f"WITH {DOCS} SELECT path, ext, kind, kind IS NOT NULL AS supported FROM docs",
+    "size_cap": f"WITH {listed([ANY], 2048)} SELECT path, reason, message FROM skips",
+    "list_limit": f"""WITH {listed([TXT, ANY], max_files=170)}
+      SELECT pattern_idx, path, 'kept' AS outcome FROM files
+      UNION ALL SELECT pattern_idx, path, message FROM skips""",
+    "root_allowlist": f"""WITH {DOCS}
+      SELECT path, 'listed' AS outcome FROM docs
+      WHERE root IN ('src1', 'src2') AND kind IS NOT NULL
+      UNION ALL
+      SELECT path, 'Root directory not allowed: ' || root FROM docs
+      WHERE root NOT IN ('src1', 'src2')""",
+    "skip_report": f"""WITH {listed(GLOBS, 4096)}
+      SELECT reason, count(*) AS skipped FROM skips GROUP BY reason""",
+    "lines": f"""WITH {line_source("documents")}
+      SELECT doc_id, n::INT AS line_number, line FROM numbered""",
+    "read_text": f"""WITH {DOCS}
+      SELECT path, text || chr(65533) || {NL} AS text, NULL::VARCHAR AS error FROM docs""",
+    "extract_docx": f"WITH {DOCS} SELECT path, text, NULL::VARCHAR AS error FROM docs",
+    "extract_documents": f"""WITH {DOCS}
+      SELECT path, 'docx' AS kind, text, NULL::VARCHAR AS error FROM docs WHERE ext = '.docx'
+      UNION ALL SELECT path, 'docx', NULL,
+        'Skipped DOCX: Failed to extract DOCX text: File is not a zip file'
+      FROM docs WHERE ext = '.xyz'
+      UNION ALL SELECT path, 'pdf', NULL, 'Skipped PDF: PDF decoder not available'
+      FROM docs WHERE ext = '.md'""",
+    "read_csv_rows": f"{CSV} SELECT *, NULL::VARCHAR AS error FROM rows",
+    "csv_limits": f"""{CSV}
+      SELECT path, 'line|length' AS columns, least(count(*), 10) AS n_rows,
+             count(*) >= 10 AS truncated, least(count(*), 11) AS total_rows_found
+      FROM rows GROUP BY path""",
+    "redact_text": f"SELECT doc_id, {redacted('text')} AS text FROM documents",
+    "ask_matches": f"""{matches(literal("token"), ALL)}
+      SELECT file_path, location, {redacted("snippet")} AS snippet, NULL::INT AS line_number
+      FROM found""",
+    "display_path": f"""WITH {DOCS}
+      SELECT path, CASE WHEN starts_with(path, 'src1') THEN ltrim(substr(path, 5), '/')
+                        ELSE path END AS shown FROM docs""",
+    "corpus_estimate": f"""WITH {DOCS}
+      SELECT root, count(*) * (1048576 + 1024) AS estimate_default,
+             count(*) * (floor(avg(length))::BIGINT + 1024) AS estimate
+      FROM docs GROUP BY root""",
+    "validate_queries": """WITH q AS (
+        SELECT item_id, CASE item_id % 6 WHEN 0 THEN '**' || text || '**' WHEN 1 THEN text || '+++'
+          WHEN 2 THEN text || '*{1000,}' WHEN 3 THEN text || '(.*){50,}'
+          WHEN 4 THEN repeat(text, 6) ELSE text END AS query FROM benchmark),
+      checked AS (SELECT *, regexp_matches(query, '\\*\\*.*\\*\\*')
+          OR regexp_matches(query, '\\+\\+\\+') OR contains(query, '*{1000,}')
+          OR contains(query, '(.*){50,}') AS bad FROM q)
+      SELECT item_id, NOT bad AS valid,
+        CASE WHEN length(query) > 1000 THEN 'Query is very long, may impact performance'
+             ELSE '' END AS warnings,
+        CASE WHEN bad THEN 'Query contains potentially dangerous regex pattern'
+             ELSE '' END AS errors FROM checked""",
+    "json_required_keys": """SELECT event_id, event_type = 'click' AS valid,
+      CASE event_type WHEN 'error' THEN 'Document invalid JSON' WHEN 'click' THEN NULL
+           ELSE 'Document invalid. Missing: user' END AS message FROM events""",
+    "coverage": matches(literal("license"), listed(GLOBS, 8192), limit=2000)
+    + ", "
+    + coverage(2000, None, "documents", ["**/*.txt", "*.md", "en/**", "*.py"])
+    + " SELECT * FROM report",
+    "coverage_limited": f"{LIMITED} SELECT * FROM report",
+    "coverage_record": f"""{LIMITED} SELECT roots, globs, scanned_files, matched_files,
+      skipped_files, errors, limits_applied FROM report""",
+    "confidence": f"""WITH {ALL}, {line_source("files")}, hits AS (
+        SELECT root, path, count(*) FILTER (WHERE {literal("license")}) AS h
+        FROM numbered GROUP BY root, path),
+      per_root AS (SELECT root, sum(h)::BIGINT AS total_matches,
+        count(*) FILTER (WHERE h > 0) AS matched_files, count(*) AS scanned_files
+        FROM hits GROUP BY root)
+      {graded("per_root")}""",
+    "answer": f"""{matches(literal("token"), ALL, limit=2000)}, {answer("token", redacted("snippet"))}
+      SELECT answer FROM answered""",
+    "answer_none": f"""{matches(literal("no such phrase"), ALL)}, {answer("no such phrase")}
+      SELECT answer FROM answered""",
+    "render_search": _search_report("license"),
+    "render_ask": _ask_report("license"),
+    "ask_report": _ask_report("token"),
+    "render_coverage": f"{LIMITED} SELECT {SECTION} AS text FROM report",
+    "history_retention": f"""{HISTORY} SELECT seq, roots, scanned AS scanned_files
+      FROM history ORDER BY seq DESC LIMIT 50""",
+    "last_coverage": f"{LAST} SELECT * FROM report",
+    "sources_report": f"""{LAST} SELECT 0::BIGINT AS seq,
+      '## Last Search Coverage' || {NL} || {NL} || {SECTION} AS text FROM report""",
+    "history_summary": f"""{HISTORY}, top AS (
+        SELECT row_number() OVER (ORDER BY searches DESC, first)::INT AS rank, root, searches
+        FROM (SELECT roots AS root, count(*) AS searches, min(seq) AS first
+              FROM history GROUP BY roots) ORDER BY rank LIMIT 5)
+      SELECT (SELECT count(*) FROM history) AS total_searches,
+             (SELECT epoch_us(ts) FROM history ORDER BY seq DESC LIMIT 1) AS latest_search,
+             rank, root, searches FROM top""",
+}

@@ -1,0 +1,476 @@
+"""One registered query per operator. Names are matched by ``oracle_queries``."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linecite import UNLIMITED, Limits, list_corpus, search
+from linecite.functions import paths, predicates, validation
+from linecite.functions.lines import explode_lines, line_hits, with_lines
+from linecite.functions.redaction import redact
+from linecite.operators import coverage, history, matching, report
+from linecite.operators.answer import answer
+from linecite.operators.listing import classify, skip_report
+from linecite.plans import reports
+from linecite.sources.csv_rows import csv_rows, csv_summary
+from linecite.sources.documents import extract_documents, read_text
+from workload import corpora
+
+WHOLE = {"max_files": UNLIMITED, "max_matches": UNLIMITED}
+GLOBS = ["**/*.txt", "*.md", "en/**", "*.py"]
+ROOTS = ("documents",)
+
+# ---- search -------------------------------------------------------------------------------
+
+
+def search_literal_ci(spark, sf_dir):
+    return search(corpora.documents(spark, sf_dir), "license", **WHOLE).matches
+
+
+def search_literal_cs(spark, sf_dir):
+    return search(
+        corpora.documents(spark, sf_dir), "license", case_sensitive=True, **WHOLE
+    ).matches
+
+
+def search_regex_ci(spark, sf_dir):
+    return search(
+        corpora.documents(spark, sf_dir), r"licen[sc]e|token\s*[:=]", regex=True, **WHOLE
+    ).matches
+
+
+def search_regex_cs(spark, sf_dir):
+    return search(
+        corpora.documents(spark, sf_dir),
+        r"^Licen[sc]ed|[0-9]{12,}",
+        regex=True,
+        case_sensitive=True,
+        **WHOLE,
+    ).matches
+
+
+def search_globs(spark, sf_dir):
+    return search(corpora.documents(spark, sf_dir), "license", globs=GLOBS, **WHOLE).matches
+
+
+def search_turns(spark, sf_dir):
+    return search(corpora.turns(spark, sf_dir), "the", **WHOLE).matches
+
+
+def search_pages(spark, sf_dir):
+    return search(corpora.pages(spark, sf_dir), "track(", context_lines=1, **WHOLE).matches
+
+
+def search_context(spark, sf_dir):
+    """Context 0, 1, 3 and 5 in one pass over the text."""
+    matcher = predicates.LineMatcher("license")
+    corpus = corpora.documents(spark, sf_dir)
+    lined = with_lines(corpus.where(matcher.document(F.col("text"))))
+    by_context = [
+        F.struct(
+            F.lit(c).alias("context"), line_hits(F.col("lines"), matcher.line, c).alias("hits")
+        )
+        for c in (0, 1, 3, 5)
+    ]
+    return (
+        lined.select("path", F.inline(F.array(*by_context)))
+        .select("path", "context", F.inline("hits"))
+        .select("path", "context", "line_number", "snippet")
+    )
+
+
+def search_limit(spark, sf_dir):
+    return search(corpora.documents(spark, sf_dir), "the", max_files=UNLIMITED).matches
+
+
+def result_order(spark, sf_dir):
+    """The match limit, then the shown order; documents sort by location text."""
+    found = search(
+        corpora.documents(spark, sf_dir), "the", max_files=UNLIMITED, max_matches=1500
+    ).found
+    position = F.row_number().over(Window.orderBy(*matching.result_order()))
+    return found.select("file_path", "location", position.alias("position"))
+
+
+def location_label(spark, sf_dir):
+    found = search(corpora.documents(spark, sf_dir), "license", **WHOLE).found
+    return found.select("file_path", "line_number", "location", "is_doc")
+
+
+# ---- listing ------------------------------------------------------------------------------
+
+
+def list_corpus_query(spark, sf_dir):
+    listing = list_corpus(
+        corpora.documents(spark, sf_dir), GLOBS, Limits.of(max_files=UNLIMITED)
+    )
+    return listing.occurrences()
+
+
+def glob_filter(spark, sf_dir):
+    globs = ["*[05].txt", "en/*.m?", "**/[!1-4]*.csv", "*", "**"]
+    chosen = classify(corpora.documents(spark, sf_dir), globs, Limits())
+    return chosen.select("path", F.explode("patterns").alias("pattern_idx"))
+
+
+def glob_union_all(spark, sf_dir):
+    listing = list_corpus(
+        corpora.documents(spark, sf_dir),
+        ["*.txt", "**/*.txt", "*"],
+        Limits.of(max_files=UNLIMITED),
+    )
+    return (
+        listing.occurrences()
+        .groupBy("path")
+        .agg(F.count(F.lit(1)).alias("times_listed"), F.max("occurrence").alias("last_occurrence"))
+    )
+
+
+def supported_files(spark, sf_dir):
+    chosen = classify(corpora.documents(spark, sf_dir), ["*"], Limits())
+    return chosen.select(
+        "path", "ext", "kind", paths.is_supported(F.col("ext")).alias("supported")
+    )
+
+
+def size_cap(spark, sf_dir):
+    listing = list_corpus(
+        corpora.documents(spark, sf_dir),
+        None,
+        Limits.of(max_files=UNLIMITED, max_file_bytes=2048),
+    )
+    return listing.skips.select("path", "reason", "message")
+
+
+def list_limit(spark, sf_dir):
+    """A file limit that falls inside the second pattern: kept files and the notice."""
+    listing = list_corpus(corpora.documents(spark, sf_dir), ["*.txt", "*"], Limits(max_files=170))
+    kept = listing.occurrences().select("pattern_idx", "path", F.lit("kept").alias("outcome"))
+    passed = listing.skips.select("pattern_idx", "path", F.col("message").alias("outcome"))
+    return kept.unionByName(passed)
+
+
+def root_allowlist(spark, sf_dir):
+    corpus = corpora.documents(spark, sf_dir)
+    allowed = ["src1", "src2/", "src", "src7/en"]
+    listing = list_corpus(corpus, None, Limits.of(max_files=UNLIMITED), allowed)
+    kept = listing.occurrences().select("path", F.lit("listed").alias("outcome"))
+    refused = listing.errors.select("path", F.col("message").alias("outcome"))
+    return kept.unionByName(refused)
+
+
+def skip_report_query(spark, sf_dir):
+    listing = list_corpus(
+        corpora.documents(spark, sf_dir),
+        GLOBS,
+        Limits.of(max_files=UNLIMITED, max_file_bytes=4096),
+    )
+    return skip_report(listing.skips)
+
+
+# ---- reading ------------------------------------------------------------------------------
+
+
+def lines(spark, sf_dir):
+    return explode_lines(corpora.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def read_text_query(spark, sf_dir):
+    """Whole texts with CR LF breaks and an ill-formed byte at the end."""
+    files = corpora.contents(spark, sf_dir)
+    broken = F.concat(
+        F.encode(F.replace(F.decode("content", "UTF-8"), F.lit("\n"), F.lit("\r\n")), "UTF-8"),
+        F.unhex(F.lit("FF0D")),
+    )
+    return read_text(files.withColumn("content", broken)).select("path", "text", "error")
+
+
+def extract_docx(spark, sf_dir):
+    packed = corpora.as_docx(corpora.contents(spark, sf_dir).withColumn("kind", F.lit("docx")))
+    return extract_documents(packed).select("path", "text", "error")
+
+
+def extract_documents_query(spark, sf_dir):
+    """Good packages, bytes that are no package, and a kind without a decoder."""
+    files = corpora.contents(spark, sf_dir)
+    good = corpora.as_docx(files.where(F.col("ext") == ".docx"))
+    bad = files.where(F.col("ext") == ".xyz").withColumn("kind", F.lit("docx"))
+    pdf = files.where(F.col("ext") == ".md").withColumn("kind", F.lit("pdf"))
+    return extract_documents(good.unionByName(bad).unionByName(pdf)).select(
+        "path", "kind", "text", "error"
+    )
+
+
+def _csv_contents(spark, sf_dir):
+    """Each document as a CSV file: a header, then a quoted line and its length per row."""
+    lined = with_lines(corpora.documents(spark, sf_dir))
+    quoted = F.transform(
+        "lines",
+        lambda line: F.concat(
+            F.lit('"'), F.replace(line, F.lit('"'), F.lit('""')), F.lit('",'), F.length(line)
+        ),
+    )
+    # Every third row group gets a quoted line break.
+    text = F.concat(F.lit("line,length\n"), F.array_join(quoted, "\n"), F.lit('\n"a\nb",,x\n'))
+    return lined.select("path", F.encode(text, "UTF-8").alias("content"))
+
+
+def read_csv_rows(spark, sf_dir):
+    rows = csv_rows(_csv_contents(spark, sf_dir), UNLIMITED)
+    return rows.select(
+        "path",
+        "row_index",
+        F.size("cells").cast("bigint").alias("n_cells"),
+        F.array_join("cells", "|").alias("cells"),
+        "error",
+    )
+
+
+def csv_limits(spark, sf_dir):
+    limit = 10
+    rows = csv_rows(_csv_contents(spark, sf_dir), limit)
+    return csv_summary(rows, limit).withColumn("columns", F.array_join("columns", "|"))
+
+
+# ---- projections --------------------------------------------------------------------------
+
+
+def redact_text(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "documents").select(
+        "doc_id", redact(F.col("text")).alias("text")
+    )
+
+
+def ask_matches(spark, sf_dir):
+    return reports.ask(search(corpora.documents(spark, sf_dir), "token", **WHOLE)).matches
+
+
+def display_path(spark, sf_dir):
+    return corpora.documents(spark, sf_dir).select(
+        "path", paths.display_path(F.col("path"), "src1").alias("shown")
+    )
+
+
+def corpus_estimate(spark, sf_dir):
+    return (
+        corpora.documents(spark, sf_dir)
+        .groupBy("root")
+        .agg(
+            paths.estimated_memory(F.count(F.lit(1))).alias("estimate_default"),
+            paths.estimated_memory(
+                F.count(F.lit(1)), F.floor(F.avg("length")).cast("bigint")
+            ).alias("estimate"),
+        )
+    )
+
+
+def validate_queries(spark, sf_dir):
+    """The benchmark texts as queries, with dangerous pieces and length added by item."""
+    base = F.col("text")
+    piece = F.col("item_id") % 6
+    query = (
+        F.when(piece == 0, F.concat(F.lit("**"), base, F.lit("**")))
+        .when(piece == 1, F.concat(base, F.lit("+++")))
+        .when(piece == 2, F.concat(base, F.lit("*{1000,}")))
+        .when(piece == 3, F.concat(base, F.lit("(.*){50,}")))
+        .when(piece == 4, F.repeat(base, 6))
+        .otherwise(base)
+    )
+    checked = corpora.table(spark, sf_dir, "benchmark").select(
+        "item_id", validation.validate_query(query).alias("v")
+    )
+    return checked.select(
+        "item_id",
+        "v.valid",
+        F.array_join("v.warnings", "|").alias("warnings"),
+        F.array_join("v.errors", "|").alias("errors"),
+    )
+
+
+def json_required_keys(spark, sf_dir):
+    props = F.when(F.col("event_type") == "error", F.concat(F.lit("{"), "props"))
+    props = props.when(
+        F.col("event_type") == "click", F.replace("props", F.lit("{"), F.lit('{"user": 1, '))
+    ).otherwise(F.col("props"))
+    checked = corpora.table(spark, sf_dir, "events").select(
+        "event_id", validation.required_keys(props, ["k", "user"]).alias("v")
+    )
+    return checked.select("event_id", "v.valid", "v.message")
+
+
+# ---- coverage, confidence, answer, reports --------------------------------------------------
+
+
+def _flat(summary: DataFrame) -> DataFrame:
+    """Array and map columns as text, to compare across engines."""
+    arrays = [c for c in ("roots", "globs", "skipped_files", "errors") if c in summary.columns]
+    for name in arrays:
+        summary = summary.withColumn(name, F.array_join(name, "|"))
+    limits = F.transform(
+        F.map_entries("limits_applied"),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
+    )
+    return summary.withColumn("limits_applied", F.array_join(limits, "|"))
+
+
+def _limited(spark, sf_dir):
+    """Overlapping globs, with every limit inside the corpus."""
+    return search(
+        corpora.documents(spark, sf_dir),
+        "the",
+        globs=["*.txt", "*"],
+        max_files=170,
+        max_matches=250,
+        max_file_bytes=8192,
+        roots=ROOTS,
+    )
+
+
+def coverage_query(spark, sf_dir):
+    output = search(
+        corpora.documents(spark, sf_dir),
+        "license",
+        globs=GLOBS,
+        max_files=UNLIMITED,
+        max_file_bytes=8192,
+        roots=ROOTS,
+    )
+    return _flat(output.summary())
+
+
+def coverage_limited(spark, sf_dir):
+    return _flat(_limited(spark, sf_dir).summary())
+
+
+def coverage_record(spark, sf_dir):
+    record = history.coverage_record(_limited(spark, sf_dir).summary())
+    return _flat(record.drop("seq", "timestamp"))
+
+
+def confidence(spark, sf_dir):
+    """Graded per root, from row-local counts: one scan and one small shuffle."""
+    matcher = predicates.LineMatcher("license")
+    files = list_corpus(
+        corpora.documents(spark, sf_dir), None, Limits.of(max_files=UNLIMITED)
+    ).files
+    hits = F.when(
+        matcher.document(F.col("text")), F.size(line_hits(F.col("lines"), matcher.line, 0))
+    ).otherwise(0)
+    counted = with_lines(files).select("root", hits.alias("hits"))
+    summary = counted.groupBy("root").agg(
+        F.sum("hits").cast("bigint").alias("total_matches"),
+        F.count_if(F.col("hits") > 0).alias("matched_files"),
+        F.count(F.lit(1)).alias("scanned_files"),
+    )
+    return coverage.with_confidence(summary)
+
+
+def answer_query(spark, sf_dir):
+    found = search(corpora.documents(spark, sf_dir), "token", max_files=UNLIMITED).found
+    return answer(matching.redact_matches(found), "token")
+
+
+def answer_none(spark, sf_dir):
+    found = search(corpora.documents(spark, sf_dir), "no such phrase", max_files=UNLIMITED).found
+    return answer(found, "no such phrase")
+
+
+def _report_search(spark, sf_dir, query):
+    return search(
+        corpora.documents(spark, sf_dir),
+        query,
+        max_files=UNLIMITED,
+        max_matches=30,
+        max_file_bytes=65536,
+        roots=ROOTS,
+    )
+
+
+def render_search(spark, sf_dir):
+    return reports.search_report(_report_search(spark, sf_dir, "license"))
+
+
+def render_ask(spark, sf_dir):
+    return reports.ask_report(_report_search(spark, sf_dir, "license"))
+
+
+def ask_report(spark, sf_dir):
+    return reports.ask_report(_report_search(spark, sf_dir, "token"))
+
+
+def render_coverage(spark, sf_dir):
+    summary = _limited(spark, sf_dir).summary()
+    return summary.select(report.coverage_section(summary).alias("text"))
+
+
+# ---- history ------------------------------------------------------------------------------
+
+
+def history_retention(spark, sf_dir):
+    kept = history.retained(corpora.history(spark, sf_dir))
+    return kept.select("seq", F.array_join("roots", "|").alias("roots"), "scanned_files")
+
+
+def last_coverage(spark, sf_dir):
+    return _flat(history.last_coverage(corpora.history(spark, sf_dir)))
+
+
+def sources_report(spark, sf_dir):
+    return reports.sources_report(corpora.history(spark, sf_dir))
+
+
+def history_summary(spark, sf_dir):
+    summary = history.history_summary(corpora.history(spark, sf_dir))
+    return summary.withColumn("latest_search", F.unix_micros("latest_search"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "search_literal_ci": search_literal_ci,
+    "search_literal_cs": search_literal_cs,
+    "search_regex_ci": search_regex_ci,
+    "search_regex_cs": search_regex_cs,
+    "search_globs": search_globs,
+    "search_turns": search_turns,
+    "search_pages": search_pages,
+    "search_context": search_context,
+    "search_limit": search_limit,
+    "result_order": result_order,
+    "location_label": location_label,
+    "list_corpus": list_corpus_query,
+    "glob_filter": glob_filter,
+    "glob_union_all": glob_union_all,
+    "supported_files": supported_files,
+    "size_cap": size_cap,
+    "list_limit": list_limit,
+    "root_allowlist": root_allowlist,
+    "skip_report": skip_report_query,
+    "lines": lines,
+    "read_text": read_text_query,
+    "extract_docx": extract_docx,
+    "extract_documents": extract_documents_query,
+    "read_csv_rows": read_csv_rows,
+    "csv_limits": csv_limits,
+    "redact_text": redact_text,
+    "ask_matches": ask_matches,
+    "display_path": display_path,
+    "corpus_estimate": corpus_estimate,
+    "validate_queries": validate_queries,
+    "json_required_keys": json_required_keys,
+    "coverage": coverage_query,
+    "coverage_limited": coverage_limited,
+    "coverage_record": coverage_record,
+    "confidence": confidence,
+    "answer": answer_query,
+    "answer_none": answer_none,
+    "render_search": render_search,
+    "render_ask": render_ask,
+    "ask_report": ask_report,
+    "render_coverage": render_coverage,
+    "history_retention": history_retention,
+    "last_coverage": last_coverage,
+    "sources_report": sources_report,
+    "history_summary": history_summary,
+}

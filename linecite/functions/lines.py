@@ -73,8 +73,11 @@ def line_hits(lines: Column, matches: Callable[[Column], Column], context_lines:
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per line: the other columns, ``line_number`` (1-based) and ``line``."""
     keep = [c for c in df.columns if c != text]
+    # Outer, then filtered: for a plain explode the optimizer adds a test that the array is not
+    # empty below it, which splits every text a second time.
     return (
         with_lines(df.select(*keep, text), text)
-        .select(*keep, F.posexplode("lines").alias("_pos", "line"))
+        .select(*keep, F.posexplode_outer("lines").alias("_pos", "line"))
+        .where(F.col("_pos").isNotNull())
         .select(*keep, (F.col("_pos") + 1).cast("int").alias("line_number"), "line")
     )

@@ -98,6 +98,9 @@ def glob_regex(pattern: str) -> str:
     return rf"(?s)\A{out}\z"
 
 
+_SELECT_ALL = ("*", "**", "**/*", "**/**")
+
+
 def split_globs(globs: str) -> list[str]:
     """A comma-separated list, each pattern stripped."""
     return [g.strip() for g in globs.split(",")]
@@ -107,11 +110,18 @@ def matching_globs(root: Column, path: Column, globs: Sequence[str]) -> Column:
     """``array<int>`` of the 0-based indexes of the patterns that select the path.
 
     The patterns are driver-side constants, so this is a handful of regex tests per path rather
-    than a join with a table of patterns. A path selected twice keeps both indexes.
+    than a join with a table of patterns, and none for patterns that select everything. A path
+    selected twice keeps both indexes.
     """
     below = F.substr(path, F.length(root) + 2)
+    patterns = [glob_regex(g) for g in globs]
+    if all(g.strip() in _SELECT_ALL for g in globs):
+        return F.array(*[F.lit(index) for index in range(len(globs))])
     tests = [
-        F.when(below.rlike(glob_regex(g)), F.lit(index)) for index, g in enumerate(globs)
+        F.lit(index)
+        if globs[index].strip() in _SELECT_ALL
+        else F.when(below.rlike(pattern), F.lit(index))
+        for index, pattern in enumerate(patterns)
     ]
     return F.array_compact(F.array(*tests))
 

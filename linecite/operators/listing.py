@@ -110,49 +110,43 @@ def _limit_files(
 ) -> tuple[DataFrame, DataFrame]:
     """Keep the first ``max_files`` occurrences in (pattern, path) order.
 
-    Only the key of the last kept occurrence travels, as a one-row broadcast; files are then
-    filtered in place and never shuffled with their text.
+    One job over names only finds the key of the last kept occurrence, a single row. Comparing with
+    that constant then cuts files in place, so no text is shuffled, and a scan of a table stored in
+    path order skips everything behind the cut.
     """
     keys = files.select(F.explode("patterns").alias("pattern_idx"), "path")
     kept = first_rows(keys, [F.col("pattern_idx"), F.col("path")], max_files)
-    cut = kept.agg(
-        (F.count(F.lit(1)) >= max_files).alias("_reached"),
-        F.max(F.struct("pattern_idx", "path")).alias("_cut"),
+    reached, last = kept.agg(
+        F.count(F.lit(1)) >= max_files, F.max(F.struct("pattern_idx", "path"))
+    ).first()
+    if not reached:
+        return files, skips
+    cut_pattern, cut_path = last["pattern_idx"], last["path"]
+
+    def kept_under(pattern: Column) -> Column:
+        inside = F.col("path") <= F.lit(cut_path)
+        return (pattern < cut_pattern) | ((pattern == cut_pattern) & inside)
+
+    limited = files.withColumn("patterns", F.filter("patterns", kept_under)).where(
+        F.size("patterns") > 0
     )
-    cut = F.broadcast(cut)
-
-    def before(pattern: Column) -> Column:
-        cut_pattern, cut_path = F.col("_cut.pattern_idx"), F.col("_cut.path")
-        return (
-            ~F.col("_reached")
-            | (pattern < cut_pattern)
-            | ((pattern == cut_pattern) & (F.col("path") <= cut_path))
-        )
-
-    limited = (
-        files.crossJoin(cut)
-        .withColumn("patterns", F.filter("patterns", before))
-        .where(F.size("patterns") > 0)
-        .drop("_reached", "_cut")
-    )
-    kept_skips = skips.crossJoin(cut).where(before(F.col("pattern_idx"))).select(skips.columns)
+    if cut_pattern == 0:
+        # Says the same for whole rows, in a form that reaches the scan.
+        limited = limited.where(F.col("path") <= F.lit(cut_path))
     # The notice needs one further path, of any type, under the pattern that was being listed.
     notice = (
-        chosen.select("path", F.explode("patterns").alias("pattern_idx"))
-        .crossJoin(cut)
-        .where(F.col("_reached") & ~before(F.col("pattern_idx")))
-        .where(F.col("pattern_idx") == F.col("_cut.pattern_idx"))
-        .agg(F.max("pattern_idx").alias("pattern_idx"))
-        .where(F.col("pattern_idx").isNotNull())
+        chosen.where(F.array_contains("patterns", cut_pattern))
+        .where(F.col("path") > F.lit(cut_path))
+        .limit(1)
         .select(
             F.lit(1).alias("phase"),
-            "pattern_idx",
+            F.lit(cut_pattern).alias("pattern_idx"),
             F.lit("").alias("path"),
             F.lit("max_files").alias("reason"),
             F.lit(f"Reached max_files limit ({max_files})").alias("message"),
         )
     )
-    return limited, kept_skips.unionByName(notice)
+    return limited, skips.where(kept_under(F.col("pattern_idx"))).unionByName(notice)
 
 
 def skip_report(skips: DataFrame) -> DataFrame:

@@ -143,12 +143,16 @@ def list_directory(
     limits: Limits | None = None,
     allowed_roots: Sequence[str] = (),
 ) -> Listing:
-    """List a directory tree; ``ValueError`` for a missing or a disallowed root."""
+    """List a directory tree; ``ValueError`` for a missing or a disallowed root.
+
+    The tree is walked once, now: the names are checkpointed, so that matches, counts and skips all
+    speak of the same files.
+    """
     resolved = resolve_root(root)
     bases = [base.rstrip("/") + "/" for base in allowed_roots]
     if bases and not any((resolved.rstrip("/") + "/").startswith(base) for base in bases):
         raise ValueError(f"Root directory not allowed: {root}")
-    return list_corpus(directory_listing(spark, resolved), globs, limits)
+    return list_corpus(checkpointed(directory_listing(spark, resolved)), globs, limits)
 
 
 def directory_texts(

@@ -32,3 +32,17 @@ def table_corpus(
         text.alias("text"),
         F.lit(None).cast("string").alias("error"),
     )
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread the rows of a plain scan that has fewer partitions than there are cores.
+
+    A small table often is one file with one row group, hence one task, while searching is bound by
+    CPU. Any scan with a partition per core or more is returned as it is: large corpora are never
+    shuffled. Meant for scans only, since asking for the partitions of a frame that shuffles would
+    run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)

@@ -13,13 +13,23 @@ from pyspark.sql import functions as F
 
 from linecite import table_corpus
 from linecite.functions.paths import extension, kind
+from linecite.sources.tables import spread
 
 # By doc_id % 7: every branch of the type checks gets files, in both spellings of case.
 EXTENSIONS = (".txt", ".md", ".PY", ".csv", ".log", ".xyz", ".docx")
 
 
+# Tables of texts, with the columns that identify a text.
+_KEYS = {
+    "documents": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+    "pages": ["page_id"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan, *_KEYS[name]) if name in _KEYS else scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linecite.functions.paths import matching_globs
 from linecite.functions.predicates import LineMatcher, check_regex
 from linecite.functions.redaction import redact
 from linecite.operators import coverage
@@ -21,7 +22,12 @@ from linecite.operators.matching import (
 )
 from linecite.operators.topn import MAX_FIRST_ROWS, checkpointed
 from linecite.settings import DEFAULT_CONTEXT_LINES, Limits
-from linecite.sources.directory import directory_listing, read_bytes, resolve_root
+from linecite.sources.directory import (
+    directory_names,
+    reading_tasks,
+    resolve_root,
+    with_sizes,
+)
 from linecite.sources.documents import EXTRACTORS, Extractor, corpus_texts
 
 
@@ -145,21 +151,24 @@ def list_directory(
 ) -> Listing:
     """List a directory tree; ``ValueError`` for a missing or a disallowed root.
 
-    The tree is walked once, now: the names are checkpointed, so that matches, counts and skips all
-    speak of the same files.
+    The tree is walked once, now: the names and sizes of what the globs select are checkpointed, so
+    that matches, counts and skips all speak of the same files.
     """
     resolved = resolve_root(root)
     bases = [base.rstrip("/") + "/" for base in allowed_roots]
     if bases and not any((resolved.rstrip("/") + "/").startswith(base) for base in bases):
         raise ValueError(f"Root directory not allowed: {root}")
-    return list_corpus(checkpointed(directory_listing(spark, resolved)), globs, limits)
+    globs = tuple(globs or ("*",))
+    selected = matching_globs(F.col("root"), F.col("path"), globs)
+    names = directory_names(spark, resolved).where(F.size(selected) > 0)
+    return list_corpus(checkpointed(with_sizes(names)), globs, limits)
 
 
 def directory_texts(
     listing: Listing, extractors: Mapping[str, Extractor] = EXTRACTORS
 ) -> DataFrame:
     """Texts of the listed files, each file read once however many globs selected it."""
-    return corpus_texts(read_bytes(listing.files), extractors)
+    return corpus_texts(listing.files, reading_tasks(listing.files), extractors)
 
 
 def _search_texts(

@@ -1,8 +1,9 @@
 """Directory trees on storage that every executor mounts.
 
 Spark's own file sources leave out names that start with "_" or ".", hidden folders and empty
-files, all of which a search must list, so listing is a Python data source. It reports names and
-sizes only. Contents are read by a later step, after files have been selected.
+files, all of which a search must list, so listing is a Python data source. It reports names
+only. Sizes are looked up by a later step, over evenly spread names, so that one folder with a
+third of all files is no bottleneck; contents are read after files have been selected.
 """
 
 from __future__ import annotations
@@ -16,18 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-LISTING_SCHEMA = "root string, path string, length bigint, is_file boolean"
-_ARROW_SCHEMA = pa.schema(
-    [
-        ("root", pa.string()),
-        ("path", pa.string()),
-        ("length", pa.int64()),
-        ("is_file", pa.bool_()),
-    ]
-)
+NAME_SCHEMA = "root string, path string, is_file boolean"
+_NAMES = pa.schema([("root", pa.string()), ("path", pa.string()), ("is_file", pa.bool_())])
 _ROWS_PER_BATCH = 10_000
 #: One Arrow batch of contents closes at this size.
 _BATCH_BYTES = 64 * 1024 * 1024
+#: Bytes of file content per reading task.
+_TASK_BYTES = 256 * 1024 * 1024
 
 
 class Subtree(InputPartition):
@@ -38,13 +34,13 @@ class Subtree(InputPartition):
         self.recursive = recursive
 
 
-def _entries(folder: str) -> list[os.DirEntry]:
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    """Entries one at a time, as a folder may hold very many. Unreadable ones are passed over."""
     try:
-        with os.scandir(folder) as it:
-            return list(it)
+        with os.scandir(folder) as entries:
+            yield from entries
     except OSError:
-        # Unreadable folders are passed over.
-        return []
+        return
 
 
 def _is_folder(entry: os.DirEntry) -> bool:
@@ -75,35 +71,34 @@ class DirectoryReader(DataSourceReader):
         return shallow + [Subtree([folder], True) for folder in waiting]
 
     def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        paths: list[str] = []
+        are_files: list[bool] = []
         waiting = list(partition.folders)
         while waiting:
             for entry in _entries(waiting.pop()):
                 if partition.recursive and _is_folder(entry):
                     waiting.append(entry.path)
-                row = self._row(entry)
-                if row:
-                    rows.append(row)
-                if len(rows) >= _ROWS_PER_BATCH:
-                    yield self._batch(rows)
-                    rows = []
-        if rows:
-            yield self._batch(rows)
-
-    def _row(self, entry: os.DirEntry) -> tuple | None:
-        try:
-            if entry.is_file():
-                return self.root, entry.path, entry.stat().st_size, True
-            if entry.is_dir():
-                return self.root, entry.path, 0, False
-        except OSError:
-            # Gone or unreadable since the folder was opened.
-            pass
-        return None
-
-    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), _ARROW_SCHEMA)]
-        return pa.RecordBatch.from_arrays(columns, schema=_ARROW_SCHEMA)
+                try:
+                    is_file = entry.is_file()
+                    if not is_file and not entry.is_dir():
+                        continue
+                except OSError:
+                    continue
+                paths.append(entry.path)
+                are_files.append(is_file)
+                if len(paths) >= _ROWS_PER_BATCH:
+                    yield self._batch(paths, are_files)
+                    paths, are_files = [], []
+        if paths:
+            yield self._batch(paths, are_files)
+
+    def _batch(self, paths: list[str], are_files: list[bool]) -> pa.RecordBatch:
+        columns = [
+            pa.array([self.root] * len(paths), pa.string()),
+            pa.array(paths, pa.string()),
+            pa.array(are_files, pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=_NAMES)
 
 
 class DirectorySource(DataSource):
@@ -114,7 +109,7 @@ class DirectorySource(DataSource):
         return "linecite_directory"
 
     def schema(self) -> str:
-        return LISTING_SCHEMA
+        return NAME_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return DirectoryReader(self.options["path"], int(self.options.get("partitions", "64")))
@@ -127,18 +122,49 @@ def resolve_root(root: str) -> str:
     return resolved
 
 
-def directory_listing(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
-    """Every file and folder below ``root``: ``root, path, length, is_file``."""
-    resolved = resolve_root(root)
+def directory_names(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
+    """Every file and folder below ``root``: ``root, path, is_file``."""
     partitions = partitions or 4 * spark.sparkContext.defaultParallelism
     spark.dataSource.register(DirectorySource)
     return (
         spark.read.format("linecite_directory")
         .option("partitions", str(partitions))
-        .load(resolved)
+        .load(resolve_root(root))
+    )
+
+
+def with_sizes(names: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Add ``length bigint`` (0 for folders). Files that are gone by now are dropped."""
+    partitions = partitions or _default_tasks(names.sparkSession)
+    kept = names.columns
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths: list[int | None] = []
+            for path, is_file in zip(
+                batch.column("path").to_pylist(), batch.column("is_file").to_pylist()
+            ):
+                try:
+                    lengths.append(os.stat(path).st_size if is_file else 0)
+                except OSError:
+                    lengths.append(None)
+            column = pa.array(lengths, pa.int64())
+            sized = pa.RecordBatch.from_arrays(
+                [*batch.columns, column], names=[*batch.schema.names, "length"]
+            )
+            yield sized.filter(column.is_valid())
+
+    return names.repartition(partitions, F.col("path")).mapInArrow(
+        look_up, f"{_columns(names, kept)}, length bigint"
     )
 
 
+def reading_tasks(files: DataFrame) -> int:
+    """How many tasks reading the files takes, from the sum of their lengths."""
+    total = files.agg(F.sum("length")).first()[0] or 0
+    return max(_default_tasks(files.sparkSession), -(-total // _TASK_BYTES))
+
+
 def read_bytes(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Add ``content binary`` and ``error string`` to rows with a ``path``.
 
@@ -146,13 +172,8 @@ def read_bytes(files: DataFrame, partitions: int | None = None) -> DataFrame:
     there is to read. The partition count is explicit, so that adaptive execution does not merge
     partitions that look tiny because they hold only names.
     """
-    spark = files.sparkSession
-    partitions = partitions or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        2 * spark.sparkContext.defaultParallelism,
-    )
+    partitions = partitions or _default_tasks(files.sparkSession)
     kept = [c for c in files.columns if c not in ("content", "error")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name in kept)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,12 +181,7 @@ def read_bytes(files: DataFrame, partitions: int | None = None) -> DataFrame:
             errors: list[str | None] = []
             start = size = 0
             for path in batch.column("path").to_pylist():
-                content, error = None, None
-                try:
-                    with open(path, "rb") as file:
-                        content = file.read()
-                except OSError as problem:
-                    error = str(problem)
+                content, error = read_file(path)
                 contents.append(content)
                 errors.append(error)
                 size += len(content or b"")
@@ -179,10 +195,30 @@ def read_bytes(files: DataFrame, partitions: int | None = None) -> DataFrame:
     return (
         files.select(*kept)
         .repartition(partitions, F.col("path"))
-        .mapInArrow(read, f"{schema}, content binary, error string")
+        .mapInArrow(read, f"{_columns(files, kept)}, content binary, error string")
     )
 
 
+def read_file(path: str) -> tuple[bytes | None, str | None]:
+    """The whole file, or what went wrong."""
+    try:
+        with open(path, "rb") as file:
+            return file.read(), None
+    except OSError as problem:
+        return None, str(problem)
+
+
+def _default_tasks(spark: SparkSession) -> int:
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        2 * spark.sparkContext.defaultParallelism,
+    )
+
+
+def _columns(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
+
+
 def _with_contents(batch: pa.RecordBatch, contents: list, errors: list) -> pa.RecordBatch:
     columns = [*batch.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
     return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "content", "error"])

@@ -8,12 +8,14 @@ from collections.abc import Callable, Iterator, Mapping
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linecite.functions.text import decode_utf8
+from linecite.sources.directory import read_bytes, read_file
 
-#: Text of a whole document, or an iterable of zero-argument page readers (see ``join_pages``).
+#: Bytes of a document to its text.
 Extractor = Callable[[bytes], str]
 
 # Names in the WordprocessingML format.
@@ -69,30 +71,39 @@ def join_pages(pages: Iterator[Callable[[], str]]) -> str:
 EXTRACTORS: Mapping[str, Extractor] = {"docx": docx_text}
 
 
+def _extract(
+    extractors: Mapping[str, Extractor], kind: str, content: bytes | None, error: str | None
+) -> tuple[str | None, str | None]:
+    """Text or error of one document; never an exception."""
+    label = kind.upper()
+    if kind not in extractors:
+        return None, f"Skipped {label}: {label} decoder not available"
+    if error is None and content is not None:
+        try:
+            return extractors[kind](content), None
+        except Exception as problem:
+            error = str(problem)
+    return None, f"Skipped {label}: Failed to extract {label} text: {error}"
+
+
+def _schema(df: DataFrame, kept: list[str]) -> str:
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept]
+    return ", ".join([*columns, "text string", "error string"])
+
+
 def extract_documents(df: DataFrame, extractors: Mapping[str, Extractor] = EXTRACTORS) -> DataFrame:
     """``content binary`` of ``kind`` docx or pdf to ``text`` and ``error``; one row in, one out.
 
     A missing decoder or a bad file gives an error, never an exception.
     """
     kept = [c for c in df.columns if c not in ("content", "text", "error")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept)
     extractors = dict(extractors)
 
-    def one(kind: str, content: bytes | None, error: str | None) -> tuple[str | None, str | None]:
-        label = kind.upper()
-        if error is not None or content is None:
-            return None, f"Skipped {label}: Failed to extract {label} text: {error}"
-        if kind not in extractors:
-            return None, f"Skipped {label}: {label} decoder not available"
-        try:
-            return extractors[kind](content), None
-        except Exception as problem:
-            return None, f"Skipped {label}: Failed to extract {label} text: {problem}"
-
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             results = [
-                one(*row) for row in zip(frame["kind"], frame["content"], frame["error"])
+                _extract(extractors, *row)
+                for row in zip(frame["kind"], frame["content"], frame["error"])
             ]
             out = frame[kept].copy()
             out["text"] = pd.Series([r[0] for r in results], dtype=object, index=out.index)
@@ -100,8 +111,34 @@ def extract_documents(df: DataFrame, extractors: Mapping[str, Extractor] = EXTRA
             yield out
 
     source = df if "error" in df.columns else df.withColumn("error", F.lit(None).cast("string"))
-    return source.select(*kept, "content", "error").mapInPandas(
-        extract, f"{schema}, text string, error string"
+    return source.select(*kept, "content", "error").mapInPandas(extract, _schema(df, kept))
+
+
+def read_documents(
+    files: DataFrame, partitions: int, extractors: Mapping[str, Extractor] = EXTRACTORS
+) -> DataFrame:
+    """Read and extract in one worker step, so that only text travels to the JVM.
+
+    Rows leave one by one: a package can unpack to far more text than it has bytes.
+    """
+    kept = [c for c in files.columns if c not in ("content", "text", "error")]
+    extractors = dict(extractors)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, names = batch.column("kind").to_pylist(), batch.column("path").to_pylist()
+            for i, (kind, path) in enumerate(zip(kinds, names)):
+                text, error = _extract(extractors, kind, *read_file(path))
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*row.columns, pa.array([text], pa.string()), pa.array([error], pa.string())],
+                    names=[*row.schema.names, "text", "error"],
+                )
+
+    return (
+        files.select(*kept)
+        .repartition(partitions, F.col("path"))
+        .mapInArrow(read, _schema(files, kept))
     )
 
 
@@ -135,10 +172,10 @@ def read_text_file(df: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def corpus_texts(
-    contents: DataFrame, extractors: Mapping[str, Extractor] = EXTRACTORS
+    files: DataFrame, partitions: int, extractors: Mapping[str, Extractor] = EXTRACTORS
 ) -> DataFrame:
-    """``content`` of every kind to ``text`` and ``error``: one branch per kind."""
+    """``text`` and ``error`` of listed files: one branch per kind, each file read once."""
     documents = F.col("kind").isin("docx", "pdf")
-    plain = read_text(contents.where(~documents))
-    extracted = extract_documents(contents.where(documents), extractors)
+    plain = read_text(read_bytes(files.where(~documents), partitions))
+    extracted = read_documents(files.where(documents), partitions, extractors)
     return plain.unionByName(extracted)

@@ -6,7 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from linecite import UNLIMITED, Limits, directory_texts, list_directory, search_directory
-from linecite.sources.directory import DirectoryReader, directory_listing, read_bytes
+from linecite.sources.directory import (
+    DirectoryReader,
+    directory_names,
+    read_bytes,
+    reading_tasks,
+    with_sizes,
+)
 from linecite.sources.documents import EXTRACTORS
 from tests.files import NOTES, awkward, harbour, write
 
@@ -25,7 +31,7 @@ def test_listing_reports_every_name_once(spark, tmp_path, partitions):
     awkward(tmp_path)
     write(tmp_path, "d1/d2/d3/z.txt", "z")
     os.symlink(tmp_path / "d1", tmp_path / "link")
-    rows = directory_listing(spark, str(tmp_path), partitions).collect()
+    rows = with_sizes(directory_names(spark, str(tmp_path), partitions)).collect()
     expected = [str(p) for p in tmp_path.rglob("*")]
     assert sorted(r["path"] for r in rows) == sorted(expected)
     sizes = {r["path"]: (r["is_file"], r["length"]) for r in rows}
@@ -145,6 +151,30 @@ def test_unreadable_file_is_an_error_row(spark, tmp_path):
     assert rows["gone.txt"]["content"] is None and "No such file" in rows["gone.txt"]["error"]
 
 
+def test_files_that_vanish_before_their_size_is_known_are_dropped(spark, tmp_path):
+    write(tmp_path, "a.txt", "x")
+    write(tmp_path, "b.txt", "x")
+    names = directory_names(spark, str(tmp_path)).withColumn(
+        "path", F.regexp_replace("path", "b.txt$", "gone.txt")
+    )
+    assert [os.path.basename(r["path"]) for r in with_sizes(names).collect()] == ["a.txt"]
+
+
+def test_reading_tasks_follow_the_bytes(spark):
+    files = spark.range(1000).select(F.lit(10 * 1024 * 1024).cast("bigint").alias("length"))
+    assert reading_tasks(files) == 40
+    assert reading_tasks(files.limit(0)) == 16
+
+
+def test_each_file_is_read_once(spark, tmp_path):
+    """Kinds are told apart before reading, not after."""
+    harbour(tmp_path)
+    texts = directory_texts(list_directory(spark, str(tmp_path)))
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    for read in plan.split("MapInArrow")[1:]:
+        assert "Filter" in read.split("RepartitionByExpression")[1].split("MapInArrow")[0]
+
+
 def test_listing_bytes_say_nothing_about_reading(spark, tmp_path):
     """Adaptive execution must not merge the read into one task because names are small."""
     for i in range(64):

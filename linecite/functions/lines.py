@@ -70,6 +70,11 @@ def line_hits(lines: Column, matches: Callable[[Column], Column], context_lines:
     return F.array_compact(F.transform(lines, hit))
 
 
+def hit_count(lines: Column, matches: Callable[[Column], Column]) -> Column:
+    """How many lines match, without building snippets."""
+    return F.size(F.filter(lines, matches)).cast("bigint")
+
+
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per line: the other columns, ``line_number`` (1-based) and ``line``."""
     keep = [c for c in df.columns if c != text]

@@ -82,6 +82,24 @@ def java_regex(pattern: str) -> str:
     return "".join(out)
 
 
+# Patterns built from these pieces alone hold no assertion, and nothing in them but a literal can
+# run across a line feed: plain characters, ".", alternatives, plain groups, sets of plain
+# characters, and quantifiers that may backtrack.
+_WITHIN_LINES = re.compile(
+    r"""(?: [^\\^$()\[\]{}*+?|]
+          | \\[dw] | \\[^\w\s]
+          | \| | \((?:\?:|(?!\?)) | \)
+          | \[(?!\^)(?:[^\\\[\]&]|\\[dw]|\\[^\w\s])+\]
+          | (?:[*+?]|\{\d+(?:,\d*)?\})\??(?!\+)
+        )+""",
+    re.VERBOSE,
+)
+
+
+def stays_within_lines(pattern: str) -> bool:
+    return _WITHIN_LINES.fullmatch(pattern) is not None
+
+
 @dataclass(frozen=True)
 class LineMatcher:
     """What to look for in each line."""
@@ -104,10 +122,12 @@ class LineMatcher:
     def document(self, text: Column) -> Column:
         """A test on the whole text that every text with a matching line passes.
 
-        Literals only: anchors, look-around and negated sets mean something else on a whole text.
+        It spares texts without a match the splitting. Anchors and look-around mean something else
+        on a whole text, and negated sets could run over all of it from every position, so regexes
+        with any of them are tested line by line only.
         """
         if self.regex:
-            return F.lit(True)
+            return self.line(text) if stays_within_lines(self.query) else F.lit(True)
         if has_terminator(self.query):
             return F.lit(False)
         return self.line(text)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linecite.functions.lines import hit_count, with_lines
+from linecite.functions.predicates import LineMatcher
 from linecite.operators.topn import first_rows
 from linecite.settings import REPORTED_SKIPS, Limits
 
@@ -124,3 +126,23 @@ def with_confidence(summary: DataFrame) -> DataFrame:
     return summary.withColumn("confidence", confidence_level(*counts)).withColumn(
         "reason", confidence_reason(*counts)
     )
+
+
+def confidence_by_root(files: DataFrame, matcher: LineMatcher) -> DataFrame:
+    """Counts and grade per root, over whole texts.
+
+    Hits are counted inside each row, so only one row per root and task is shuffled, however many
+    files a root has.
+    """
+    hits = F.when(
+        matcher.document(F.col("text")), hit_count(F.col("lines"), matcher.line)
+    ).otherwise(F.lit(0).cast("bigint"))
+    times = F.size("patterns").cast("bigint")
+    counted = with_lines(files).select("root", hits.alias("hits"), times.alias("times"))
+    return with_confidence(
+        counted.groupBy("root").agg(
+            F.sum(F.col("hits") * F.col("times")).alias("total_matches"),
+            F.sum(F.when(F.col("hits") > 0, F.col("times")).otherwise(0)).alias("matched_files"),
+            F.sum("times").alias("scanned_files"),
+        )
+    )

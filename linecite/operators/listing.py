@@ -58,14 +58,14 @@ class Listing:
 
 def classify(candidates: DataFrame, globs: Sequence[str], limits: Limits) -> DataFrame:
     """Add ``ext``, ``kind``, ``reason`` (null: to be searched) and ``patterns``. Row-local."""
-    ext = paths.extension(F.col("path"))
-    return (
-        candidates.withColumn("ext", ext)
-        .withColumn("kind", paths.kind(F.col("ext")))
-        .withColumn(
-            "reason", paths.skip_reason(F.col("ext"), F.col("length"), limits.max_file_bytes)
-        )
-        .withColumn("patterns", paths.matching_globs(F.col("root"), F.col("path"), globs))
+    named = candidates.withColumn("ext", paths.extension(F.col("path")))
+    reason = paths.skip_reason(F.col("ext"), F.col("length"), limits.max_file_bytes)
+    return named.withColumns(
+        {
+            "kind": paths.kind(F.col("ext")),
+            "reason": reason,
+            "patterns": paths.matching_globs(F.col("root"), F.col("path"), globs),
+        }
     )
 
 

@@ -135,7 +135,7 @@ def directory_names(spark: SparkSession, root: str, partitions: int | None = Non
 
 def with_sizes(names: DataFrame, partitions: int | None = None) -> DataFrame:
     """Add ``length bigint`` (0 for folders). Files that are gone by now are dropped."""
-    partitions = partitions or _default_tasks(names.sparkSession)
+    partitions = partitions or default_tasks(names.sparkSession)
     kept = names.columns
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def with_sizes(names: DataFrame, partitions: int | None = None) -> DataFrame:
 def reading_tasks(files: DataFrame) -> int:
     """How many tasks reading the files takes, from the sum of their lengths."""
     total = files.agg(F.sum("length")).first()[0] or 0
-    return max(_default_tasks(files.sparkSession), -(-total // _TASK_BYTES))
+    return max(default_tasks(files.sparkSession), -(-total // _TASK_BYTES))
 
 
 def read_bytes(files: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -172,7 +172,7 @@ def read_bytes(files: DataFrame, partitions: int | None = None) -> DataFrame:
     there is to read. The partition count is explicit, so that adaptive execution does not merge
     partitions that look tiny because they hold only names.
     """
-    partitions = partitions or _default_tasks(files.sparkSession)
+    partitions = partitions or default_tasks(files.sparkSession)
     kept = [c for c in files.columns if c not in ("content", "error")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,8 @@ def read_file(path: str) -> tuple[bytes | None, str | None]:
         return None, str(problem)
 
 
-def _default_tasks(spark: SparkSession) -> int:
+def default_tasks(spark: SparkSession) -> int:
+    """Tasks for work over names whose amount is not known."""
     return max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         2 * spark.sparkContext.defaultParallelism,

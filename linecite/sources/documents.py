@@ -155,20 +155,32 @@ def read_text(df: DataFrame) -> DataFrame:
     )
 
 
-def read_text_file(df: DataFrame, max_bytes: int) -> DataFrame:
-    """``path, text, truncated, size, reason``: null text and a reason above ``max_bytes``."""
-    size = F.octet_length("content").cast("bigint")
-    fits = size <= max_bytes
-    return df.select(
+def read_text_file(files: DataFrame, max_bytes: int, partitions: int | None = None) -> DataFrame:
+    """Files (``path, length``) to ``path, text, truncated, size, reason``.
+
+    Files above ``max_bytes`` are not opened: null text and a reason. A file that cannot be read
+    has a reason too.
+    """
+    fits = F.col("length") <= max_bytes
+    read = read_bytes(files.where(fits).select("path", "length"), partitions)
+    failed = F.concat(F.lit("Failed to read file "), "path", F.lit(": "), "error")
+    texts = read.select(
         "path",
-        F.when(fits, decode_utf8(F.col("content"))).alias("text"),
-        (~fits).alias("truncated"),
-        F.when(fits, size).alias("size"),
-        F.when(
-            ~fits,
-            F.concat(F.lit("File too large ("), size, F.lit(f" > {max_bytes} bytes)")),
+        decode_utf8(F.col("content")).alias("text"),
+        F.lit(False).alias("truncated"),
+        F.when(F.col("error").isNull(), F.col("length")).alias("size"),
+        failed.alias("reason"),
+    )
+    large = files.where(~fits).select(
+        "path",
+        F.lit(None).cast("string").alias("text"),
+        F.lit(True).alias("truncated"),
+        F.lit(None).cast("bigint").alias("size"),
+        F.concat(
+            F.lit("File too large ("), "length", F.lit(f" > {max_bytes} bytes)")
         ).alias("reason"),
     )
+    return texts.unionByName(large)
 
 
 def corpus_texts(

@@ -41,12 +41,20 @@ def test_a_bad_page_is_left_out():
     assert join_pages(iter([lambda: "a", broken, lambda: "b"])) == "a\nb\n"
 
 
-def test_read_text_file(spark):
-    df = spark.createDataFrame([("p", bytearray(b"abc\r\n"))], "path string, content binary")
-    assert tuple(read_text_file(df, 5).first()) == ("p", "abc\n", False, 5, None)
-    assert tuple(read_text_file(df, 4).first()) == (
-        "p", None, True, None, "File too large (5 > 4 bytes)",
-    )
+def test_read_text_file(spark, tmp_path):
+    names = []
+    for name, content in {"a.txt": b"abc\r\n", "b.txt": b"abcdef"}.items():
+        (tmp_path / name).write_bytes(content)
+        names.append((str(tmp_path / name), len(content)))
+    names.append((str(tmp_path / "gone.txt"), 1))
+    files = spark.createDataFrame(names, "path string, length bigint")
+    rows = [tuple(r)[1:] for r in read_text_file(files, 5).orderBy("path").collect()]
+    assert rows[:2] == [
+        ("abc\n", False, 5, None),
+        (None, True, None, "File too large (6 > 5 bytes)"),
+    ]
+    assert rows[2][:3] == (None, False, None)
+    assert rows[2][3].startswith("Failed to read file ") and "No such file" in rows[2][3]
 
 
 FILES = {
@@ -82,12 +90,35 @@ def test_csv_rows_are_those_of_the_csv_module(spark):
      (11, 10, False, 10), (1, 1, True, 2), (UNLIMITED, 10, False, 10)],
 )
 def test_csv_limits(spark, limit, rows, truncated, found):
-    summary = csv_summary(csv_rows(contents(spark), limit), limit)
+    summary = csv_summary(contents(spark), limit)
     row = summary.where("path = 'ten.csv'").first()
     assert (row["n_rows"], row["truncated"], row["total_rows_found"]) == (rows, truncated, found)
     assert row["columns"] == ["0"]
 
 
+def test_csv_files_are_read_by_path(spark, tmp_path):
+    paths = []
+    for name, content in FILES.items():
+        (tmp_path / name).write_bytes(content)
+        paths.append((str(tmp_path / name),))
+    paths.append((str(tmp_path / "gone.csv"),))
+    by_path = csv_rows(spark.createDataFrame(paths, "path string")).collect()
+    inline = csv_rows(contents(spark)).collect()
+
+    def found(rows):
+        return sorted(
+            (r["path"].rsplit("/")[-1], r["row_index"], r["cells"], r["more_follow"])
+            for r in rows
+            if r["error"] is None
+        )
+
+    assert found(by_path) == found(inline)
+    errors = {r["path"].rsplit("/")[-1] for r in by_path if r["error"]}
+    assert errors == {"empty.csv", "gone.csv"}
+    summary = csv_summary(spark.createDataFrame(paths, "path string"), 2).where("error is null")
+    assert summary.count() == len(FILES) - 1
+
+
 def test_csv_cells_and_header(spark):
     rows = csv_rows(contents(spark).where("path = 'plain.csv'"))
     found = rows.orderBy("row_index").select("cells", cell(rows["cells"], 5)).collect()

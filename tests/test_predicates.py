@@ -5,7 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from linecite.functions.predicates import LineMatcher, check_regex, java_regex
+from linecite.functions.predicates import (
+    LineMatcher,
+    check_regex,
+    java_regex,
+    stays_within_lines,
+)
 
 LINES = [
     "", "search term here", "Search  Terms", "É été", "price: 12 €", "a[b]c", "x{2}", "a&&b",
@@ -54,3 +59,24 @@ def test_bad_patterns_fail_when_the_search_is_built(spark):
 
 def test_group_names_become_legal():
     assert java_regex("(?P<a_b>x)") == "(?<gax5fb>x)"
+
+
+def test_which_regexes_are_tested_on_whole_texts():
+    yes = ["a|b", r"licen[sc]e|tok\.en", r"\d{3,}-\w+?", "(ab)+(?:c|d)*", "a.b", "[a-z]{2}", "x y"]
+    no = [
+        "^a", "a$", r"a\b", r"\Aa", "(?=a)", "(?<!a)b", "[^a]", r"a\s+b", r"\W", r"\D", "a++",
+        "(?i:a)", "(?s).", "(?P<n>a)", r"(a)\1", r"[\s]", "a*+", "(?>a)", r"a\x0a", "",
+    ]
+    assert [p for p in yes if not stays_within_lines(p)] == []
+    assert [p for p in no if stays_within_lines(p)] == []
+
+
+@pytest.mark.parametrize("case_sensitive", [True, False])
+def test_the_document_test_passes_every_text_with_a_matching_line(spark, case_sensitive):
+    df = spark.createDataFrame([(line,) for line in LINES], "line string").withColumn(
+        "text", F.concat(F.lit("before\n"), "line", F.lit("\nafter"))
+    )
+    for pattern in [*PATTERNS, "licen[sc]e|term", r"\w+-\w+ foo", "t.rm", "(?:te|sea)r"]:
+        matcher = LineMatcher(pattern, case_sensitive, True)
+        lost = df.where(matcher.line(F.col("line")) & ~matcher.document(F.col("text")))
+        assert lost.count() == 0, pattern

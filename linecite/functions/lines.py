@@ -70,6 +70,15 @@ def line_hits(lines: Column, matches: Callable[[Column], Column], context_lines:
     return F.array_compact(F.transform(lines, hit))
 
 
+def hit_numbers(lines: Column, matches: Callable[[Column], Column]) -> Column:
+    """``array<int>`` of the numbers of the matching lines."""
+
+    def number(line: Column, index: Column) -> Column:
+        return F.when(matches(line), (index + 1).cast("int"))
+
+    return F.array_compact(F.transform(lines, number))
+
+
 def hit_count(lines: Column, matches: Callable[[Column], Column]) -> Column:
     """How many lines match, without building snippets."""
     return F.size(F.filter(lines, matches)).cast("bigint")

@@ -28,7 +28,7 @@ SECRET_PATTERNS = (
 # regex chain only runs on texts that may change.
 _MARKERS = (
     "key", "sk-", "aiza", "password", "pwd", "token", "bearer",
-    "mongodb://", "postgresql://", "mysql://", "akia",
+    "mongodb://", "sql://", "akia",
 )
 
 # The four characters that fold to an ASCII letter without being one: long s, Kelvin sign,

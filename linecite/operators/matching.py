@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linecite.functions.lines import line_hits, with_lines
+from linecite.functions.lines import hit_numbers, line_hits, snippet, with_lines
 from linecite.functions.paths import location
 from linecite.functions.predicates import LineMatcher
 from linecite.functions.redaction import redact
 from linecite.operators.topn import first_rows
 
 MATCH_COLUMNS = ["file_path", "location", "snippet", "line_number"]
+#: Up to this context, snippets are cut inside the document's row. Above it they could outgrow a row
+#: together, so hits are exploded first and each snippet is cut on its way out.
+INLINE_CONTEXT = 16
 
 
 def match_lines(texts: DataFrame, matcher: LineMatcher, context_lines: int) -> DataFrame:
@@ -21,18 +24,24 @@ def match_lines(texts: DataFrame, matcher: LineMatcher, context_lines: int) -> D
     ``occurrence`` (1-based among the globs that selected the file) and ``opens_file``, true on
     the first match of each occurrence, which makes counting matched files a plain sum.
     """
-    found = with_lines(texts.where(matcher.document(F.col("text")))).select(
-        "path",
-        "kind",
-        "patterns",
-        F.posexplode(line_hits(F.col("lines"), matcher.line, context_lines)).alias("_pos", "hit"),
-    )
-    number = F.col("hit.line_number")
+    lines = F.col("lines")
+    lined = with_lines(texts.where(matcher.document(F.col("text"))))
+    if context_lines <= INLINE_CONTEXT:
+        hits = line_hits(lines, matcher.line, context_lines)
+        found = lined.select(
+            "path", "kind", "patterns", F.posexplode(hits).alias("_pos", "hit")
+        ).select("path", "kind", "patterns", "_pos", "hit.*")
+    else:
+        hits = hit_numbers(lines, matcher.line)
+        found = lined.select(
+            "path", "kind", "patterns", "lines", F.posexplode(hits).alias("_pos", "line_number")
+        ).withColumn("snippet", snippet(lines, F.col("line_number"), context_lines))
+    number = F.col("line_number")
     return found.select(
         F.col("path").alias("file_path"),
         location(F.col("kind"), number).alias("location"),
-        F.col("hit.snippet").alias("snippet"),
-        number.alias("line_number"),
+        "snippet",
+        "line_number",
         (F.col("kind") != "text").alias("is_doc"),
         F.explode(F.sequence(F.lit(1), F.size("patterns"))).alias("occurrence"),
         (F.col("_pos") == 0).alias("opens_file"),

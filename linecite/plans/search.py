@@ -105,6 +105,8 @@ def search(
     matcher = LineMatcher(query, case_sensitive, regex)
     check_regex(corpus.sparkSession, matcher)
     limits = Limits.of(max_files, max_matches, max_file_bytes)
+    if "error" not in corpus.columns:
+        corpus = corpus.withColumn("error", F.lit(None).cast("string"))
     listing = list_corpus(corpus, globs, limits, allowed_roots)
     return _search_texts(
         listing.files, listing, matcher, context_lines, tuple(roots), redact_snippets

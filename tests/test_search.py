@@ -168,6 +168,28 @@ def test_case_folding_beyond_ascii(spark):
     assert len(cited(search(corpus(spark, texts), "οδος"))) == 3
 
 
+@pytest.mark.parametrize("context", [0, 3, 16, 17, 40, 10_000])
+def test_every_context_width_gives_the_same_kind_of_snippet(spark, context):
+    lines = [f"line {i} {'hit' if i % 3 == 0 else ''}" for i in range(1, 61)]
+    rows = search(
+        corpus(spark, {"a.txt": "\n".join(lines)}), "hit", context_lines=context
+    ).ordered()
+    assert [(r["line_number"], r["snippet"]) for r in rows.collect()] == [
+        (n, "\n".join(lines[max(1, n - context) - 1 : n + context])) for n in range(3, 61, 3)
+    ]
+
+
+def test_wide_context_streams_out_of_a_large_file(spark):
+    """Together the snippets have far more characters than one row may hold."""
+    text = F.repeat(F.lit("some line of text\n"), 20_000)
+    df = spark.range(1).select(F.lit("r").alias("root"), F.lit("r/a.txt").alias("p"), text.alias("t"))
+    output = search(
+        table_corpus(df, "p", "t", "root"), "line", context_lines=5_000, max_matches=UNLIMITED
+    )
+    total = output.matches.agg(F.count("*"), F.sum(F.length("snippet"))).first()
+    assert total[0] == 15_000 and total[1] > 2**31
+
+
 SECRET = "token = '0123456789abcdef0123456789'"
 
 

@@ -181,7 +181,7 @@ def test_every_context_width_gives_the_same_kind_of_snippet(spark, context):
 
 def test_wide_context_streams_out_of_a_large_file(spark):
     """Together the snippets have far more characters than one row may hold."""
-    text = F.repeat(F.lit("some line of text\n"), 20_000)
+    text = F.repeat(F.lit("some line of text\n"), 15_000)
     df = spark.range(1).select(F.lit("r").alias("root"), F.lit("r/a.txt").alias("p"), text.alias("t"))
     output = search(
         table_corpus(df, "p", "t", "root"), "line", context_lines=5_000, max_matches=UNLIMITED

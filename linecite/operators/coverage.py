@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linecite.functions.lines import hit_count, with_lines
 from linecite.functions.predicates import LineMatcher
+from linecite.operators.listing import Listing
 from linecite.operators.topn import first_rows
 from linecite.settings import REPORTED_SKIPS, Limits
 
@@ -48,12 +49,9 @@ def _first_messages(rows: DataFrame, order: Sequence[str], name: str, n: int) ->
 
 def coverage_summary(
     matches: DataFrame,
-    file_counts: DataFrame,
-    skips: DataFrame,
-    errors: DataFrame,
+    listing: Listing,
+    read_skips: DataFrame,
     roots: Sequence[str],
-    globs: Sequence[str],
-    limits: Limits,
     context_lines: int,
 ) -> DataFrame:
     """The one-row coverage report, a cross join of one-row aggregates.
@@ -61,30 +59,31 @@ def coverage_summary(
     ``skipped_files`` and ``errors`` hold the first ten messages and ``*_total`` the full counts:
     the messages themselves can be as many as the files, and stay rows (``skips``, ``errors``).
     """
+    skips = listing.skips.unionByName(read_skips)
     parts = [
-        file_counts,
-        skips.agg(F.count(F.lit(1)).alias("skipped_total")),
+        listing.counts(),
+        read_skips.agg(F.count(F.lit(1)).alias("files_unread")),
         _first_messages(skips, SKIP_ORDER, "skipped_files", REPORTED_SKIPS),
-        errors.agg(F.count(F.lit(1)).alias("errors_total")),
-        _first_messages(errors, ("path",), "errors", REPORTED_SKIPS),
+        listing.errors.agg(F.count(F.lit(1)).alias("errors_total")),
+        _first_messages(listing.errors, ("path",), "errors", REPORTED_SKIPS),
     ]
-    summary = match_counts(matches, limits.max_matches)
+    summary = match_counts(matches, listing.limits.max_matches)
     for part in parts:
         summary = summary.crossJoin(F.broadcast(part))
     return summary.select(
         F.array(*[F.lit(r) for r in roots]).cast("array<string>").alias("roots"),
-        F.array(*[F.lit(g) for g in globs]).cast("array<string>").alias("globs"),
+        F.array(*[F.lit(g) for g in listing.globs]).cast("array<string>").alias("globs"),
         "scanned_files",
         "files_truncated",
         "matched_files",
         "cited_files",
         "total_matches",
         "truncated",
-        "skipped_total",
+        (F.col("files_skipped") + F.col("files_unread")).alias("skipped_total"),
         "skipped_files",
         "errors_total",
         "errors",
-        limits_applied(limits, context_lines).alias("limits_applied"),
+        limits_applied(listing.limits, context_lines).alias("limits_applied"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +17,43 @@ from linecite.settings import Limits
 class Listing:
     """The outcome of listing a corpus.
 
-    ``files``: one row per file, the input columns plus ``ext``, ``kind`` and ``patterns`` (the
-    0-based indexes of the globs that selected it; a file selected twice counts twice).
-    ``skips``: ``phase, pattern_idx, path, reason, message``.
-    ``errors``: ``path, message`` of rows under a root that is not allowed.
+    ``rows``: one row per selected file, the input columns plus ``ext``, ``kind``, ``reason`` (null
+    for a file to search) and ``patterns``, the 0-based indexes of the globs that selected it; a
+    file selected twice counts twice. ``errors``: ``path, message`` of rows under a root that is
+    not allowed. ``limit_pattern``: the glob under which the file limit passed over further paths.
     """
 
-    files: DataFrame
-    skips: DataFrame
+    rows: DataFrame
     errors: DataFrame
     globs: tuple[str, ...]
     limits: Limits
+    limit_pattern: int | None = None
+
+    @property
+    def files(self) -> DataFrame:
+        """The files to search."""
+        return self.rows.where(F.col("reason").isNull()).drop("reason")
+
+    @property
+    def skips(self) -> DataFrame:
+        """``phase, pattern_idx, path, reason, message`` of everything passed over."""
+        skips = self.rows.where(F.col("reason").isNotNull()).select(
+            F.lit(0).alias("phase"),
+            F.explode("patterns").alias("pattern_idx"),
+            "path",
+            "reason",
+            paths.skip_message(F.col("reason"), F.col("path")).alias("message"),
+        )
+        if self.limit_pattern is None:
+            return skips
+        notice = self.rows.sparkSession.range(1).select(
+            F.lit(1).alias("phase"),
+            F.lit(self.limit_pattern).alias("pattern_idx"),
+            F.lit("").alias("path"),
+            F.lit("max_files").alias("reason"),
+            F.lit(f"Reached max_files limit ({self.limits.max_files})").alias("message"),
+        )
+        return skips.unionByName(notice)
 
     def occurrences(self) -> DataFrame:
         """One row per listed (pattern, path), duplicates kept."""
@@ -47,12 +73,17 @@ class Listing:
         )
 
     def counts(self) -> DataFrame:
-        """One row: ``scanned_files bigint, files_truncated boolean``."""
-        scanned = F.coalesce(F.sum(F.size("patterns")), F.lit(0)).cast("bigint")
+        """One row from one scan of names: ``scanned_files, files_truncated, files_skipped``."""
+        times = F.size("patterns").cast("bigint")
+        searched = F.col("reason").isNull()
+        scanned = F.sum(F.when(searched, times).otherwise(0)).cast("bigint")
+        scanned = F.coalesce(scanned, F.lit(0).cast("bigint"))
+        skipped = F.coalesce(F.sum(F.when(~searched, times)), F.lit(0).cast("bigint"))
         limit = self.limits.max_files
-        truncated = F.lit(False) if limit is None else scanned >= limit
-        return self.files.agg(
-            scanned.alias("scanned_files"), truncated.alias("files_truncated")
+        return self.rows.agg(
+            scanned.alias("scanned_files"),
+            (F.lit(False) if limit is None else scanned >= limit).alias("files_truncated"),
+            (skipped + int(self.limit_pattern is not None)).alias("files_skipped"),
         )
 
 
@@ -88,65 +119,44 @@ def list_corpus(
     )
     chosen = classify(corpus.where(allowed), globs, limits).where(F.size("patterns") > 0)
     is_file = F.col("is_file") if "is_file" in corpus.columns else F.lit(True)
-    files = chosen.where(is_file & F.col("reason").isNull()).drop("reason")
-    skips = _skip_rows(chosen.where(is_file & F.col("reason").isNotNull()))
-    if limits.max_files is not None:
-        files, skips = _limit_files(chosen, files, skips, limits.max_files)
-    return Listing(files=files, skips=skips, errors=errors, globs=globs, limits=limits)
-
-
-def _skip_rows(chosen: DataFrame) -> DataFrame:
-    return chosen.select(
-        F.lit(0).alias("phase"),
-        F.explode("patterns").alias("pattern_idx"),
-        "path",
-        "reason",
-        paths.skip_message(F.col("reason"), F.col("path")).alias("message"),
-    )
+    listing = Listing(chosen.where(is_file), errors, globs, limits)
+    if limits.max_files is None:
+        return listing
+    return _limit_files(chosen, listing, limits.max_files)
 
 
-def _limit_files(
-    chosen: DataFrame, files: DataFrame, skips: DataFrame, max_files: int
-) -> tuple[DataFrame, DataFrame]:
+def _limit_files(chosen: DataFrame, listing: Listing, max_files: int) -> Listing:
     """Keep the first ``max_files`` occurrences in (pattern, path) order.
 
     One job over names only finds the key of the last kept occurrence, a single row. Comparing with
     that constant then cuts files in place, so no text is shuffled, and a scan of a table stored in
     path order skips everything behind the cut.
     """
-    keys = files.select(F.explode("patterns").alias("pattern_idx"), "path")
+    keys = listing.files.select(F.explode("patterns").alias("pattern_idx"), "path")
     kept = first_rows(keys, [F.col("pattern_idx"), F.col("path")], max_files)
     reached, last = kept.agg(
         F.count(F.lit(1)) >= max_files, F.max(F.struct("pattern_idx", "path"))
     ).first()
     if not reached:
-        return files, skips
+        return listing
     cut_pattern, cut_path = last["pattern_idx"], last["path"]
+    inside = F.col("path") <= F.lit(cut_path)
 
     def kept_under(pattern: Column) -> Column:
-        inside = F.col("path") <= F.lit(cut_path)
         return (pattern < cut_pattern) | ((pattern == cut_pattern) & inside)
 
-    limited = files.withColumn("patterns", F.filter("patterns", kept_under)).where(
+    limited = listing.rows.withColumn("patterns", F.filter("patterns", kept_under)).where(
         F.size("patterns") > 0
     )
     if cut_pattern == 0:
         # Says the same for whole rows, in a form that reaches the scan.
-        limited = limited.where(F.col("path") <= F.lit(cut_path))
-    # The notice needs one further path, of any type, under the pattern that was being listed.
-    notice = (
-        chosen.where(F.array_contains("patterns", cut_pattern))
-        .where(F.col("path") > F.lit(cut_path))
-        .limit(1)
-        .select(
-            F.lit(1).alias("phase"),
-            F.lit(cut_pattern).alias("pattern_idx"),
-            F.lit("").alias("path"),
-            F.lit("max_files").alias("reason"),
-            F.lit(f"Reached max_files limit ({max_files})").alias("message"),
-        )
+        limited = limited.where(inside)
+    # One further path, of any type, under the pattern that was being listed draws a notice.
+    further = chosen.where(F.array_contains("patterns", cut_pattern) & ~inside)
+    passed_over = not further.select("path").isEmpty()
+    return replace(
+        listing, rows=limited, limit_pattern=cut_pattern if passed_over else None
     )
-    return limited, skips.where(kept_under(F.col("pattern_idx"))).unionByName(notice)
 
 
 def skip_report(skips: DataFrame) -> DataFrame:

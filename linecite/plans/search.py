@@ -53,21 +53,15 @@ class SearchOutput:
 
     def skips(self) -> DataFrame:
         """``phase, pattern_idx, path, reason, message`` of everything passed over."""
-        return self.listing.skips.unionByName(
-            read_skips(self.texts, self.found, self.listing.limits.max_matches)
-        )
+        return self.listing.skips.unionByName(self._read_skips())
+
+    def _read_skips(self) -> DataFrame:
+        return read_skips(self.texts, self.found, self.listing.limits.max_matches)
 
     def summary(self) -> DataFrame:
         """The one-row coverage report."""
         return coverage.coverage_summary(
-            self.found,
-            self.listing.counts(),
-            self.skips(),
-            self.listing.errors,
-            self.roots,
-            self.listing.globs,
-            self.listing.limits,
-            self.context_lines,
+            self.found, self.listing, self._read_skips(), self.roots, self.context_lines
         )
 
     def computed(self) -> "SearchOutput":

@@ -57,7 +57,7 @@ def test_files_and_skips(spark, tmp_path):
     assert skips == {
         f"{base}/{n}": f"Unsupported file type: {base}/{n}" for n in ("noext", "data.xyz")
     }
-    assert tuple(listing.counts().first()) == (10, False)
+    assert tuple(listing.counts().first()) == (10, False, 2)
 
 
 def test_globs_and_duplicates(spark, tmp_path):
@@ -92,7 +92,7 @@ def test_file_limit(spark, tmp_path):
     files, messages, counts = listed(5)
     assert files == [f"file_{i}.txt" for i in range(5)]
     assert messages == ["Reached max_files limit (5)"]
-    assert tuple(counts) == (5, True)
+    assert tuple(counts) == (5, True, 1)
     # An exact fit is called truncated, but nothing was passed over.
     files, messages, counts = listed(10)
     assert len(files) == 10 and messages == [] and counts["files_truncated"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from linecite.functions.redaction import SECRET_PATTERNS
+
 # ---- the corpus -----------------------------------------------------------------------------
 
 DOCS = """
@@ -104,26 +106,8 @@ MATCH = "SELECT file_path, location, snippet, line_number FROM found"
 
 # ---- redaction ------------------------------------------------------------------------------
 
-# Fixed values, as in the library.
-SECRETS = [
-    r"""(api[_-]?key["'\s]*[:=]["'\s]*[a-zA-Z0-9_-]{20,})""",
-    r"""(sk-[a-zA-Z0-9_-]{20,})""",
-    r"""(AIza[a-zA-Z0-9_-]{35})""",
-    r"""(password["'\s]*[:=]["'\s]*[^\s]{8,})""",
-    r"""(pwd["'\s]*[:=]["'\s]*[^\s]{6,})""",
-    r"""(token["'\s]*[:=]["'\s]*[a-zA-Z0-9_-]{20,})""",
-    r"""(bearer["'\s]+[a-zA-Z0-9_-]{20,})""",
-    r"""(mongodb://[^\s]+)""",
-    r"""(postgresql://[^\s]+)""",
-    r"""(mysql://[^\s]+)""",
-    r"""(AKIA[0-9A-Z]{16})""",
-    r"""-----BEGIN [A-Z]+ KEY-----""",
-    r"""-----BEGIN PRIVATE KEY-----""",
-]
-
-
 def redacted(column: str) -> str:
-    for pattern in SECRETS:
+    for pattern in SECRET_PATTERNS:
         quoted = pattern.replace("'", "''")
         column = f"regexp_replace({column}, '{quoted}', '[REDACTED]', 'gi')"
     return column
@@ -219,12 +203,9 @@ def rendered(head: str, text: str = "snippet") -> str:
                 FROM ({graded("report")})"""
 
 
-REPORT_HEAD = listed([ANY], 65536)
-
-
 def _report(word: str) -> str:
-    return matches(literal(word), REPORT_HEAD, limit=30) + ", " + coverage(
-        30, None, "documents", ["*"]
+    return matches(literal(word), ALL, limit=2000) + ", " + coverage(
+        2000, None, "documents", ["*"]
     )
 
 
@@ -370,7 +351,7 @@ ORACLES: dict[str, str] = {
     "json_required_keys": """SELECT event_id, event_type = 'click' AS valid,
       CASE event_type WHEN 'error' THEN 'Document invalid JSON' WHEN 'click' THEN NULL
            ELSE 'Document invalid. Missing: user' END AS message FROM events""",
-    "coverage": matches(literal("license"), listed(GLOBS, 8192), limit=2000)
+    "coverage": matches(literal("license"), listed(GLOBS), limit=2000)
     + ", "
     + coverage(2000, None, "documents", ["**/*.txt", "*.md", "en/**", "*.py"])
     + " SELECT * FROM report",

@@ -317,7 +317,7 @@ def _flat(summary: DataFrame) -> DataFrame:
 
 
 def _limited(spark, sf_dir):
-    """Overlapping globs, with every limit inside the corpus."""
+    """Overlapping globs and every limit at work: what the report says about limits."""
     return search(
         corpora.documents(spark, sf_dir),
         "the",
@@ -335,7 +335,6 @@ def coverage_query(spark, sf_dir):
         "license",
         globs=GLOBS,
         max_files=UNLIMITED,
-        max_file_bytes=8192,
         roots=ROOTS,
     )
     return _flat(output.summary())
@@ -372,8 +371,6 @@ def _report_search(spark, sf_dir, query):
         corpora.documents(spark, sf_dir),
         query,
         max_files=UNLIMITED,
-        max_matches=30,
-        max_file_bytes=65536,
         roots=ROOTS,
     )
 

@@ -13,7 +13,14 @@ from linecite.operators.listing import Listing
 from linecite.operators.topn import first_rows
 from linecite.settings import REPORTED_SKIPS, Limits
 
-SKIP_ORDER = ("phase", "pattern_idx", "path")
+def skip_order() -> list[Column]:
+    """Listing skips by pattern, then skips met while scanning, which goes by path."""
+    return [
+        F.col("phase"),
+        F.when(F.col("phase") < 2, F.col("pattern_idx")),
+        F.col("path"),
+        F.col("pattern_idx"),
+    ]
 
 
 def limits_applied(limits: Limits, context_lines: int | None = None) -> Column:
@@ -38,11 +45,11 @@ def match_counts(matches: DataFrame, max_matches: int | None) -> DataFrame:
     )
 
 
-def _first_messages(rows: DataFrame, order: Sequence[str], name: str, n: int) -> DataFrame:
+def _first_messages(rows: DataFrame, order: Sequence[Column], name: str, n: int) -> DataFrame:
     """One row: the first ``n`` messages in order, as an array."""
-    keys = [F.col(c) for c in order]
+    keys = [key.alias(f"k{i}") for i, key in enumerate(order)]
     entry = F.struct(*keys, F.col("message"))
-    return first_rows(rows, keys, n).agg(
+    return first_rows(rows, order, n).agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["message"]).alias(name)
     )
 
@@ -63,9 +70,9 @@ def coverage_summary(
     parts = [
         listing.counts(),
         read_skips.agg(F.count(F.lit(1)).alias("files_unread")),
-        _first_messages(skips, SKIP_ORDER, "skipped_files", REPORTED_SKIPS),
+        _first_messages(skips, skip_order(), "skipped_files", REPORTED_SKIPS),
         listing.errors.agg(F.count(F.lit(1)).alias("errors_total")),
-        _first_messages(listing.errors, ("path",), "errors", REPORTED_SKIPS),
+        _first_messages(listing.errors, [F.col("path")], "errors", REPORTED_SKIPS),
     ]
     summary = match_counts(matches, listing.limits.max_matches)
     for part in parts:

@@ -36,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linecite.llm.common import prepare
+from linecite.llm.common import prepare, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-SLICE_CHARS = 2_500_000
+SLICE_CHARS = 1_000_000
 #: Log-probabilities of pieces are multiplied by this; smaller values even out the sample.
 ALPHA = 0.2
 _U = np.uint64
@@ -455,7 +455,7 @@ def encode_samples(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(model, samples, alpha)
-        for batch in batches:
+        for batch in slices(batches):
             all_texts = batch.column("text").to_pylist()
             all_keys = batch.column("doc_id").to_pylist()
             for a, b in _text_slices(all_texts):

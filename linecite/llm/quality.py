@@ -1,6 +1,7 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by FTRL.
 
-Words and runs of punctuation, alone and in pairs, hash into ``2 ** bits`` weights. A text's features
+Words and runs of punctuation, alone and in pairs, hash into ``2 ** bits`` weights; a word said again at
+once is replaced by a mark for repetition. A text's features
 are shares of its n-grams, so its length does not matter. Weights follow the regularised leader: each
 coordinate keeps its gradient sum and squared sum, from which the weight is solved with an L1 and an
 L2 penalty, so rare n-grams stay at exactly zero. A score is a sparse dot product.
@@ -26,6 +27,7 @@ from linecite.llm.common import hash_share, held_out, prepare, slices
 
 #: About so many labelled rows are trained on, chosen by a hash of their id.
 TRAINING_ROWS = 6000
+_AGAIN = np.uint64(0x5EED)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -58,6 +60,8 @@ def feature_ids(text: str | None, bits: int) -> np.ndarray:
     """Hashed ids of the words, then of the pairs of neighbours, repeats included."""
     words = _TOKEN.findall((text or "").lower())
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    # Whatever the word, one that is said again at once is the same word to the model.
+    h[1:][h[1:] == h[:-1]] = _AGAIN
     pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed = np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), pairs])
     return (mixed >> np.uint64(64 - bits)).astype(np.int32)

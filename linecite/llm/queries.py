@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from linecite.llm import decontaminate, pii, quality, segment_sampling, simhash
+from linecite.llm import (
+    decontaminate,
+    language_id,
+    licenses,
+    pii,
+    quality,
+    segment_sampling,
+    simhash,
+    suffix_dedup,
+    vector_dedup,
+    warc,
+)
 from linecite.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs, licenses.train(docs))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_sampling.encode_samples(table(spark, sf_dir, "documents"))
 
@@ -19,11 +39,24 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"), pii.train(spark))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_components(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, benchmark)
@@ -34,9 +67,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_pii": op4_pii,
+    "op5_language_id": op5_language_id,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
     "pipeline": corpus_pipeline.run,

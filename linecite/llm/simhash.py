@@ -99,7 +99,10 @@ def _near(a: str, b: str) -> Column:
 
 def linked_pairs(distinct: DataFrame) -> DataFrame:
     """``a, b``: links between different fingerprints ``fp``, enough to connect all that link."""
-    variants = distinct.select("fp", F.explode(_segment_variants(F.col("fp"))).alias("key"))
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Each row becomes 64, so the few files of a narrow table are spread first.
+    spread = distinct.repartition(tasks, "fp")
+    variants = spread.select("fp", F.explode(_segment_variants(F.col("fp"))).alias("key"))
     shared = stored(
         variants.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))

@@ -1,0 +1,322 @@
+"""Decontamination, personal data, segmentation sampling, archives and the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from linecite.llm import decontaminate, pii, segment_sampling, simhash, warc
+from linecite.llm.quality import train as train_quality
+
+DOCS = "doc_id long, text string"
+
+
+# ---- decontamination ------------------------------------------------------------------------
+
+
+def plain_distance(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != t)))
+        row = new
+    return min(row)
+
+
+def test_myers_distance():
+    pick = random.Random(1)
+    for _ in range(500):
+        a = "".join(pick.choice("abc") for _ in range(pick.randint(0, 80)))
+        b = "".join(pick.choice("abc") for _ in range(pick.randint(0, 90)))
+        assert decontaminate.myers_distance(a, b) == plain_distance(a, b)
+
+
+def test_items_within_the_budget_are_found():
+    pick = random.Random(3)
+    words = ["the", "of", "and", "tion", "er", "inea", "stble", "ou", "thre", "on"]
+    found = 0
+    for _ in range(150):
+        item = " ".join(pick.choice(words) for _ in range(pick.randint(1, 30)))
+        edited = list(item)
+        for _ in range(pick.randint(0, int(len(item) * 0.14))):
+            at = pick.randrange(len(edited))
+            edited[at : at + pick.randint(0, 1)] = pick.choice(["", "x", "q "])
+            edited = list("".join(edited)) or ["x"]
+        around = [" ".join(pick.choice(words) for _ in range(20)) for _ in range(2)]
+        text = f"{around[0]} {''.join(edited)} {around[1]}"
+        wanted = plain_distance(decontaminate.normalised(item), decontaminate.normalised(text))
+        budget = int(len(decontaminate.normalised(item)) * decontaminate.ERROR_RATE)
+        got = decontaminate.ItemMatcher([(1, item)]).matches(text).get(0)
+        assert got == (wanted if wanted <= budget else None)
+        found += got is not None
+    assert found > 50
+
+
+def test_contaminated_rows(spark, monkeypatch):
+    items = [(1, "A benchmark question about the height of a tower"), (2, "a  benchmark question ABOUT the height of a tower"), (3, None), (4, ""), (None, "some other item of the benchmark set")]
+    docs = [(1, "x " * 30 + "a benchmark question about the hight of\na tower, yes"), (1, "plain"), (2, None), (3, ""), (None, "Some other item of the benchmark set!"), (5, "a benchmark question about the width of a river")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, DOCS).selectExpr("*", "'x' as distance")
+    for chars in (10, 8_000_000):
+        monkeypatch.setattr(decontaminate, "GROUP_CHARS", chars)
+        got = sorted((tuple(r) for r in decontaminate.contaminated(d, b).collect()), key=str)
+        assert got == [(1, 1, 1), (1, 2, 1), (None, None, 0)]
+        kept = decontaminate.drop_contaminated(d, b)
+        assert kept.columns == d.columns
+        assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "5"]
+    assert decontaminate.contaminated(d, b.limit(0)).collect() == []
+    assert decontaminate.contaminated(d.limit(0), b).collect() == []
+
+
+def test_contamination_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    plain = [(i, decontaminate.normalised(t)) for i, t in items.select("item_id", "text").collect()]
+    exact = {(d, i) for d, t in docs.select("doc_id", "text").collect() for i, x in plain if x in decontaminate.normalised(t)}
+    got = decontaminate.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["distance"] == 0} == exact and exact
+
+
+# ---- personal data --------------------------------------------------------------------------
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    def valid(kind, value):
+        digits = re.sub("[^0-9]", "", value)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in value.split("."))
+        if kind == "card":
+            total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[::-1]))
+            return 14 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 10 <= len(digits) <= 15
+
+    return sorted(
+        (m.start(), n, m.end(), kind)
+        for n, (kind, pattern) in enumerate(BASE.items())
+        for m in re.finditer(pattern, text or "")
+        if valid(kind, m.group())
+    )
+
+
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    return pii.train(spark)
+
+
+def test_base_spans(spark, pii_model):
+    pick = random.Random(5)
+    texts = ["".join(pick.choice("ab1234567890@.+-() %é😀\n") for _ in range(pick.randint(0, 120))) for _ in range(800)]
+    texts += [None, "", "1." * 3000 + "1", "a" * 50_000 + "@b.c", "1" * 20_000, "a." * 9000 + "@" + "b." * 9000]
+    texts += ["a@b.c%d@e.f 1.2.3.4.5.6.7.8.9", "+1((((555)555-5555x", "4111 1111-1111 1111", "0256.1.1.1 00255.1.1.1"]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    for r in pii.find_pii(docs, pii_model).collect():
+        wanted = plain_spans(texts[r["doc_id"]])
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, b, k in wanted)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), texts[r["doc_id"]][:200]
+        assert [r[f"n_{k}"] for k in BASE] == [sum(w[3] == k for w in wanted) for k in BASE]
+        assert set(filter(None, listed.split(","))) <= set(r["spans"].split(","))
+
+
+def test_added_spans(spark, pii_model):
+    cases = {
+        'the key token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" there': ["secret"],
+        "call tel: (487) 555-7209 now please": ["number"],
+        "write to someone (at) example (dot) com today": ["handle"],
+        "an ordinary line of 2024-01-31 with 10 000 000 things": [],
+        "a-long-slug-of-words-2024 and internationalization": [],
+        "order page 12345678 of 1990-1999": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), DOCS)
+    for r in pii.find_pii(docs, pii_model).collect():
+        text = list(cases)[r["doc_id"]]
+        assert [s.split(":")[0] for s in r["spans"].split(",") if s] == cases[text], text
+
+
+def test_trees_score_like_their_expression(spark, pii_model):
+    rows = np.random.default_rng(2).random((20, 17)) * 30
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(r.tolist(),) for r in rows], "f array<double>")
+    got = df.select(pii_model.trees.score(lambda i: F.element_at("f", i + 1)).alias("m")).collect()
+    assert [r["m"] for r in got] == pytest.approx(pii_model.trees.margins(rows).tolist())
+
+
+def test_redaction(spark, pii_model):
+    rows = [(1, "mail a@b.co or +1 (487) 555-7209 é", 99, "kept"), (None, None, None, None), (2, "", 0, ""), (3, "nothing", 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _text string")
+    got = [tuple(r) for r in pii.redact_pii(docs, pii_model).collect()]
+    assert got == [(1, "mail [EMAIL] or [PHONE] é", 25, "kept"), *rows[1:]]
+    assert pii.find_pii(docs.limit(0), pii_model).collect() == []
+
+
+# ---- segmentation sampling ------------------------------------------------------------------
+
+
+def all_segmentations(sampler, text):
+    pieces, text = {}, " " + text
+    for i, raw in enumerate(sampler.vocab.bytes):
+        if raw and i not in sampler.vocab.byte_ids:
+            pieces[raw.decode()] = i
+    found = {}
+
+    def go(at, ids, score):
+        if at == len(text):
+            found[tuple(ids)] = score
+        for end in range(at + 1, len(text) + 1):
+            if (i := pieces.get(text[at:end])) is not None:
+                go(end, [*ids, i], score + sampler.vocab.logp[i])
+
+    go(0, [], 0.0)
+    total = np.logaddexp.reduce(list(found.values()))
+    return {k: v - total for k, v in found.items()}
+
+
+@pytest.mark.parametrize("text", ["abc", "to be"])
+def test_sample_follows_the_lattice(text):
+    sampler, n = segment_sampling.Sampler(samples=3), 4000
+    wanted = all_segmentations(sampler, text)
+    drawn = sampler.encode([text] * n, [str(i) for i in range(n)])
+    first, pairs = Counter(), Counter()
+    for row in drawn:
+        ids = [tuple(s.ids.tolist()) for s in row]
+        assert len(set(ids)) == 3
+        assert all(abs(s.log_prob - wanted[k]) < 1e-9 for s, k in zip(row, ids))
+        first[ids[0]] += 1
+        pairs[ids[0], ids[1]] += 1
+    for a, p in wanted.items():
+        assert abs(first[a] / n - math.exp(p)) < 0.03
+        for b, q in wanted.items():
+            if a != b:
+                assert abs(pairs[a, b] / n - math.exp(p + q) / -math.expm1(p)) < 0.03
+    # Weighted by inclusion, a sample's probabilities estimate the whole, which is one.
+    whole = np.mean([sum(math.exp(s.log_prob - s.log_inclusion) for s in row) for row in drawn])
+    assert abs(whole - 1) < 0.03
+
+
+def test_few_segmentations_are_all_drawn():
+    sampler = segment_sampling.Sampler(samples=10)
+    row = sampler.encode(["abc"], ["1"])[0]
+    assert {tuple(s.ids.tolist()) for s in row} == set(all_segmentations(sampler, "abc"))
+    assert all(s.log_inclusion == 0 for s in row)
+
+
+def test_encoding_round_trip(spark):
+    rows = [(1, "the token\nxé😀▁ a  b\t\r\n"), (2, None), (3, ""), (4, " "), (None, "▁ ▁"), (5, "x" * 3000), (5, "\u0000  ")]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as sample")
+    encoded = segment_sampling.encode_samples(docs, 3)
+    got = encoded.collect()
+    assert all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in got)
+    assert sorted(str(r["sample"]) + str(r["doc_id"]) for r in got if r["doc_id"] in (2, 3)) == ["12", "13"]
+    decoded = segment_sampling.decode_samples(encoded).collect()
+    assert {(r["doc_id"], r["text"]) for r in decoded} == {(i, t or "") for i, t in rows}
+    assert segment_sampling.encode_samples(docs.limit(0)).collect() == []
+
+
+def test_a_sample_depends_on_its_row_only(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {(r["doc_id"], r["sample"]): (r["ids"], r["log_prob"]) for r in segment_sampling.encode_samples(docs).collect()}
+    for r in segment_sampling.encode_samples(docs.where("doc_id % 7 = 3").repartition(3)).collect():
+        ids, log_prob = one[r["doc_id"], r["sample"]]
+        assert r["ids"] == ids and r["log_prob"] == pytest.approx(log_prob) and r["round_trip"]
+
+
+# ---- archives -------------------------------------------------------------------------------
+
+
+def plain_archive(rows):
+    first = {}
+    for page, _, html in rows:
+        data = (html or "").encode()
+        if len(data) >= warc.LEAST_PAYLOAD and page is not None:
+            first[data] = min(page, first.get(data, page))
+    out = []
+    for page, _, html in rows:
+        data = (html or "").encode()
+        refers = first.get(data)
+        revisit = refers is not None and refers != page
+        out.append((page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", refers if revisit else None))
+    return sorted(out, key=str)
+
+
+def test_archives(spark, monkeypatch):
+    pick = random.Random(6)
+    urls = ["http://a.b/c", "https://x.y.z:8080/q?é=\n1", None, "", "http://[bad", "http://a.b/other"]
+    html = [None, "", "x" * 99, "y" * 100, "é" * 60, "z" * 300, "WARC/1.1\r\n\r\n" * 20]
+    rows = [(i, pick.choice(urls), pick.choice(html)) for i in range(300)]
+    rows += [(None, "http://a.b", "z" * 300), (7, "http://a.b", "z" * 300), *rows[:5]]
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as digest")
+    assert sorted((tuple(r) for r in warc.archive_round_trip(pages).collect()), key=str) == plain_archive(rows)
+    assert warc.archive_round_trip(pages.limit(0)).collect() == []
+
+
+def test_index_blocks(spark, tmp_path):
+    places = [(f"com,host)/{i // 3:05d} {i:04d}", "a", i, 1) for i in range(500)] + [("same", "a", i, 1) for i in range(40)]
+    captures = spark.createDataFrame(places, "key string, archive string, offset long, length long")
+    index = warc.write_index(captures, str(tmp_path), block_lines=7).collect()
+    lookup = warc.CaptureIndex(str(tmp_path), sorted((tuple(r) for r in index), key=lambda r: r[1].encode()))
+    assert all(lookup.find(k) == [(a, o, n)] for k, a, o, n in places[:500])
+    assert sorted(o for _, o, _ in lookup.find("same")) == list(range(40))
+    assert lookup.find("com,host)/none") == [] and lookup.find("") == []
+
+
+# ---- pipeline -------------------------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        out = stage(spark, docs, sf_dir).cache()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == columns
+            after = {r["doc_id"]: r["text"] for r in out.collect()}
+            seen.append((name, before, after))
+        docs = out
+    by_name = {name: (before, after) for name, before, after in seen}
+
+    before, after = by_name["quality classifier"]
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train_quality(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert set(after) == {i for i, t in before.items() if model.score(t) >= 0.5}
+
+    before, after = by_name["simhash near-dedup"]
+    prints = {i: simhash.fingerprint(t) for i, t in before.items()}
+    for i in before:
+        near = [j for j in before if (prints[i] ^ prints[j]).bit_count() <= 2]
+        assert i in after or min(near) < i
+    assert all((prints[a] ^ prints[b]).bit_count() > 2 for a in after for b in after if a < b)
+
+    before, after = by_name["benchmark decontamination"]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    matcher = decontaminate.ItemMatcher(items)
+    assert set(after) == {i for i, t in before.items() if not matcher.matches(t)}
+
+    before, after = by_name["pii"]
+    assert set(after) == set(before)
+    for i, text in before.items():
+        if not plain_spans(text) and "token" not in text:
+            assert after[i] == text
+        assert not plain_spans(after[i])
+
+    assert {r["doc_id"] for r in docs.collect()} == set(after)
+    assert {(r["doc_id"], r["text"]) for r in segment_sampling.decode_samples(docs).collect()} == set(after.items())
+    assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()

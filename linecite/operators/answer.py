@@ -18,7 +18,7 @@ def answer(matches: DataFrame, question: str) -> DataFrame:
     leading = first_rows(matches, result_order(), KEY_POINTS)
     order = F.struct(
         "file_path",
-        F.when(~F.col("is_doc"), F.col("line_number")).alias("n"),
+        F.when(~F.col("is_doc"), F.col("order_number")).alias("n"),
         F.when(F.col("is_doc"), F.col("location")).alias("l"),
         "occurrence",
         key_point(F.col("snippet")).alias("point"),

@@ -140,11 +140,11 @@ def confidence_by_root(files: DataFrame, matcher: LineMatcher) -> DataFrame:
     Hits are counted inside each row, so only one row per root and task is shuffled, however many
     files a root has.
     """
-    hits = F.when(
-        matcher.document(F.col("text")), hit_count(F.col("lines"), matcher.line)
-    ).otherwise(F.lit(0).cast("bigint"))
+    # Texts without a hit become null before they are split, so only the others are.
+    tested = files.withColumn("text", F.when(matcher.document(F.col("text")), F.col("text")))
+    hits = F.coalesce(hit_count(F.col("lines"), matcher.line), F.lit(0)).cast("bigint")
     times = F.size("patterns").cast("bigint")
-    counted = with_lines(files).select("root", hits.alias("hits"), times.alias("times"))
+    counted = with_lines(tested).select("root", hits.alias("hits"), times.alias("times"))
     return with_confidence(
         counted.groupBy("root").agg(
             F.sum(F.col("hits") * F.col("times")).alias("total_matches"),

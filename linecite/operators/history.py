@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +44,12 @@ def save_coverage(summary: DataFrame, table_path: str) -> None:
 
 def load_history(spark: SparkSession, table_path: str) -> DataFrame:
     """All records; none if nothing was saved."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
+    try:
+        return spark.read.schema(RECORD_SCHEMA).parquet(table_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], RECORD_SCHEMA)
-    return spark.read.schema(RECORD_SCHEMA).parquet(table_path)
 
 
 def clear_history(spark: SparkSession, table_path: str) -> None:
@@ -119,5 +121,6 @@ def top_roots(history: DataFrame, n: int = TOP_ROOTS) -> DataFrame:
 
 
 def history_summary(history: DataFrame) -> DataFrame:
-    """The totals beside each of the top roots; one row with null root without any."""
+    """Totals of the retained entries beside each of their top roots; null root without any."""
+    history = retained(history)
     return history_totals(history).join(F.broadcast(top_roots(history)), how="left", on=F.lit(True))

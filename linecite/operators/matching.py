@@ -21,8 +21,9 @@ def match_lines(texts: DataFrame, matcher: LineMatcher, context_lines: int) -> D
     """One row per matching line and listed occurrence. No shuffle.
 
     ``texts`` has ``path, kind, text`` and ``patterns``. Adds to the match columns: ``is_doc``,
-    ``occurrence`` (1-based among the globs that selected the file) and ``opens_file``, true on
-    the first match of each occurrence, which makes counting matched files a plain sum.
+    ``occurrence`` (1-based among the globs that selected the file), ``order_number``, the line number
+    that orders use even where the shown one is taken away, and ``opens_file``, true on the first match
+    of each occurrence, which makes counting matched files a plain sum.
     """
     lines = F.col("lines")
     lined = with_lines(texts.where(matcher.document(F.col("text"))))
@@ -42,6 +43,7 @@ def match_lines(texts: DataFrame, matcher: LineMatcher, context_lines: int) -> D
         location(F.col("kind"), number).alias("location"),
         "snippet",
         "line_number",
+        number.alias("order_number"),
         (F.col("kind") != "text").alias("is_doc"),
         F.explode(F.sequence(F.lit(1), F.size("patterns"))).alias("occurrence"),
         (F.col("_pos") == 0).alias("opens_file"),
@@ -50,14 +52,14 @@ def match_lines(texts: DataFrame, matcher: LineMatcher, context_lines: int) -> D
 
 def scan_order() -> list[Column]:
     """The order in which matches are found, and hence cut."""
-    return [F.col("file_path"), F.col("occurrence"), F.col("line_number")]
+    return [F.col("file_path"), F.col("occurrence"), F.col("order_number")]
 
 
 def result_order() -> list[Column]:
     """The order in which matches are shown. Document locations sort as text: 10 before 2."""
     return [
         F.col("file_path"),
-        F.when(~F.col("is_doc"), F.col("line_number")),
+        F.when(~F.col("is_doc"), F.col("order_number")),
         F.when(F.col("is_doc"), F.col("location")),
         F.col("occurrence"),
     ]
@@ -71,7 +73,7 @@ def limit_matches(matches: DataFrame, max_matches: int | None) -> DataFrame:
 
 
 def redact_matches(matches: DataFrame) -> DataFrame:
-    """Secrets removed from the joined snippets. The line number goes, the location stays."""
+    """Secrets removed from the joined snippets. The shown line number goes, the order stays."""
     return matches.withColumn("snippet", redact(F.col("snippet"))).withColumn(
         "line_number", F.lit(None).cast("int")
     )

@@ -9,7 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 #: Middle-level groups: each merges (tasks / 1024) task results, the last step 1024 group results.
 _GROUPS = 1024
 #: Above this the last merge is a distributed sort's business, not one task's.
@@ -27,11 +26,7 @@ def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """
     if n > MAX_FIRST_ROWS:
         return df.orderBy(*order).limit(n)
-    spark = df.sparkSession
-    # Lets the row_number filter below cut rows before the shuffle. Only ever raised; a lower
-    # value would change the speed but not the rows.
-    if int(spark.conf.get(_GROUP_LIMIT_CONF)) < n:
-        spark.conf.set(_GROUP_LIMIT_CONF, str(MAX_FIRST_ROWS))
+    # ``session.configure`` lets the filter on row_number cut rows before the shuffle for any n here.
     group = Window.partitionBy("_group").orderBy(*order)
     return (
         df.withColumn("_group", F.spark_partition_id() % _GROUPS)

@@ -55,6 +55,10 @@ class SearchOutput:
         """``phase, pattern_idx, path, reason, message`` of everything passed over."""
         return self.listing.skips.unionByName(self._read_skips())
 
+    def errors(self) -> DataFrame:
+        """``path, message`` of all rows under a root that is not allowed."""
+        return self.listing.errors
+
     def _read_skips(self) -> DataFrame:
         return read_skips(self.texts, self.found, self.listing.limits.max_matches)
 

@@ -6,7 +6,7 @@ import io
 import pytest
 
 from linecite import UNLIMITED
-from linecite.sources.csv_rows import cell, csv_rows, csv_summary, read_regular_csv
+from linecite.sources.csv_rows import cell, csv_rows, csv_summary
 from linecite.sources.documents import docx_text, join_pages, read_text_file
 from workload.corpora import docx_bytes, docx_package
 
@@ -125,10 +125,3 @@ def test_csv_cells_and_header(spark):
     assert [tuple(r) for r in found] == [
         (["name", "value"], None), (["test1", "123"], None), (["test2", "456"], None),
     ]
-
-
-def test_the_regular_reader_agrees_on_regular_files(spark, tmp_path):
-    path = tmp_path / "q.csv"
-    path.write_bytes(b'a,b,c\n1,"x\ny","q""r"\n')
-    rows = read_regular_csv(spark, str(path)).collect()
-    assert [list(r) for r in rows] == [["a", "b", "c"], ["1", "x\ny", 'q"r']]

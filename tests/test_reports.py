@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from linecite import UNLIMITED, ask_report, search, search_report, sources_report, table_corpus
+from linecite import UNLIMITED, ask, ask_report, search, search_report, sources_report, table_corpus
 from linecite.operators import history as h
 from linecite.operators.answer import answer
 from linecite.operators.coverage import with_confidence
@@ -106,6 +106,22 @@ def test_answer_for_one_file(spark):
     )
 
 
+ORDERED = {"notes.txt": "z hit\nx\na hit\nm hit\nc hit\n\n\n\n\nq hit"}
+
+
+def test_answers_keep_the_order_of_lines(spark):
+    report = text(ask_report(search(corpus(spark, ORDERED), "hit", context_lines=0)))
+    assert "includes:\n- z hit\n- a hit\n- m hit\n" in report
+
+
+def test_redacted_citations_keep_their_order(spark):
+    rows = corpus(spark, ORDERED).repartition(3)
+    output = ask(search(rows, "hit", globs=["*.txt", "*"], context_lines=0))
+    found = output.ordered().collect()
+    assert [r["location"] for r in found] == [n for n in ("1", "3", "4", "5", "10") for _ in range(2)]
+    assert all(r["line_number"] is None for r in found)
+
+
 def test_reports_need_a_match_limit(spark):
     output = search(corpus(spark, {"a.txt": "x"}), "x", max_matches=UNLIMITED)
     with pytest.raises(ValueError):

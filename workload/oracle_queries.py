@@ -27,7 +27,7 @@ PY = "ends_with(below, '.py')"
 GLOBS = [TXT, MD, EN, PY]
 
 
-def chosen(conditions: list[str], max_bytes: int = 10485760) -> str:
+def chosen(conditions: list[str], max_bytes: int = 1 << 60) -> str:
     """``chosen``: one row per (glob, path) with the skip reason, sizes tested first."""
     cases = " UNION ALL ".join(
         f"SELECT {i} AS pattern_idx, * FROM docs WHERE {c}" for i, c in enumerate(conditions)
@@ -40,7 +40,7 @@ def chosen(conditions: list[str], max_bytes: int = 10485760) -> str:
       FROM ({cases}))"""
 
 
-def listed(conditions: list[str], max_bytes: int = 10485760, max_files: int | None = None) -> str:
+def listed(conditions: list[str], max_bytes: int = 1 << 60, max_files: int | None = None) -> str:
     """``files`` (with occurrence numbers) and ``skips``, cut at ``max_files``."""
     head = chosen(conditions, max_bytes)
     if max_files is None:
@@ -203,10 +203,9 @@ def rendered(head: str, text: str = "snippet") -> str:
                 FROM ({graded("report")})"""
 
 
-def _report(word: str) -> str:
-    return matches(literal(word), ALL, limit=2000) + ", " + coverage(
-        2000, None, "documents", ["*"]
-    )
+def _report(word: str, conditions: list[str], globs: list[str]) -> str:
+    head = matches(literal(word), listed(conditions), limit=2000)
+    return head + ", " + coverage(2000, None, "documents", globs)
 
 
 def _search_report(word: str) -> str:
@@ -215,15 +214,15 @@ def _search_report(word: str) -> str:
       || (CASE WHEN truncated THEN '**Warning:** Results truncated due to limits' || {NL}
           ELSE '' END) || {NL} || (CASE WHEN total_matches > 0 THEN '### Matches'
           ELSE '### No matches found' || {NL} END) FROM report)"""
-    return _report(word) + " " + rendered(head)
+    return _report(word, [ANY], ["*"]) + " " + rendered(head)
 
 
-def _ask_report(word: str) -> str:
+def _ask_report(word: str, conditions: list[str], globs: list[str]) -> str:
     text = redacted("snippet")
     head = f"""(SELECT '## Answer' || {NL} || answer || {NL} || {NL}
       || (CASE WHEN total_matches > 0 THEN '### Citations'
           ELSE '### No sources found' || {NL} END) FROM report, answered)"""
-    return _report(word) + ", " + answer(word, text) + " " + rendered(head, text)
+    return _report(word, conditions, globs) + ", " + answer(word, text) + " " + rendered(head, text)
 
 
 LIMITED = (
@@ -314,12 +313,12 @@ ORACLES: dict[str, str] = {
       SELECT path, text || chr(65533) || {NL} AS text, NULL::VARCHAR AS error FROM docs""",
     "extract_docx": f"WITH {DOCS} SELECT path, text, NULL::VARCHAR AS error FROM docs",
     "extract_documents": f"""WITH {DOCS}
-      SELECT path, 'docx' AS kind, text, NULL::VARCHAR AS error FROM docs WHERE ext = '.docx'
+      SELECT path, 'docx' AS kind, text, NULL::VARCHAR AS error FROM docs WHERE doc_id % 3 = 0
       UNION ALL SELECT path, 'docx', NULL,
         'Skipped DOCX: Failed to extract DOCX text: File is not a zip file'
-      FROM docs WHERE ext = '.xyz'
+      FROM docs WHERE doc_id % 3 = 1
       UNION ALL SELECT path, 'pdf', NULL, 'Skipped PDF: PDF decoder not available'
-      FROM docs WHERE ext = '.md'""",
+      FROM docs WHERE doc_id % 3 = 2""",
     "read_csv_rows": f"{CSV} SELECT *, NULL::VARCHAR AS error FROM rows",
     "csv_limits": f"""{CSV}
       SELECT path, 'line|length' AS columns, least(count(*), 10) AS n_rows,
@@ -351,9 +350,9 @@ ORACLES: dict[str, str] = {
     "json_required_keys": """SELECT event_id, event_type = 'click' AS valid,
       CASE event_type WHEN 'error' THEN 'Document invalid JSON' WHEN 'click' THEN NULL
            ELSE 'Document invalid. Missing: user' END AS message FROM events""",
-    "coverage": matches(literal("license"), listed(GLOBS), limit=2000)
+    "coverage": matches(literal("license"), listed(GLOBS))
     + ", "
-    + coverage(2000, None, "documents", ["**/*.txt", "*.md", "en/**", "*.py"])
+    + coverage(None, None, "documents", ["**/*.txt", "*.md", "en/**", "*.py"])
     + " SELECT * FROM report",
     "coverage_limited": f"{LIMITED} SELECT * FROM report",
     "coverage_record": f"""{LIMITED} SELECT roots, globs, scanned_files, matched_files,
@@ -365,20 +364,21 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (WHERE h > 0) AS matched_files, count(*) AS scanned_files
         FROM hits GROUP BY root)
       {graded("per_root")}""",
-    "answer": f"""{matches(literal("token"), ALL, limit=2000)}, {answer("token", redacted("snippet"))}
+    "answer": f"""{matches(literal("token"), listed([TXT, ANY]))}, {answer("token", redacted("snippet"))}
       SELECT answer FROM answered""",
     "answer_none": f"""{matches(literal("no such phrase"), ALL)}, {answer("no such phrase")}
       SELECT answer FROM answered""",
     "render_search": _search_report("license"),
-    "render_ask": _ask_report("license"),
-    "ask_report": _ask_report("token"),
+    "render_ask": _ask_report("license", [ANY], ["*"]),
+    "ask_report": _ask_report("the", [TXT, ANY], ["*.txt", "*"]),
     "render_coverage": f"{LIMITED} SELECT {SECTION} AS text FROM report",
     "history_retention": f"""{HISTORY} SELECT seq, roots, scanned AS scanned_files
       FROM history ORDER BY seq DESC LIMIT 50""",
     "last_coverage": f"{LAST} SELECT * FROM report",
     "sources_report": f"""{LAST} SELECT 0::BIGINT AS seq,
       '## Last Search Coverage' || {NL} || {NL} || {SECTION} AS text FROM report""",
-    "history_summary": f"""{HISTORY}, top AS (
+    "history_summary": f"""{HISTORY.replace("history AS", "stored AS")}, history AS (
+        SELECT * FROM stored ORDER BY seq DESC LIMIT 50), top AS (
         SELECT row_number() OVER (ORDER BY searches DESC, first)::INT AS rank, root, searches
         FROM (SELECT roots AS root, count(*) AS searches, min(seq) AS first
               FROM history GROUP BY roots) ORDER BY rank LIMIT 5)

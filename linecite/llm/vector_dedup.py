@@ -7,7 +7,7 @@ vector's halves would have to move to get there, which is how far they are from
 codewords. The walk ends at a cost that a partner at exactly the least cosine exceeds with a chance
 of ``1 - TARGET_RECALL``, measured on sampled vectors moved to that cosine in random directions.
 Candidates in visited cells are verified in double precision. A pair counts if either end visits the
-other's cell.
+other's cell, so pairs are missed much less often than that chance says.
 
 Equal vectors of a label are folded first and counted by their number. Members and visitors of a cell
 are split into blocks of ``BLOCK``, so no task holds a crowded cell, and a pair of blocks returns counts
@@ -33,11 +33,11 @@ from linecite.llm.common import hash_share, prepare, slices, stored
 from linecite.llm.components import connected_components
 
 LEAST_COSINE = 0.93
-TARGET_RECALL = 0.999
+TARGET_RECALL = 0.98
 #: Vectors that codebooks are fitted to, at most about.
 SAMPLE_ROWS = 4096
 BLOCK = 2048
-#: Vectors per grid cell that the number of codewords aims at, and the most codewords of a half.
+#: Vectors of the largest label per grid cell that the number of codewords aims at, and the most codewords of a half.
 PER_CELL = 64
 MOST_CODEWORDS = 256
 
@@ -133,13 +133,16 @@ def _unit(rows: list) -> np.ndarray:
 def fit_grids(folded: DataFrame, least: float, recall: float, rows: int) -> dict[int, Grid]:
     """A :class:`Grid` per vector length, from a bounded sample."""
     grids = {}
-    for size in folded.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect():
+    # A label is searched by itself, so the grid is made for the largest one.
+    sizes = folded.groupBy("dims", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("dims").agg(F.sum("n").alias("n"), F.max("n").alias("largest"))
+    for size in sizes.collect():
         own = folded.where(F.col("dims") == size["dims"])
         share = rows / size["n"]
         sample = own.where(hash_share(F.col("node"), share, "grid")).limit(2 * rows).select("node", "unit")
         found = sorted(sample.collect())
         if found:
-            codewords = min(MOST_CODEWORDS, max(4, int((size["n"] / PER_CELL) ** 0.5)))
+            codewords = min(MOST_CODEWORDS, max(4, int((size["largest"] / PER_CELL) ** 0.5)))
             grids[size["dims"]] = Grid(np.array([r["unit"] for r in found]), codewords, least, recall)
     return grids
 

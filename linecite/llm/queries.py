@@ -80,4 +80,13 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op8_warc": """WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS size, sha256(coalesce(html, '')) AS digest
+        FROM pages),
+      f AS (SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first
+            FROM p)
+      SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+             CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+             CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+}

@@ -10,10 +10,11 @@ from linecite.plans.search import (
     search,
     search_directory,
 )
-from linecite.settings import UNLIMITED, Limits
+from linecite.settings import STANDARD_LIMITS, UNLIMITED, Limits
 from linecite.sources.tables import table_corpus
 
 __all__ = [
+    "STANDARD_LIMITS",
     "UNLIMITED",
     "LineMatcher",
     "Limits",

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linecite.functions.lines import hit_numbers, line_hits, snippet, with_lines
+from linecite.functions.lines import hit_numbers, snippet, with_lines
 from linecite.functions.paths import location
 from linecite.functions.predicates import LineMatcher
 from linecite.functions.redaction import redact
 from linecite.operators.topn import first_rows
 
 MATCH_COLUMNS = ["file_path", "location", "snippet", "line_number"]
-#: Up to this context, snippets are cut inside the document's row. Above it they could outgrow a row
-#: together, so hits are exploded first and each snippet is cut on its way out.
-INLINE_CONTEXT = 16
 
 
 def match_lines(texts: DataFrame, matcher: LineMatcher, context_lines: int) -> DataFrame:
     """One row per matching line and listed occurrence. No shuffle.
 
+    The numbers of the hits are exploded and each snippet is cut on its way out, so a document's
+    snippets are never in one row together, whatever the context.
+
     ``texts`` has ``path, kind, text`` and ``patterns``. Adds to the match columns: ``is_doc``,
     ``occurrence`` (1-based among the globs that selected the file), ``order_number``, the line number
     that orders use even where the shown one is taken away, and ``opens_file``, true on the first match
@@ -27,16 +27,10 @@ def match_lines(texts: DataFrame, matcher: LineMatcher, context_lines: int) -> D
     """
     lines = F.col("lines")
     lined = with_lines(texts.where(matcher.document(F.col("text"))))
-    if context_lines <= INLINE_CONTEXT:
-        hits = line_hits(lines, matcher.line, context_lines)
-        found = lined.select(
-            "path", "kind", "patterns", F.posexplode(hits).alias("_pos", "hit")
-        ).select("path", "kind", "patterns", "_pos", "hit.*")
-    else:
-        hits = hit_numbers(lines, matcher.line)
-        found = lined.select(
-            "path", "kind", "patterns", "lines", F.posexplode(hits).alias("_pos", "line_number")
-        ).withColumn("snippet", snippet(lines, F.col("line_number"), context_lines))
+    hits = hit_numbers(lines, matcher.line)
+    found = lined.select(
+        "path", "kind", "patterns", "lines", F.posexplode(hits).alias("_pos", "line_number")
+    ).withColumn("snippet", snippet(lines, F.col("line_number"), context_lines))
     number = F.col("line_number")
     return found.select(
         F.col("path").alias("file_path"),

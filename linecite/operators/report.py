@@ -1,22 +1,23 @@
 """Reports as rows ``seq bigint, text string``: one block of lines per row, in ``seq`` order.
 
-Rows rather than one string, so a report over large snippets never has to fit in one value. The
-number of rows is bounded by the match limit.
+Rows rather than one string, so a report over large snippets never has to fit in one value. Match
+blocks are numbered by ranges of the result order, so any number of matches can be reported.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linecite.functions.text import rstrip
 from linecite.operators.coverage import with_confidence
 from linecite.operators.matching import result_order
+from linecite.operators.topn import numbered
 from linecite.settings import REPORTED_SKIPS
 
 _FENCE = "```"
 #: ``seq`` of the coverage block; match blocks are numbered from 1 and never reach it.
-COVERAGE_SEQ = 1_000_000_000
+COVERAGE_SEQ = 1_000_000_000_000_000
 
 
 def _lines(*parts: Column | str) -> Column:
@@ -39,7 +40,7 @@ def coverage_section(summary: DataFrame) -> Column:
         lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string")),
     )
     skipped, more = F.col("skipped_total"), F.col("skipped_total") - REPORTED_SKIPS
-    errors = F.col("errors_total")
+    errors, further = F.col("errors_total"), F.col("errors_total") - F.size("errors")
 
     def titled(title: str, total: Column) -> Column:
         return F.when(
@@ -61,13 +62,12 @@ def coverage_section(summary: DataFrame) -> Column:
         F.when(more > 0, F.concat(F.lit("- ... and "), more.cast("string"), F.lit(" more"))),
         titled("Errors", errors),
         _bullets(F.col("errors")),
+        F.when(further > 0, F.concat(F.lit("- ... and "), further.cast("string"), F.lit(" more"))),
     )
 
 
 def _match_blocks(matches: DataFrame) -> DataFrame:
-    # One task numbers the matches, of which there are at most the match limit.
-    number = F.row_number().over(Window.orderBy(*result_order())).cast("bigint")
-    return matches.withColumn("seq", number).select(
+    return numbered(matches, result_order(), "seq").select(
         "seq",
         _lines(
             F.concat(

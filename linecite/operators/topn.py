@@ -1,8 +1,7 @@
-"""First-n rows and checkpoints that hold up on very many partitions."""
+"""First-n rows, row numbers and checkpoints that hold up on very many partitions."""
 
 from __future__ import annotations
 
-import logging
 import tempfile
 from collections.abc import Sequence
 
@@ -11,10 +10,8 @@ from pyspark.sql import functions as F
 
 #: Middle-level groups: each merges (tasks / 1024) task results, the last step 1024 group results.
 _GROUPS = 1024
-#: Above this the last merge is a distributed sort's business, not one task's.
-MAX_FIRST_ROWS = 100_000
-
-log = logging.getLogger(__name__)
+#: More rows than this are not merged in one task; ranges of the order are counted instead.
+MAX_FIRST_ROWS = 10_000
 
 
 def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
@@ -22,10 +19,10 @@ def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
     ``orderBy().limit(n)`` alone sends n rows from every task to one task, which is far too much
     when there are 100,000 tasks. Here every task keeps its first n rows, groups of tasks merge
-    theirs, and only the group results meet in one task.
+    theirs, and only the group results meet in one task. Large n are cut by row number, in no task.
     """
     if n > MAX_FIRST_ROWS:
-        return df.orderBy(*order).limit(n)
+        return numbered(df, order, "_number").where(F.col("_number") <= n).drop("_number").orderBy(*order)
     # ``session.configure`` lets the filter on row_number cut rows before the shuffle for any n here.
     group = Window.partitionBy("_group").orderBy(*order)
     return (
@@ -38,11 +35,36 @@ def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name bigint``, each row's place in the given order, from 1 on. Computes ``df``.
+
+    Rows are dealt out by ranges of the order and checkpointed with the number of their range. The
+    counts of the ranges, one row each, tell how many rows come before a range, so no task ever
+    holds more than one of them.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(
+        df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    )
+    earlier = Window.orderBy("_counted").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        dealt.groupBy(F.col("_range").alias("_counted"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_counted", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (
+        dealt.withColumn("_inside", inside)
+        .join(F.broadcast(before), F.col("_range") == F.col("_counted"))
+        .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
+        .drop("_range", "_counted", "_inside", "_before")
+    )
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into the checkpoint folder the cluster names.
 
-    In local mode without such a folder a temporary one is set. On a cluster without one the
-    frame stays lazy: right, but computed again by every use.
+    In local mode without such a folder a temporary one is set; a cluster must name one.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -50,8 +72,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if folder is None and context.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="linecite-checkpoint-")
         if folder is None:
-            log.warning("spark.checkpoint.dir is unset; results are recomputed on every use")
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

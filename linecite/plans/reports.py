@@ -15,7 +15,7 @@ from linecite.plans.search import SearchOutput
 
 def search_report(output: SearchOutput) -> DataFrame:
     """The search report. The search itself runs once; snippets stay as they are."""
-    output = output.reportable()
+    output = output.computed()
     return report.search_report(output.matcher.query, output.found, output.summary())
 
 
@@ -26,7 +26,7 @@ def ask(output: SearchOutput) -> SearchOutput:
 
 def ask_report(output: SearchOutput) -> DataFrame:
     """Answer, redacted citations, coverage and confidence. The query is the question."""
-    output = ask(output).reportable()
+    output = ask(output).computed()
     return report.ask_report(
         answer(output.found, output.matcher.query), output.found, output.summary()
     )

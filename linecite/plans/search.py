@@ -20,7 +20,7 @@ from linecite.operators.matching import (
     read_skips,
     result_order,
 )
-from linecite.operators.topn import MAX_FIRST_ROWS, checkpointed
+from linecite.operators.topn import checkpointed
 from linecite.settings import DEFAULT_CONTEXT_LINES, Limits
 from linecite.sources.directory import (
     directory_names,
@@ -72,13 +72,6 @@ class SearchOutput:
         """The same search with its matches checkpointed, so that several uses scan once."""
         return replace(self, found=checkpointed(self.found))
 
-    def reportable(self) -> "SearchOutput":
-        """``computed()``, for reports, which list every match and hence need a match limit."""
-        limit = self.listing.limits.max_matches
-        if limit is None or limit > MAX_FIRST_ROWS:
-            raise ValueError(f"a report needs max_matches of at most {MAX_FIRST_ROWS:,}")
-        return self.computed()
-
 
 def search(
     corpus: DataFrame,
@@ -97,7 +90,7 @@ def search(
 ) -> SearchOutput:
     """Search a corpus table (see ``table_corpus``).
 
-    Limits left out, or 0, take the defaults; ``UNLIMITED`` searches everything. ``roots`` names
+    Limits left out do not limit; ``**STANDARD_LIMITS`` gives the usual ones. ``roots`` names
     what was searched in the coverage report. Snippets are redacted on request only.
     """
     matcher = LineMatcher(query, case_sensitive, regex)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linecite.settings import DEFAULT_CSV_ROWS, resolve_limit
+from linecite.settings import STANDARD_CSV_ROWS, resolve_limit
 from linecite.sources.directory import default_tasks
 
 _ROWS_PER_BATCH = 5_000
@@ -27,7 +27,7 @@ def csv_rows(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     that its size does not matter. ``more_follow`` marks the last row kept of a file that has
     further ones. A file that is empty or cannot be read ends with an error row.
     """
-    limit = resolve_limit(max_rows, DEFAULT_CSV_ROWS)
+    limit = resolve_limit(max_rows, STANDARD_CSV_ROWS)
 
     def rows(path: str, content: bytes | None) -> Iterator[tuple]:
         for index, cells, more, error in _parse(path, content, limit):
@@ -55,7 +55,7 @@ def csv_summary(df: DataFrame, max_rows: int | None = None) -> DataFrame:
 
     Takes the same input as ``csv_rows``. A file is counted where it is read: nothing is shuffled.
     """
-    limit = resolve_limit(max_rows, DEFAULT_CSV_ROWS)
+    limit = resolve_limit(max_rows, STANDARD_CSV_ROWS)
 
     def summary(path: str, content: bytes | None) -> Iterator[tuple]:
         columns, count, further, failed = None, 0, False, None

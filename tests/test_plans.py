@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linecite import UNLIMITED, list_corpus, search, table_corpus
 from linecite.operators.coverage import match_counts
-from linecite.operators.topn import checkpointed, first_rows
+from linecite.operators.topn import checkpointed, first_rows, numbered
 from linecite.settings import Limits
 
 WHOLE = {"max_files": UNLIMITED, "max_matches": UNLIMITED}
@@ -58,7 +58,7 @@ def test_a_literal_is_tested_before_any_splitting(stored):
 
 
 def test_the_match_limit_cuts_before_the_shuffle(stored):
-    shown = plan(search(stored, "the", max_files=UNLIMITED).matches)
+    shown = plan(search(stored, "the", max_matches=2000).matches)
     assert shown.count("Exchange") == 1
     exchange = shown.index("Exchange")
     partial = shown.index("2000, Partial")
@@ -78,6 +78,21 @@ def test_counting_needs_no_distinct(stored):
     assert shown.count("Exchange") == 1 and "SinglePartition" in shown
 
 
+def test_many_first_rows_meet_in_no_task(spark):
+    df = spark.range(0, 60_000, numPartitions=37).select((F.hash("id") % 500).alias("k"), "id")
+    order = [F.col("k"), F.col("id").desc()]
+    first = first_rows(df, order, 50_000)
+    assert "TakeOrdered" not in plan(first) and "Limit" not in plan(first)
+    assert first.collect() == df.orderBy(*order).limit(50_000).collect()
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.range(0, 30_000, numPartitions=7).select((F.col("id") * 7919 % 30_000).alias("v"))
+    rows = numbered(df, [F.col("v")], "n").collect()
+    assert sorted((r["v"], r["n"]) for r in rows) == [(v, v + 1) for v in range(30_000)]
+    assert numbered(df.limit(0), [F.col("v")], "n").collect() == []
+
+
 def test_first_rows_equals_a_plain_limit(spark):
     df = spark.range(0, 20_000, numPartitions=37).select(
         (F.hash("id") % 500).alias("k"), "id"

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from linecite import UNLIMITED, ask, ask_report, search, search_report, sources_report, table_corpus
+from linecite import STANDARD_LIMITS, UNLIMITED, ask, ask_report, search, search_report, sources_report, table_corpus
 from linecite.operators import history as h
 from linecite.operators.answer import answer
 from linecite.operators.coverage import with_confidence
@@ -46,7 +46,7 @@ def test_confidence_grades(spark):
 
 def test_search_report(spark):
     output = search(
-        corpus(spark, {"a.txt": "one\nhit  \n\n", "b.bin": "x"}), "hit", roots=["r"]
+        corpus(spark, {"a.txt": "one\nhit  \n\n", "b.bin": "x"}), "hit", roots=["r"], **STANDARD_LIMITS
     )
     assert text(search_report(output)) == "\n".join(
         [
@@ -122,10 +122,12 @@ def test_redacted_citations_keep_their_order(spark):
     assert all(r["line_number"] is None for r in found)
 
 
-def test_reports_need_a_match_limit(spark):
-    output = search(corpus(spark, {"a.txt": "x"}), "x", max_matches=UNLIMITED)
-    with pytest.raises(ValueError):
-        search_report(output)
+def test_reports_need_no_match_limit(spark):
+    texts = {f"{i:04}.txt": "hit\n" * 9 for i in range(300)}
+    report = search_report(search(corpus(spark, texts), "hit", max_matches=UNLIMITED))
+    rows = report.orderBy("seq").collect()
+    assert [r["seq"] for r in rows[:-2]] == list(range(2701))
+    assert "0299.txt:9" in rows[2700]["text"] and "truncated" not in rows[0]["text"]
 
 
 def test_written_reports_keep_their_order(spark, tmp_path):
@@ -157,7 +159,7 @@ def test_saved_coverage_round_trips(spark, tmp_path):
     assert sources_report(h.load_history(spark, table)).count() == 0
     texts = {f"{i:02}.bin": "x" for i in range(12)} | {"a.txt": "hit"}
     for query in ("none", "hit"):
-        h.save_coverage(search(corpus(spark, texts), query, roots=["r"]).summary(), table)
+        h.save_coverage(search(corpus(spark, texts), query, roots=["r"], **STANDARD_LIMITS).summary(), table)
     history = h.load_history(spark, table)
     assert history.count() == 2
     last = h.last_coverage(history).first()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linecite import (
+    STANDARD_LIMITS,
     UNLIMITED,
     ask,
     directory_texts,
@@ -123,7 +124,7 @@ def test_match_limit_follows_scan_order_with_duplicates(spark):
     assert not over["truncated"]
 
 
-def test_zero_and_none_limits_are_the_defaults(spark):
+def test_zero_stands_for_the_standard_limit(spark):
     output = search(corpus(spark, {"a.txt": "x"}), "x", max_matches=0, max_files=0)
     assert output.summary().first()["limits_applied"] == {
         "max_files": 5000, "max_matches": 2000, "context_lines": 2,
@@ -134,13 +135,23 @@ def test_zero_and_none_limits_are_the_defaults(spark):
         search(corpus(spark, {"a.txt": "x"}), "x", max_matches=-5)
 
 
-def test_the_default_limit_cuts_at_2000(spark):
+def test_the_standard_limit_cuts_at_2000_and_none_does_not(spark):
     texts = {f"{i:04}.txt": "\n".join(["hit"] * 7) for i in range(400)}
-    output = search(corpus(spark, texts), "hit")
+    output = search(corpus(spark, texts), "hit", **STANDARD_LIMITS)
     rows = cited(output)
     assert len(rows) == 2000
     assert rows[-1] == ("0285.txt", "5")
-    assert search(corpus(spark, texts), "hit", max_matches=UNLIMITED).matches.count() == 2800
+    assert search(corpus(spark, texts), "hit").matches.count() == 2800
+
+
+def test_a_text_above_the_standard_size_is_searched_unless_limited(spark):
+    df = spark.range(1).select(
+        F.lit("r").alias("root"), F.lit("r/a.txt").alias("p"),
+        F.concat(F.repeat(F.lit("some line\n"), 1_100_000), F.lit("a hit")).alias("t"),
+    )
+    rows = table_corpus(df, "p", "t", "root")
+    assert [r["line_number"] for r in search(rows, "hit").matches.collect()] == [1_100_001]
+    assert search(rows, "hit", **STANDARD_LIMITS).matches.count() == 0
 
 
 def test_an_empty_query_matches_every_line(spark):

@@ -17,6 +17,8 @@ from linecite.sources.tables import spread
 
 # By doc_id % 7: every branch of the type checks gets files, in both spellings of case.
 EXTENSIONS = (".txt", ".md", ".PY", ".csv", ".log", ".xyz", ".docx")
+#: The same, but all of them searchable.
+SUPPORTED = tuple(".json" if e == ".xyz" else e for e in EXTENSIONS)
 
 
 # Tables of texts, with the columns that identify a text.
@@ -32,10 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(scan, *_KEYS[name]) if name in _KEYS else scan
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, extensions=EXTENSIONS) -> DataFrame:
     """``documents``: root = source, path = source/lang/doc_id + extension."""
     suffix = F.element_at(
-        F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % 7 + 1).cast("int")
+        F.array(*[F.lit(e) for e in extensions]), (F.col("doc_id") % 7 + 1).cast("int")
     )
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), suffix))
     return table_corpus(table(spark, sf_dir, "documents"), path, "text", "source")

@@ -147,11 +147,12 @@ class ItemMatcher:
         """The distance of the item around a piece found at ``at``, or None beyond the budget."""
         item, block, distance = self.texts[k], piece.parent, 0
         while block is not None:
-            begin = max(0, at - (piece.start - block.start) - block.budget)
+            begin = at - (piece.start - block.start) - block.budget
             end = at + (block.end - piece.start) + block.budget
+            # Not cut at zero here: windows cut there begin alike but end apart.
             key = (k, id(block), begin)
             if key not in seen:
-                seen[key] = myers_distance(item[block.start : block.end], text[begin:end])
+                seen[key] = myers_distance(item[block.start : block.end], text[max(0, begin) : end])
             distance = seen[key]
             if distance > block.budget:
                 return None

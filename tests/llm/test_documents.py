@@ -60,6 +60,24 @@ def test_items_within_the_budget_are_found():
     assert found > 50
 
 
+def test_items_at_the_start_of_a_text_are_found():
+    pick = random.Random(5)
+    found = 0
+    for _ in range(3000):
+        item = "".join(pick.choice("abab c") for _ in range(pick.randint(10, 45)))
+        edited = list(item)
+        for _ in range(pick.randint(0, 4)):
+            at = pick.randrange(len(edited))
+            edited[at] = pick.choice(["", "b", edited[at] + "a"])
+        text = pick.choice(["", "a", "ba"]) + "".join(edited) + pick.choice(["", " cab", "ab" * 9])
+        wanted = plain_distance(decontaminate.normalised(item), decontaminate.normalised(text))
+        budget = int(len(decontaminate.normalised(item)) * decontaminate.ERROR_RATE)
+        got = decontaminate.ItemMatcher([(1, item)]).matches(text).get(0)
+        assert got == (wanted if wanted <= budget else None), (item, text)
+        found += got is not None
+    assert found > 500
+
+
 def test_contaminated_rows(spark, monkeypatch):
     items = [(1, "A benchmark question about the height of a tower"), (2, "a  benchmark question ABOUT the height of a tower"), (3, None), (4, ""), (None, "some other item of the benchmark set")]
     docs = [(1, "x " * 30 + "a benchmark question about the hight of\na tower, yes"), (1, "plain"), (2, None), (3, ""), (None, "Some other item of the benchmark set!"), (5, "a benchmark question about the width of a river")]

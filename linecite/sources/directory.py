@@ -134,7 +134,10 @@ def directory_names(spark: SparkSession, root: str, partitions: int | None = Non
 
 
 def with_sizes(names: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Add ``length bigint`` (0 for folders). Files that are gone by now are dropped."""
+    """Add ``length bigint``: 0 for folders, null where it cannot be had.
+
+    Files without a length pass size caps; reading them tells what is wrong.
+    """
     partitions = partitions or default_tasks(names.sparkSession)
     kept = names.columns
 
@@ -149,10 +152,9 @@ def with_sizes(names: DataFrame, partitions: int | None = None) -> DataFrame:
                 except OSError:
                     lengths.append(None)
             column = pa.array(lengths, pa.int64())
-            sized = pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [*batch.columns, column], names=[*batch.schema.names, "length"]
             )
-            yield sized.filter(column.is_valid())
 
     return names.repartition(partitions, F.col("path")).mapInArrow(
         look_up, f"{_columns(names, kept)}, length bigint"

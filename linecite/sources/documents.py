@@ -161,7 +161,7 @@ def read_text_file(files: DataFrame, max_bytes: int, partitions: int | None = No
     Files above ``max_bytes`` are not opened: null text and a reason. A file that cannot be read
     has a reason too.
     """
-    fits = F.col("length") <= max_bytes
+    fits = F.coalesce(F.col("length") <= max_bytes, F.lit(True))
     read = read_bytes(files.where(fits).select("path", "length"), partitions)
     failed = F.concat(F.lit("Failed to read file "), "path", F.lit(": "), "error")
     texts = read.select(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linecite import UNLIMITED, Limits, directory_texts, list_directory, search_directory
+from linecite.operators.listing import list_corpus
 from linecite.sources.directory import (
     DirectoryReader,
     directory_names,
@@ -81,30 +82,31 @@ def test_size_cap_is_strict_and_first(spark, tmp_path):
 
 
 def test_file_limit(spark, tmp_path):
-    for i in range(10):
-        write(tmp_path, f"file_{i}.txt", f"content {i}")
+    ports = ["brest", "cadiz", "dover", "emden", "genoa", "lagos", "malmo"]
+    for port in reversed(ports):
+        write(tmp_path, f"{port}.txt", f"Tides at {port.title()}\n")
 
     def listed(n, globs=None):
         listing = list_directory(spark, str(tmp_path), globs, Limits.of(max_files=n))
         messages = [r["message"] for r in listing.skips.collect()]
         return below(tmp_path, listing.occurrences().collect()), messages, listing.counts().first()
 
-    files, messages, counts = listed(5)
-    assert files == [f"file_{i}.txt" for i in range(5)]
-    assert messages == ["Reached max_files limit (5)"]
-    assert tuple(counts) == (5, True, 1)
+    files, messages, counts = listed(3)
+    assert files == ["brest.txt", "cadiz.txt", "dover.txt"]
+    assert messages == ["Reached max_files limit (3)"]
+    assert tuple(counts) == (3, True, 1)
     # An exact fit is called truncated, but nothing was passed over.
-    files, messages, counts = listed(10)
-    assert len(files) == 10 and messages == [] and counts["files_truncated"]
+    files, messages, counts = listed(7)
+    assert len(files) == 7 and messages == [] and counts["files_truncated"]
     # So is one that ends with the first pattern, though a second one would follow.
-    files, messages, counts = listed(10, ["*.txt", "*"])
-    assert len(files) == 10 and messages == [] and counts["files_truncated"]
+    files, messages, counts = listed(7, ["*.txt", "*"])
+    assert len(files) == 7 and messages == [] and counts["files_truncated"]
     # A folder behind the cut counts as a further path.
     write(tmp_path, "zzz/.keep", "")
-    assert listed(10)[1] == ["Reached max_files limit (10)"]
-    assert listed(11)[1] == ["Unsupported file type: " + os.path.realpath(tmp_path) + "/zzz/.keep"]
-    assert len(listed(15, ["*_1.txt", "*", "*_2.txt"])[0]) == 12
-    assert len(listed(UNLIMITED)[0]) == 10
+    assert listed(7)[1] == ["Reached max_files limit (7)"]
+    assert listed(8)[1] == ["Unsupported file type: " + os.path.realpath(tmp_path) + "/zzz/.keep"]
+    assert len(listed(12, ["d*.txt", "*", "l*.txt"])[0]) == 9
+    assert len(listed(UNLIMITED)[0]) == 7
 
 
 def test_roots(spark, tmp_path):
@@ -151,13 +153,19 @@ def test_unreadable_file_is_an_error_row(spark, tmp_path):
     assert rows["gone.txt"]["content"] is None and "No such file" in rows["gone.txt"]["error"]
 
 
-def test_files_that_vanish_before_their_size_is_known_are_dropped(spark, tmp_path):
+def test_files_that_vanish_before_their_size_is_known_are_skips(spark, tmp_path):
     write(tmp_path, "a.txt", "x")
     write(tmp_path, "b.txt", "x")
     names = directory_names(spark, str(tmp_path)).withColumn(
         "path", F.regexp_replace("path", "b.txt$", "gone.txt")
     )
-    assert [os.path.basename(r["path"]) for r in with_sizes(names).collect()] == ["a.txt"]
+    sized = with_sizes(names)
+    lengths = {os.path.basename(r["path"]): r["length"] for r in sized.collect()}
+    assert lengths == {"a.txt": 1, "gone.txt": None}
+    # The size cap lets them pass; reading them gives the error.
+    texts = directory_texts(list_corpus(sized, None, Limits.of(max_file_bytes=5))).collect()
+    errors = {os.path.basename(r["path"]): r["error"] for r in texts}
+    assert errors["a.txt"] is None and "No such file" in errors["gone.txt"]
 
 
 def test_reading_tasks_follow_the_bytes(spark):

@@ -8,7 +8,7 @@ import random
 
 import pytest
 
-from linecite import search, table_corpus
+from linecite import ask, search, table_corpus
 
 EXTENSIONS = [".txt", ".md", ".PY", ".docx", ".pdf", ".xyz", ""]
 GLOBS = ["*", "*.txt", "*.md", "a/*", "**/*.docx", "[0-4]*"]
@@ -24,41 +24,42 @@ def selected(path, pattern):
 
 
 def model(files, errors, query, globs, max_files, max_matches, max_bytes, context):
-    """Files, matches and skip messages, one step at a time."""
-    listed, skips = [], []
-    for pattern in globs:
-        for path in sorted(p for p in files if selected(p, pattern)):
-            if len(listed) >= max_files:
-                skips.append(f"Reached max_files limit ({max_files})")
-                break
-            extension = os.path.splitext(path)[1].lower()
-            if len(files[path].encode()) > max_bytes:
-                skips.append(f"File too large: {path}")
-            elif extension in SUPPORTED:
-                listed.append(path)
-            else:
-                skips.append(f"Unsupported file type: {path}")
-        if len(listed) >= max_files:
-            break
-    found, matched = [], 0
-    for path in sorted(listed):
-        if len(found) >= max_matches:
-            break
-        if path in errors:
-            skips.append(errors[path])
-            continue
-        lines, before = files[path].splitlines(), len(found)
-        for n, line in enumerate(lines, 1):
-            if query.lower() in line.lower():
-                kind = {".docx": "paragraph ", ".pdf": "page "}.get(os.path.splitext(path)[1], "")
-                snippet = "\n".join(lines[max(1, n - context) - 1 : n + context])
-                location = f"{kind}{n}" if kind else n
-                found.append((path, location, snippet, n))
-                if len(found) >= max_matches:
-                    break
-        matched += len(found) > before
-    found.sort(key=lambda m: (m[0], m[1]))
-    return len(listed), found, matched, skips
+    """Listed files, matches, matched visits and skip messages: select, rank, cut, group."""
+
+    def refusal(path):
+        if len(files[path].encode()) > max_bytes:
+            return f"File too large: {path}"
+        ext = os.path.splitext(path)[1].lower()
+        return None if ext in SUPPORTED else f"Unsupported file type: {path}"
+
+    def label(path, n):
+        unit = {".docx": "paragraph {}", ".pdf": "page {}"}.get(os.path.splitext(path)[1])
+        return unit.format(n) if unit else n
+
+    # Select: all pairs of glob and path, in order, up to the last file under the limit.
+    pairs = [(g, p) for g, glob in enumerate(globs) for p in sorted(files) if selected(p, glob)]
+    good = [i for i, (_, p) in enumerate(pairs) if refusal(p) is None]
+    cut = good[max_files - 1] + 1 if len(good) >= max_files else len(pairs)
+    skips = [refusal(p) for _, p in pairs[:cut] if refusal(p)]
+    if cut < len(pairs) and pairs[cut][0] == pairs[cut - 1][0]:
+        skips.append(f"Reached max_files limit ({max_files})")
+    # Rank and cut: each listed pair is a visit; visits go by path.
+    visits = list(enumerate(sorted(pairs[i][1] for i in good if i < cut)))
+    hits = [
+        (visit, path, n)
+        for visit, path in visits
+        if path not in errors
+        for n, line in enumerate(files[path].splitlines(), 1)
+        if query.lower() in line.lower()
+    ][:max_matches]
+    end = hits[-1][0] if len(hits) == max_matches else len(visits)
+    skips += [errors[path] for visit, path in visits[:end] if path in errors]
+    found = []
+    for _, path, n in hits:
+        snippet = "\n".join(files[path].splitlines()[max(0, n - 1 - context) : n + context])
+        found.append((path, label(path, n), snippet, n))
+    found.sort(key=lambda m: m[:2])
+    return len(visits), found, len({visit for visit, _, _ in hits}), skips
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -94,6 +95,8 @@ def test_searches_agree_with_the_model(spark, seed):
             for r in output.ordered().collect()
         ]
         assert mine == [(p, str(location), s, n) for p, location, s, n in found]
+        mine = [tuple(r) for r in ask(output).ordered().collect()]
+        assert mine == [(p, str(location), s, None) for p, location, s, _ in found]
         row = output.summary().first()
         assert row["scanned_files"] == scanned
         assert row["matched_files"] == matched

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linecite.llm import (
@@ -28,7 +29,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """The remaining text follows, a cut inside a character showing as a replacement character."""
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.withColumn("kept", F.make_valid_utf8(F.col("kept").cast("string")))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

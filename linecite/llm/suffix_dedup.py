@@ -10,8 +10,8 @@ in the corpus, in the same text or another; matches stay within texts.
 2. The other segments go to shards by key. A shard is bounded: keys are dealt by their share of bytes,
    and one with more than ``SHARD_SEGMENTS`` segments is spread over shards of its own. Each shard
    builds a suffix array by Larsson and Sadakane's refinement, doubling the compared length and sorting
-   only groups that are still tied, until ``LENGTH`` bytes are compared. Kasai's common prefixes of
-   neighbours tell which windows repeat.
+   only groups that are still tied, until none is. Kasai's common prefixes of neighbours tell which
+   windows repeat.
 3. The shards of a spread key are merged: each sends one 128-bit fingerprint per distinct window; those
    of two shards return to them as a sorted list, in which each shard finds its windows by binary
    search. Equal fingerprints count as equal windows.
@@ -43,6 +43,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE2 = 0xC2B2AE3D27D4EB4F
 _ALL = (1 << 64) - 1
 _U = np.uint64
+#: So few suffixes are not worth comparing side by side.
+_FEW = 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -106,11 +108,11 @@ def segments(data: bytes, length: int, anchor: int):
     return keys.view(np.int64), starts, ends - starts, weights
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes' first ``depth`` bytes at least.
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes.
 
     Larsson and Sadakane: a group is numbered by its last place; groups of one are done; the others
-    are sorted by the group of the position ``h`` behind, and ``h`` doubles.
+    are sorted by the group of the position ``h`` behind, and ``h`` doubles until none is tied.
     """
     n = len(data)
     if n == 0:
@@ -120,7 +122,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     padded = np.concatenate([data.astype(np.uint64) + _U(1), np.zeros(8, np.uint64)])
     for i in range(7):
         key = key << _U(9) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranks = np.empty(n + 1, np.int64)
     ranks[n] = -1
 
@@ -135,45 +137,63 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     first = np.append(True, ordered[1:] != ordered[:-1])
     number(places, first)
     h = 7
-    while h < depth:
+    while True:
         # Places in groups of more than one.
-        tied = ~(first & np.append(first[1:], True))
-        places = places[tied]
+        places = places[~(first & np.append(first[1:], True))]
         if not len(places):
-            break
+            return order
         own = order[places]
-        group = ranks[own]
-        behind = ranks[np.minimum(own + h, n)]
-        inside = np.lexsort((behind, group))
-        order[places] = own[inside]
-        group, behind = group[inside], behind[inside]
-        first = np.append(True, (group[1:] != group[:-1]) | (behind[1:] != behind[:-1]))
+        # One number holds the group and, below it, the group of what is behind.
+        key = ranks[own] * (n + 1) + ranks[np.minimum(own + h, n)] + 1
+        inside = np.argsort(key)
+        order[places], key = own[inside], key[inside]
+        first = np.append(True, key[1:] != key[:-1])
         number(places, first)
         h *= 2
-    return order
 
 
-def common_prefixes(data: bytes, order: np.ndarray, limit: int) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in the order, ``limit`` at most.
+def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it in the order of all suffixes.
 
-    Kasai: in the order of the text, a suffix shares at least one byte less than the one before did.
+    Kasai: a suffix shares one byte less with the one before it than the suffix a byte further left
+    does, as long as the bytes to the left of both are the same. So only suffixes behind different
+    bytes are compared, all of them together and eight bytes at a time; the others count down.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    shared = [0] * n
-    common = 0
-    for i, j in enumerate(before.tolist()):
-        if j < 0:
-            common = 0
-            continue
-        most = min(limit, n - max(i, j))
-        while common < most and data[i + common] == data[j + common]:
-            common += 1
-        shared[i] = common
-        if common:
-            common -= 1
-    return np.array(shared, np.int64)[order]
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    words = np.ndarray(n + 8, "<u8", padded, strides=(1,))
+    # Suffixes at the beginning have no byte to their left.
+    compared = np.flatnonzero(np.append(True, data[:-1] != data[before[1:] - 1]) | (before <= 0))
+    shared = np.zeros(n, np.int64)
+    live = compared[before[compared] >= 0]
+    partner, most = before[live], n - np.maximum(live, before[live])
+    length = np.zeros(len(live), np.int64)
+    open_ = np.arange(len(live))
+    while len(open_) > _FEW:
+        at = length[open_]
+        differing = words[live[open_] + at] ^ words[partner[open_] + at]
+        same = differing == 0
+        lowest = differing & (~differing + _U(1))
+        length[open_] += np.where(same, 8, np.floor(np.log2(np.maximum(lowest, _U(1)))).astype(np.int64) // 8)
+        open_ = open_[same]
+        open_ = open_[length[open_] < most[open_]]
+    for k in open_.tolist():  # few long ones: in growing blocks, one after the other
+        a, b, done, block, end = int(live[k]), int(partner[k]), int(length[k]), 64, int(most[k])
+        while done < end:
+            block = min(block, end - done)
+            unlike = data[a + done : a + done + block] != data[b + done : b + done + block]
+            if unlike.any():
+                done += int(unlike.argmax())
+                break
+            done, block = done + block, block * 2
+        length[k] = done
+    shared[live] = np.minimum(length, most)
+    marks = np.zeros(n, np.int64)
+    marks[compared] = compared
+    last = np.maximum.accumulate(marks)
+    return (shared[last] - (np.arange(n) - last))[order]
 
 
 def _union(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -197,10 +217,10 @@ def shard_windows(rows: list[tuple[bytes, int, int]], length: int):
     text = np.frombuffer(joined, np.uint8)
     offsets, first = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
     spots = np.arange(int(counts.sum())) + np.repeat(offsets - first, counts)
-    order = suffix_array(text, length)
+    order = suffix_array(text)
     # Suffixes that share ``length`` bytes with the one before are of one group.
     group = np.empty(len(text), np.int64)
-    group[order] = np.cumsum(common_prefixes(joined, order, length) < length)
+    group[order] = np.cumsum(common_prefixes(text, order) < length)
     group = group[spots]
     totals = np.bincount(group, weights=np.repeat(times, counts))
     return totals[group] > 1, spots, text

@@ -36,12 +36,12 @@ def plain_components(ids, links):
 
 def plain_removal(texts, length):
     data = [(t or "").encode() for t in texts]
-    times = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    times = Counter(hash(d[i : i + length]) for d in data for i in range(len(d) - length + 1))
     rows = []
     for d in data:
         covered = bytearray(len(d))
         for i in range(len(d) - length + 1):
-            if times[d[i : i + length]] > 1:
+            if times[hash(d[i : i + length])] > 1:
                 covered[i : i + length] = b"\1" * length
         kept = bytes(x for x, c in zip(d, covered) if not c)
         spans = sum(c and (not i or not covered[i - 1]) for i, c in enumerate(covered))
@@ -88,17 +88,48 @@ def test_suffix_removal_odd_rows(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("shard_segments", [5, 4000])
+def test_suffix_removal_over_many_shards(spark, monkeypatch, shard_segments):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 60_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    found = suffix_dedup.remove_repeats(docs, shard_segments=shard_segments).collect()
+    wanted = plain_removal([r["text"] for r in rows], suffix_dedup.LENGTH)
+    assert {r["doc_id"]: w for r, w in zip(rows, wanted)} == {r[0]: tuple(r)[1:5] for r in found}
+
+
+def shared_prefix(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def test_suffix_array_and_prefixes():
     pick = random.Random(4)
-    for _ in range(30):
-        data = bytes(pick.choice(b"ab") for _ in range(pick.randint(0, 120)))
-        order = suffix_dedup.suffix_array(np.frombuffer(data, np.uint8), 200)
+    for round_ in range(400):
+        alphabet = pick.choice([b"a", b"ab", b"abcdefgh", b"\x00\xff"])
+        base = bytes(pick.choice(alphabet) for _ in range(pick.randint(0, 90)))
+        data = base * pick.randint(1, 4) + bytes(pick.choice(alphabet) for _ in range(pick.randint(0, 60)))
+        array = np.frombuffer(data, np.uint8)
+        order = suffix_dedup.suffix_array(array)
         assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
-        shared = suffix_dedup.common_prefixes(data, order, 9).tolist() if data else []
+        shared = suffix_dedup.common_prefixes(array, order).tolist() if data else []
         for n in range(1, len(data)):
-            a, b = data[order[n] :], data[order[n - 1] :]
-            same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-            assert shared[n] == min(9, same)
+            assert shared[n] == shared_prefix(data[order[n] :], data[order[n - 1] :])
+
+
+def test_prefixes_of_long_repeats():
+    pick = np.random.default_rng(5)
+    base = pick.integers(0, 256, 30_000).astype(np.uint8)
+    data = np.concatenate([base, pick.integers(0, 256, 99).astype(np.uint8), base[5:], base[:9000]])
+    raw = data.tobytes()
+    order = suffix_dedup.suffix_array(data)
+    shared = suffix_dedup.common_prefixes(data, order)
+    for n in pick.integers(1, len(data), 300).tolist():
+        a, b = int(order[n]), int(order[n - 1])
+        assert raw[b:] < raw[a:]
+        most, same = len(raw) - max(a, b), int(shared[n])
+        assert raw[a : a + same] == raw[b : b + same]
+        assert same == most or raw[a + same] != raw[b + same]
+    assert shared.max() == 29_995
 
 
 # ---- SimHash --------------------------------------------------------------------------------

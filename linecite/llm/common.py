@@ -73,3 +73,10 @@ def held_out(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(
         F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False)
     )
+
+
+def finite(vector: Column) -> Column:
+    """True for arrays that hold something, and neither nulls nor numbers that are not finite."""
+    inf = F.lit(float("inf"))
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf))
+    return F.coalesce(good & (F.size(vector) > 0), F.lit(False))

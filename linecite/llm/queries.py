@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from linecite.llm import (
     decontaminate,
+    divergence,
+    graph_search,
     language_id,
     licenses,
     pii,
@@ -17,6 +19,7 @@ from linecite.llm import (
     segment_sampling,
     simhash,
     suffix_dedup,
+    vector_codes,
     vector_dedup,
     warc,
 )
@@ -69,6 +72,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -80,6 +95,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_graph_search": op11_graph_search,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -92,4 +110,6 @@ LLM_ORACLES: dict[str, str] = {
       SELECT page_id, size AS payload_bytes, digest AS payload_digest,
              CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
              CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

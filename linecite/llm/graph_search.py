@@ -244,7 +244,10 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             ["dims", "shard", "node", "entry", "vector", "ids", "edges"],
         )
 
-    return stored(dealt.groupBy("dims", "shard").applyInArrow(build, _INDEX), "graphs")
+    # As many tasks as shards, which are few bytes but much work.
+    tasks = shards.agg(F.sum("shards")).first()[0] or 1
+    spread = dealt.repartition(max(2 * tasks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "dims", "shard")
+    return stored(spread.groupBy("dims", "shard").applyInArrow(build, _INDEX), "graphs")
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 LINE_FEED = "\n"
 OTHER_TERMINATORS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
+#: Hits whose snippets are cut together.
+BLOCK_HITS = 256
+
 TERMINATOR_REGEX = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
 
 
@@ -45,29 +48,17 @@ def with_lines(df: DataFrame, text: str = "text", lines: str = "lines") -> DataF
     )
 
 
-def snippet(lines: Column, line_number: Column, context_lines: int) -> Column:
-    """Lines ``[n - c, n + c]``, clipped to the text, joined by line feeds."""
-    first = F.greatest(F.lit(1), line_number - context_lines)
-    last = F.least(F.size(lines), line_number + context_lines)
+def snippet(lines: Column, line_number: Column, context_lines: int, first_line: Column | int = 1) -> Column:
+    """Lines ``[n - c, n + c]``, clipped to the text, joined by line feeds.
+
+    ``lines`` begin with line ``first_line``.
+    """
+    first_line = F.lit(first_line) if isinstance(first_line, int) else first_line
+    first = F.greatest(first_line, line_number - context_lines)
+    last = F.least(first_line + F.size(lines) - 1, line_number + context_lines)
     # A negative context selects nothing.
     count = F.greatest(F.lit(0), last - first + 1)
-    return F.array_join(F.slice(lines, first, count), LINE_FEED)
-
-
-def line_hits(lines: Column, matches: Callable[[Column], Column], context_lines: int) -> Column:
-    """``array<struct<line_number, snippet>>`` of the matching lines, in line order."""
-
-    def hit(line: Column, index: Column) -> Column:
-        number = (index + 1).cast("int")
-        return F.when(
-            matches(line),
-            F.struct(
-                number.alias("line_number"),
-                snippet(lines, number, context_lines).alias("snippet"),
-            ),
-        )
-
-    return F.array_compact(F.transform(lines, hit))
+    return F.array_join(F.slice(lines, first - first_line + 1, count), LINE_FEED)
 
 
 def hit_numbers(lines: Column, matches: Callable[[Column], Column]) -> Column:
@@ -79,6 +70,58 @@ def hit_numbers(lines: Column, matches: Callable[[Column], Column]) -> Column:
     return F.array_compact(F.transform(lines, number))
 
 
+def hit_blocks(lines: Column, hits: Column, context_lines: int) -> Column:
+    """The hits in runs of ``BLOCK_HITS``, each with the lines that its snippets need and no others.
+
+    ``array<struct<place, hits, first_line, lines>>``; ``place`` counts the hits of earlier runs. All
+    runs together hold the text about once, so exploding them does not copy the text per hit.
+    """
+    reach = max(context_lines, 0)
+
+    def block(place: Column) -> Column:
+        behind = F.least(place + BLOCK_HITS, F.size(hits))
+        first = F.greatest(F.lit(1), F.get(hits, place) - reach)
+        last = F.least(F.size(lines), F.get(hits, behind - 1) + reach)
+        return F.struct(
+            place.alias("place"),
+            F.transform(F.sequence(place, behind - 1), lambda i: F.get(hits, i)).alias("hits"),
+            first.alias("first_line"),
+            F.transform(F.sequence(first, last), lambda n: F.get(lines, n - 1)).alias("lines"),
+        )
+
+    places = F.when(
+        F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1, F.lit(BLOCK_HITS))
+    ).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, block)
+
+
+def explode_hits(
+    df: DataFrame, matches: Callable[[Column], Column], context_lines: int, lines: str = "lines"
+) -> DataFrame:
+    """One row per matching line: the other columns, ``n_hits``, ``place`` (0-based), ``line_number``
+    and ``snippet``. Time and memory follow the text and the snippets; no row holds more than the
+    snippets of one run of hits.
+    """
+    keep = [c for c in df.columns if c != lines]
+    numbered = df.withColumn("_hits", hit_numbers(F.col(lines), matches))
+    runs = numbered.select(
+        *keep,
+        F.size("_hits").alias("n_hits"),
+        F.explode(hit_blocks(F.col(lines), F.col("_hits"), context_lines)).alias("_run"),
+    )
+    run = F.col("_run")
+    hits = F.transform(
+        run["hits"],
+        lambda n: F.struct(
+            n.alias("line_number"),
+            snippet(run["lines"], n, context_lines, run["first_line"]).alias("snippet"),
+        ),
+    )
+    return runs.select(
+        *keep, "n_hits", run["place"].alias("_place"), F.posexplode(hits).alias("_pos", "_hit")
+    ).select(*keep, "n_hits", (F.col("_place") + F.col("_pos")).alias("place"), "_hit.line_number", "_hit.snippet")
+
+
 def hit_count(lines: Column, matches: Callable[[Column], Column]) -> Column:
     """How many lines match, without building snippets."""
     return F.size(F.filter(lines, matches)).cast("bigint")

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linecite.functions.lines import hit_count, with_lines
+from linecite.functions import paths
 from linecite.functions.predicates import LineMatcher
-from linecite.operators.listing import Listing
-from linecite.operators.topn import first_rows
+from linecite.operators.listing import Listing, refusal
+from linecite.operators.matching import Cut, with_hit_counts
+from linecite.operators.topn import beside, first_rows, stored
 from linecite.settings import REPORTED_SKIPS, Limits
 
+
 def skip_order() -> list[Column]:
     """Listing skips by pattern, then skips met while scanning, which goes by path."""
     return [
@@ -45,52 +47,103 @@ def match_counts(matches: DataFrame, max_matches: int | None) -> DataFrame:
     )
 
 
-def _first_messages(rows: DataFrame, order: Sequence[Column], name: str, n: int) -> DataFrame:
-    """One row: the first ``n`` messages in order, as an array."""
-    keys = [key.alias(f"k{i}") for i, key in enumerate(order)]
-    entry = F.struct(*keys, F.col("message"))
-    return first_rows(rows, order, n).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["message"]).alias(name)
+def _facts(corpus: DataFrame, matcher: LineMatcher, cut: Cut | None) -> DataFrame:
+    """Counts and messages of each row of ``corpus``, in one pass over texts. Row-local."""
+    names = ["root", "path", "patterns", "reason", "refused", "error"]
+    text = ["n_hits"] if "n_hits" in corpus.columns else ["text"]
+    counted = with_hit_counts(corpus.select(*names, *text), matcher)
+    times = F.size("patterns").cast("bigint")
+    searched = F.col("reason").isNull()
+    matches = F.col("n_hits") * times
+    occurrences, reached = times, F.lit(True)
+    if cut is not None:
+        at, reached = F.col("path") == F.lit(cut.path), F.col("path") < F.lit(cut.path)
+        matches = F.when(reached, matches).when(at, F.lit(cut.rest))
+        occurrences = F.when(reached, times).when(at, F.ceil(F.lit(cut.rest) / F.col("n_hits")))
+    hit = F.col("n_hits") > 0
+    unread = F.col("error").isNotNull() & searched & reached
+    message = (
+        F.when(F.col("refused"), refusal(F.col("root")))
+        .when(~searched & (times > 0), paths.skip_message(F.col("reason"), F.col("path")))
+        .when(unread & (times > 0), F.col("error"))
     )
 
+    def number(value: Column, when: Column) -> Column:
+        return F.coalesce(F.when(when, value), F.lit(0)).cast("bigint")
+
+    return counted.select(
+        number(times, searched).alias("scanned_files"),
+        number(times, ~searched | unread).alias("skipped_total"),
+        F.col("refused").cast("bigint").alias("errors_total"),
+        number(matches, hit & searched).alias("total_matches"),
+        number(occurrences, hit & searched).alias("matched_files"),
+        number(F.lit(1), hit & searched & (occurrences > 0)).alias("cited_files"),
+        F.when(message.isNotNull(), F.struct(
+            F.col("refused"), F.when(searched, F.lit(2)).otherwise(F.lit(0)).alias("phase"),
+            "path", "patterns", message.alias("message"),
+        )).alias("said"),
+    )
+
+
+_COUNTS = ["scanned_files", "skipped_total", "errors_total", "total_matches", "matched_files", "cited_files"]
+
 
 def coverage_summary(
-    matches: DataFrame,
+    corpus: DataFrame,
     listing: Listing,
-    read_skips: DataFrame,
+    matcher: LineMatcher,
+    cut: Cut | None,
     roots: Sequence[str],
     context_lines: int,
 ) -> DataFrame:
-    """The one-row coverage report, a cross join of one-row aggregates.
+    """The one-row coverage report, from one pass over ``corpus``.
 
-    ``skipped_files`` and ``errors`` hold the first ten messages and ``*_total`` the full counts:
-    the messages themselves can be as many as the files, and stay rows (``skips``, ``errors``).
+    The pass leaves a row for each message, and one for each task that counts all else together;
+    these rows are stored, and the report is made of them. ``skipped_files`` and ``errors`` hold the
+    first ten messages and ``*_total`` the full counts: messages can be as many as files.
     """
-    skips = listing.skips.unionByName(read_skips)
-    parts = [
-        listing.counts(),
-        read_skips.agg(F.count(F.lit(1)).alias("files_unread")),
-        _first_messages(skips, skip_order(), "skipped_files", REPORTED_SKIPS),
-        listing.errors.agg(F.count(F.lit(1)).alias("errors_total")),
-        _first_messages(listing.errors, [F.col("path")], "errors", REPORTED_SKIPS),
-    ]
-    summary = match_counts(matches, listing.limits.max_matches)
-    for part in parts:
-        summary = summary.crossJoin(F.broadcast(part))
-    return summary.select(
+    told = stored(
+        _facts(corpus, matcher, cut).groupBy("said").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    )
+    none = F.lit(0).cast("bigint")
+    totals = told.agg(*[F.coalesce(F.sum(c), none).alias(c) for c in _COUNTS])
+    messages = told.where(F.col("said").isNotNull()).select("said.*").select(
+        "refused", "phase", F.explode("patterns").alias("pattern_idx"), "path", "message"
+    )
+    refused = told.where("said.refused").select(
+        F.lit(True).alias("refused"), F.lit(0).alias("phase"), F.lit(0).alias("pattern_idx"), "said.path", "said.message"
+    )
+    notice = listing.limit_notice()
+    if notice is not None:
+        messages = messages.unionByName(
+            notice.select(F.lit(False).alias("refused"), "phase", "pattern_idx", "path", "message")
+        )
+    first = first_rows(messages.unionByName(refused), skip_order(), REPORTED_SKIPS, ["refused"])
+    keys = [key.alias(f"k{i}") for i, key in enumerate(skip_order())]
+    entries = F.struct(*keys, "message")
+
+    def in_order(chosen: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(chosen, entries))), lambda e: e["message"])
+
+    shown = first.agg(
+        in_order(~F.col("refused")).alias("skipped_files"), in_order(F.col("refused")).alias("errors")
+    )
+    limits = listing.limits
+    total, scanned = F.col("total_matches"), F.col("scanned_files")
+    return beside(totals, shown).select(
         F.array(*[F.lit(r) for r in roots]).cast("array<string>").alias("roots"),
         F.array(*[F.lit(g) for g in listing.globs]).cast("array<string>").alias("globs"),
         "scanned_files",
-        "files_truncated",
+        (F.lit(False) if limits.max_files is None else scanned >= limits.max_files).alias("files_truncated"),
         "matched_files",
         "cited_files",
         "total_matches",
-        "truncated",
-        (F.col("files_skipped") + F.col("files_unread")).alias("skipped_total"),
+        (F.lit(False) if limits.max_matches is None else total >= limits.max_matches).alias("truncated"),
+        (F.col("skipped_total") + int(notice is not None)).alias("skipped_total"),
         "skipped_files",
         "errors_total",
         "errors",
-        limits_applied(listing.limits, context_lines).alias("limits_applied"),
+        limits_applied(limits, context_lines).alias("limits_applied"),
     )
 
 
@@ -140,11 +193,9 @@ def confidence_by_root(files: DataFrame, matcher: LineMatcher) -> DataFrame:
     Hits are counted inside each row, so only one row per root and task is shuffled, however many
     files a root has.
     """
-    # Texts without a hit become null before they are split, so only the others are.
-    tested = files.withColumn("text", F.when(matcher.document(F.col("text")), F.col("text")))
-    hits = F.coalesce(hit_count(F.col("lines"), matcher.line), F.lit(0)).cast("bigint")
-    times = F.size("patterns").cast("bigint")
-    counted = with_lines(tested).select("root", hits.alias("hits"), times.alias("times"))
+    counted = with_hit_counts(files.select("root", "patterns", "text"), matcher).select(
+        "root", F.col("n_hits").alias("hits"), F.size("patterns").cast("bigint").alias("times")
+    )
     return with_confidence(
         counted.groupBy("root").agg(
             F.sum(F.col("hits") * F.col("times")).alias("total_matches"),

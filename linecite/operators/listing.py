@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linecite.functions import paths
-from linecite.operators.topn import first_rows
+from linecite.operators.topn import cut_row
 from linecite.settings import Limits
 
 
@@ -17,18 +17,33 @@ from linecite.settings import Limits
 class Listing:
     """The outcome of listing a corpus.
 
-    ``rows``: one row per selected file, the input columns plus ``ext``, ``kind``, ``reason`` (null
-    for a file to search) and ``patterns``, the 0-based indexes of the globs that selected it; a
-    file selected twice counts twice. ``errors``: ``path, message`` of rows under a root that is
-    not allowed. ``limit_pattern``: the glob under which the file limit passed over further paths.
+    ``every``: the rows of the corpus plus ``ext``, ``kind``, ``refused`` (under a root that is not
+    allowed), ``reason`` (null for a file to search) and ``patterns``, the 0-based indexes of the globs
+    that selected it, empty for what was not; a file selected twice counts twice. ``last_path``: no file
+    behind it was selected. ``limit_pattern``: the glob under which the file limit passed over further
+    paths.
     """
 
-    rows: DataFrame
-    errors: DataFrame
+    every: DataFrame
     globs: tuple[str, ...]
     limits: Limits
+    last_path: str | None = None
     limit_pattern: int | None = None
 
+    @property
+    def rows(self) -> DataFrame:
+        """Selected files, those that are skipped included."""
+        selected = self.every
+        if self.last_path is not None:
+            # Says no more than the patterns do, in a form that reaches the scan.
+            selected = selected.where(F.col("path") <= F.lit(self.last_path))
+        return selected.where(~F.col("refused")).where(F.size("patterns") > 0).drop("refused")
+
+    @property
+    def errors(self) -> DataFrame:
+        """``path, message`` of rows under a root that is not allowed."""
+        return self.every.where(F.col("refused")).select("path", refusal(F.col("root")).alias("message"))
+
     @property
     def files(self) -> DataFrame:
         """The files to search."""
@@ -44,16 +59,20 @@ class Listing:
             "reason",
             paths.skip_message(F.col("reason"), F.col("path")).alias("message"),
         )
+        notice = self.limit_notice()
+        return skips if notice is None else skips.unionByName(notice)
+
+    def limit_notice(self) -> DataFrame | None:
+        """The skip row that says that the file limit passed over further paths."""
         if self.limit_pattern is None:
-            return skips
-        notice = self.rows.sparkSession.range(1).select(
+            return None
+        return self.every.sparkSession.range(1).select(
             F.lit(1).alias("phase"),
             F.lit(self.limit_pattern).alias("pattern_idx"),
             F.lit("").alias("path"),
             F.lit("max_files").alias("reason"),
             F.lit(f"Reached max_files limit ({self.limits.max_files})").alias("message"),
         )
-        return skips.unionByName(notice)
 
     def occurrences(self) -> DataFrame:
         """One row per listed (pattern, path), duplicates kept."""
@@ -72,19 +91,9 @@ class Listing:
             (F.col("_pos") + 1).cast("bigint").alias("occurrence"),
         )
 
-    def counts(self) -> DataFrame:
-        """One row from one scan of names: ``scanned_files, files_truncated, files_skipped``."""
-        times = F.size("patterns").cast("bigint")
-        searched = F.col("reason").isNull()
-        scanned = F.sum(F.when(searched, times).otherwise(0)).cast("bigint")
-        scanned = F.coalesce(scanned, F.lit(0).cast("bigint"))
-        skipped = F.coalesce(F.sum(F.when(~searched, times)), F.lit(0).cast("bigint"))
-        limit = self.limits.max_files
-        return self.rows.agg(
-            scanned.alias("scanned_files"),
-            (F.lit(False) if limit is None else scanned >= limit).alias("files_truncated"),
-            (skipped + int(self.limit_pattern is not None)).alias("files_skipped"),
-        )
+
+def refusal(root: Column) -> Column:
+    return F.concat(F.lit("Root directory not allowed: "), root)
 
 
 def classify(candidates: DataFrame, globs: Sequence[str], limits: Limits) -> DataFrame:
@@ -113,49 +122,41 @@ def list_corpus(
     """
     globs = tuple(globs or ("*",))
     limits = limits or Limits()
-    allowed = paths.is_root_allowed(F.col("root"), allowed_roots)
-    errors = corpus.where(~allowed).select(
-        "path", F.concat(F.lit("Root directory not allowed: "), "root").alias("message")
-    )
-    chosen = classify(corpus.where(allowed), globs, limits).where(F.size("patterns") > 0)
+    refused = ~paths.is_root_allowed(F.col("root"), allowed_roots)
+    chosen = classify(corpus, globs, limits).withColumn("refused", F.coalesce(refused, F.lit(True)))
     is_file = F.col("is_file") if "is_file" in corpus.columns else F.lit(True)
-    listing = Listing(chosen.where(is_file), errors, globs, limits)
+    counted = F.when(is_file & ~F.col("refused"), F.col("patterns"))
+    every = chosen.withColumn("patterns", F.coalesce(counted, F.array().cast("array<int>")))
+    listing = Listing(every, globs, limits)
     if limits.max_files is None:
         return listing
-    return _limit_files(chosen, listing, limits.max_files)
+    return _limit_files(chosen.where(~F.col("refused")), listing, limits.max_files)
 
 
 def _limit_files(chosen: DataFrame, listing: Listing, max_files: int) -> Listing:
     """Keep the first ``max_files`` occurrences in (pattern, path) order.
 
-    One job over names only finds the key of the last kept occurrence, a single row. Comparing with
-    that constant then cuts files in place, so no text is shuffled, and a scan of a table stored in
-    path order skips everything behind the cut.
+    Names only are looked at to find the last kept occurrence, a single row. Comparing with that
+    constant then cuts files in place, so no text is shuffled, and a scan of a table stored in path
+    order skips everything behind the cut.
     """
-    keys = listing.files.select(F.explode("patterns").alias("pattern_idx"), "path")
-    kept = first_rows(keys, [F.col("pattern_idx"), F.col("path")], max_files)
-    reached, last = kept.agg(
-        F.count(F.lit(1)) >= max_files, F.max(F.struct("pattern_idx", "path"))
-    ).first()
-    if not reached:
+    keys = listing.files.select(F.explode("patterns").alias("pattern_idx"), "path", F.lit(1).alias("one"))
+    cut = cut_row(keys, ["pattern_idx", "path"], "one", max_files)
+    if cut is None:
         return listing
-    cut_pattern, cut_path = last["pattern_idx"], last["path"]
+    cut_pattern, cut_path = cut[0]["pattern_idx"], cut[0]["path"]
     inside = F.col("path") <= F.lit(cut_path)
 
     def kept_under(pattern: Column) -> Column:
         return (pattern < cut_pattern) | ((pattern == cut_pattern) & inside)
 
-    limited = listing.rows.withColumn("patterns", F.filter("patterns", kept_under)).where(
-        F.size("patterns") > 0
-    )
-    if cut_pattern == 0:
-        # Says the same for whole rows, in a form that reaches the scan.
-        limited = limited.where(inside)
     # One further path, of any type, under the pattern that was being listed draws a notice.
     further = chosen.where(F.array_contains("patterns", cut_pattern) & ~inside)
-    passed_over = not further.select("path").isEmpty()
     return replace(
-        listing, rows=limited, limit_pattern=cut_pattern if passed_over else None
+        listing,
+        every=listing.every.withColumn("patterns", F.filter("patterns", kept_under)),
+        last_path=cut_path if cut_pattern == 0 else None,
+        limit_pattern=None if further.select("path").isEmpty() else cut_pattern,
     )
 
 

@@ -2,35 +2,82 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linecite.functions.lines import hit_numbers, snippet, with_lines
+from linecite.functions.lines import explode_hits, hit_count, with_lines
 from linecite.functions.paths import location
 from linecite.functions.predicates import LineMatcher
 from linecite.functions.redaction import redact
-from linecite.operators.topn import first_rows
+from linecite.operators.topn import cut_row
 
 MATCH_COLUMNS = ["file_path", "location", "snippet", "line_number"]
 
 
-def match_lines(texts: DataFrame, matcher: LineMatcher, context_lines: int) -> DataFrame:
-    """One row per matching line and listed occurrence. No shuffle.
+@dataclass(frozen=True)
+class Cut:
+    """Where a match limit falls: all matches of files before ``path`` count, and ``rest`` of its own."""
+
+    path: str
+    rest: int
+
+
+def with_hit_counts(texts: DataFrame, matcher: LineMatcher) -> DataFrame:
+    """Add ``n_hits int``, the number of matching lines. Texts without one become null.
+
+    Row-local; texts that cannot match are not split. Frames that have the column stay as they are.
+    """
+    if "n_hits" in texts.columns:
+        return texts
+    text = F.col("text")
+    tested = with_lines(texts.withColumn("text", F.when(matcher.document(text), text)))
+    hits = F.coalesce(hit_count(F.col("lines"), matcher.line), F.lit(0)).cast("int")
+    counted = tested.withColumn("n_hits", hits).drop("lines")
+    return counted.withColumn("text", F.when(F.col("n_hits") > 0, text))
+
+
+def find_cut(texts: DataFrame, matcher: LineMatcher, max_matches: int | None) -> Cut | None:
+    """Where the match limit falls in scan order; None if it is not reached.
+
+    Looks at paths and counts alone; snippets are cut afterwards, for what the limit leaves.
+    """
+    if max_matches is None:
+        return None
+    times = F.col("n_hits").cast("bigint") * F.size("patterns")
+    counted = with_hit_counts(texts.select("path", "patterns", *_text_columns(texts)), matcher)
+    found = counted.where(F.col("n_hits") > 0).select("path", times.alias("matches"))
+    cut = cut_row(found, ["path"], "matches", max_matches)
+    return None if cut is None else Cut(cut[0]["path"], max_matches - cut[1])
+
 
-    The numbers of the hits are exploded and each snippet is cut on its way out, so a document's
-    snippets are never in one row together, whatever the context.
+def _text_columns(texts: DataFrame) -> list[str]:
+    return ["n_hits"] if "n_hits" in texts.columns else ["text"]
+
+
+def match_lines(
+    texts: DataFrame, matcher: LineMatcher, context_lines: int, cut: Cut | None = None
+) -> DataFrame:
+    """One row per matching line and listed occurrence, up to the cut. No shuffle.
 
     ``texts`` has ``path, kind, text`` and ``patterns``. Adds to the match columns: ``is_doc``,
     ``occurrence`` (1-based among the globs that selected the file), ``order_number``, the line number
     that orders use even where the shown one is taken away, and ``opens_file``, true on the first match
     of each occurrence, which makes counting matched files a plain sum.
     """
-    lines = F.col("lines")
-    lined = with_lines(texts.where(matcher.document(F.col("text"))))
-    hits = hit_numbers(lines, matcher.line)
-    found = lined.select(
-        "path", "kind", "patterns", "lines", F.posexplode(hits).alias("_pos", "line_number")
-    ).withColumn("snippet", snippet(lines, F.col("line_number"), context_lines))
+    if cut is not None:
+        # A comparison with a constant: it reaches the scan.
+        texts = texts.where(F.col("path") <= F.lit(cut.path))
+    matching = texts.where(F.col("text").isNotNull()).where(matcher.document(F.col("text")))
+    found = explode_hits(
+        with_lines(matching.select("path", "kind", "patterns", "text")).drop("text"), matcher.line, context_lines
+    )
+    occurrence = F.explode(F.sequence(F.lit(1), F.size("patterns"))).alias("occurrence")
+    found = found.select("path", "kind", "n_hits", "place", "line_number", "snippet", occurrence)
+    if cut is not None:
+        before = (F.col("occurrence") - 1).cast("bigint") * F.col("n_hits") + F.col("place")
+        found = found.where((F.col("path") < F.lit(cut.path)) | (before < cut.rest))
     number = F.col("line_number")
     return found.select(
         F.col("path").alias("file_path"),
@@ -39,16 +86,11 @@ def match_lines(texts: DataFrame, matcher: LineMatcher, context_lines: int) -> D
         "line_number",
         number.alias("order_number"),
         (F.col("kind") != "text").alias("is_doc"),
-        F.explode(F.sequence(F.lit(1), F.size("patterns"))).alias("occurrence"),
-        (F.col("_pos") == 0).alias("opens_file"),
+        "occurrence",
+        (F.col("place") == 0).alias("opens_file"),
     )
 
 
-def scan_order() -> list[Column]:
-    """The order in which matches are found, and hence cut."""
-    return [F.col("file_path"), F.col("occurrence"), F.col("order_number")]
-
-
 def result_order() -> list[Column]:
     """The order in which matches are shown. Document locations sort as text: 10 before 2."""
     return [
@@ -59,13 +101,6 @@ def result_order() -> list[Column]:
     ]
 
 
-def limit_matches(matches: DataFrame, max_matches: int | None) -> DataFrame:
-    """The first ``max_matches`` in scan order; all of them, unordered, without a limit."""
-    if max_matches is None:
-        return matches
-    return first_rows(matches, scan_order(), max_matches)
-
-
 def redact_matches(matches: DataFrame) -> DataFrame:
     """Secrets removed from the joined snippets. The shown line number goes, the order stays."""
     return matches.withColumn("snippet", redact(F.col("snippet"))).withColumn(
@@ -73,12 +108,15 @@ def redact_matches(matches: DataFrame) -> DataFrame:
     )
 
 
-def read_skips(texts: DataFrame, matches: DataFrame, max_matches: int | None) -> DataFrame:
+def read_skips(texts: DataFrame, cut: Cut | None) -> DataFrame:
     """Skip rows of files that could not be read, as far as the search got.
 
     Once the match limit is reached, files behind the last returned match are not looked at.
     """
-    skips = texts.where(F.col("error").isNotNull()).select(
+    failed = texts.where(F.col("error").isNotNull())
+    if cut is not None:
+        failed = failed.where(F.col("path") < F.lit(cut.path))
+    return failed.select(
         F.lit(2).alias("phase"),
         F.explode("patterns").alias("pattern_idx"),
         "path",
@@ -87,13 +125,3 @@ def read_skips(texts: DataFrame, matches: DataFrame, max_matches: int | None) ->
         .alias("reason"),
         F.col("error").alias("message"),
     )
-    if max_matches is None:
-        return skips
-    last = matches.agg(
-        (F.count(F.lit(1)) >= max_matches).alias("_full"), F.max("file_path").alias("_last")
-    )
-    return (
-        skips.crossJoin(F.broadcast(last))
-        .where(~F.col("_full") | (F.col("path") < F.col("_last")))
-        .drop("_full", "_last")
-    )

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linecite.functions.text import rstrip
+from linecite.operators.answer import answer_text
 from linecite.operators.coverage import with_confidence
 from linecite.operators.matching import result_order
-from linecite.operators.topn import numbered
+from linecite.operators.topn import beside, numbered
 from linecite.settings import REPORTED_SKIPS
 
 _FENCE = "```"
@@ -87,51 +88,39 @@ def _match_blocks(matches: DataFrame) -> DataFrame:
     )
 
 
-def _tail(summary: DataFrame) -> DataFrame:
+def _frame(summary: DataFrame, header: Column) -> DataFrame:
+    """Header, coverage and confidence: three blocks from the one row of the summary."""
     graded = with_confidence(summary)
+    confidence = _lines(F.concat(F.lit("### Confidence: "), "confidence"), F.col("reason"))
+    blocks = [(0, header), (COVERAGE_SEQ, coverage_section(graded)), (COVERAGE_SEQ + 1, confidence)]
     return graded.select(
-        F.lit(COVERAGE_SEQ).cast("bigint").alias("seq"), coverage_section(graded).alias("text")
-    ).unionByName(
-        graded.select(
-            F.lit(COVERAGE_SEQ + 1).cast("bigint").alias("seq"),
-            _lines(
-                F.concat(F.lit("### Confidence: "), "confidence"), F.col("reason")
-            ).alias("text"),
-        )
+        F.inline(F.array(*[F.struct(F.lit(n).cast("bigint").alias("seq"), t.alias("text")) for n, t in blocks]))
     )
 
 
 def search_report(query: str, matches: DataFrame, summary: DataFrame) -> DataFrame:
     """Header, matches, coverage, confidence."""
     total = F.col("total_matches")
-    header = summary.select(
-        F.lit(0).cast("bigint").alias("seq"),
-        _lines(
-            "## Search Results",
-            f"**Query:** {query}",
-            F.concat(F.lit("**Found:** "), total.cast("string"), F.lit(" matches")),
-            F.when(F.col("truncated"), F.lit("**Warning:** Results truncated due to limits")),
-            "",
-            F.when(total > 0, F.lit("### Matches")).otherwise(F.lit("### No matches found\n")),
-        ).alias("text"),
+    header = _lines(
+        "## Search Results",
+        f"**Query:** {query}",
+        F.concat(F.lit("**Found:** "), total.cast("string"), F.lit(" matches")),
+        F.when(F.col("truncated"), F.lit("**Warning:** Results truncated due to limits")),
+        "",
+        F.when(total > 0, F.lit("### Matches")).otherwise(F.lit("### No matches found\n")),
     )
-    return header.unionByName(_match_blocks(matches)).unionByName(_tail(summary))
+    return _frame(summary, header).unionByName(_match_blocks(matches))
 
 
-def ask_report(answer: DataFrame, matches: DataFrame, summary: DataFrame) -> DataFrame:
+def ask_report(question: str, points: DataFrame, matches: DataFrame, summary: DataFrame) -> DataFrame:
     """The answer first, then citations, coverage, confidence."""
-    header = summary.crossJoin(F.broadcast(answer)).select(
-        F.lit(0).cast("bigint").alias("seq"),
-        _lines(
-            "## Answer",
-            F.col("answer"),
-            "",
-            F.when(F.col("total_matches") > 0, F.lit("### Citations")).otherwise(
-                F.lit("### No sources found\n")
-            ),
-        ).alias("text"),
+    header = _lines(
+        "## Answer",
+        answer_text(question),
+        "",
+        F.when(F.col("total_matches") > 0, F.lit("### Citations")).otherwise(F.lit("### No sources found\n")),
     )
-    return header.unionByName(_match_blocks(matches)).unionByName(_tail(summary))
+    return _frame(beside(summary, points), header).unionByName(_match_blocks(matches))
 
 
 def sources_report(summary: DataFrame) -> DataFrame:

@@ -7,29 +7,25 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 
 from linecite.operators import report
-from linecite.operators.answer import answer
 from linecite.operators.history import last_coverage
-from linecite.operators.matching import redact_matches
 from linecite.plans.search import SearchOutput
 
 
 def search_report(output: SearchOutput) -> DataFrame:
-    """The search report. The search itself runs once; snippets stay as they are."""
+    """The search report. The corpus is read once; snippets stay as they are."""
     output = output.computed()
     return report.search_report(output.matcher.query, output.found, output.summary())
 
 
 def ask(output: SearchOutput) -> SearchOutput:
     """The same search with secrets removed from its snippets, as every answer shows them."""
-    return replace(output, found=redact_matches(output.found))
+    return replace(output, redacted=True, answers=True)
 
 
 def ask_report(output: SearchOutput) -> DataFrame:
     """Answer, redacted citations, coverage and confidence. The query is the question."""
     output = ask(output).computed()
-    return report.ask_report(
-        answer(output.found, output.matcher.query), output.found, output.summary()
-    )
+    return report.ask_report(output.matcher.query, output.key_points(), output.found, output.summary())
 
 
 def sources_report(history: DataFrame) -> DataFrame:

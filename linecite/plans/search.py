@@ -12,15 +12,19 @@ from linecite.functions.paths import matching_globs
 from linecite.functions.predicates import LineMatcher, check_regex
 from linecite.functions.redaction import redact
 from linecite.operators import coverage
+from linecite.operators.answer import KEY_POINTS, key_points
 from linecite.operators.listing import Listing, list_corpus
 from linecite.operators.matching import (
     MATCH_COLUMNS,
-    limit_matches,
+    Cut,
+    find_cut,
     match_lines,
     read_skips,
+    redact_matches,
     result_order,
+    with_hit_counts,
 )
-from linecite.operators.topn import checkpointed
+from linecite.operators.topn import checkpointed, stored
 from linecite.settings import DEFAULT_CONTEXT_LINES, Limits
 from linecite.sources.directory import (
     directory_names,
@@ -33,14 +37,36 @@ from linecite.sources.documents import EXTRACTORS, Extractor, corpus_texts
 
 @dataclass(frozen=True)
 class SearchOutput:
-    """A lazy search. ``found`` has the match columns and the flags reports are built from."""
+    """A search. ``corpus`` has the rows of ``listing.every`` with ``text`` and ``error``.
 
-    found: DataFrame
-    texts: DataFrame
+    ``cut`` says where the match limit falls. ``redacted`` removes secrets from snippets; ``answers``
+    also hides line numbers, as answers do.
+    """
+
+    corpus: DataFrame
     listing: Listing
     roots: tuple[str, ...]
     matcher: LineMatcher
     context_lines: int
+    cut: Cut | None = None
+    redacted: bool = False
+    answers: bool = False
+
+    @property
+    def texts(self) -> DataFrame:
+        """The files that are searched."""
+        return _searched(self.corpus, self.listing.last_path)
+
+    @property
+    def found(self) -> DataFrame:
+        """The match columns and the flags reports are built from."""
+        return self._found(self.cut)
+
+    def _found(self, cut: Cut | None) -> DataFrame:
+        found = match_lines(self.texts, self.matcher, self.context_lines, cut)
+        if self.answers:
+            return redact_matches(found)
+        return found.withColumn("snippet", redact(F.col("snippet"))) if self.redacted else found
 
     @property
     def matches(self) -> DataFrame:
@@ -53,24 +79,50 @@ class SearchOutput:
 
     def skips(self) -> DataFrame:
         """``phase, pattern_idx, path, reason, message`` of everything passed over."""
-        return self.listing.skips.unionByName(self._read_skips())
+        return self.listing.skips.unionByName(read_skips(self.texts, self.cut))
 
     def errors(self) -> DataFrame:
         """``path, message`` of all rows under a root that is not allowed."""
         return self.listing.errors
 
-    def _read_skips(self) -> DataFrame:
-        return read_skips(self.texts, self.found, self.listing.limits.max_matches)
-
     def summary(self) -> DataFrame:
-        """The one-row coverage report."""
+        """The one-row coverage report. Counts now, in one pass over the corpus."""
         return coverage.coverage_summary(
-            self.found, self.listing, self._read_skips(), self.roots, self.context_lines
+            self.corpus, self.listing, self.matcher, self.cut, self.roots, self.context_lines
         )
 
+    def key_points(self) -> DataFrame:
+        """One row, ``points``: the first lines of the first three matches. Looks at no further files."""
+        few = find_cut(self.texts, self.matcher, KEY_POINTS)
+        first = self.cut if few is None else few
+        if first is not None:  # whole files, as the shown order differs from the scan's inside a file
+            first = self.cut if self.cut and self.cut.path == first.path else Cut(first.path, _ALL)
+        return key_points(self._found(first))
+
     def computed(self) -> "SearchOutput":
-        """The same search with its matches checkpointed, so that several uses scan once."""
-        return replace(self, found=checkpointed(self.found))
+        """The same search, its corpus read once and stored: paths, kinds, errors, the number of hits,
+        and the texts that have any. Matches, counts and reports are then made of that.
+        """
+        return replace(self, corpus=stored(with_hit_counts(_without_unsearched(self.corpus), self.matcher)))
+
+
+#: More matches than a file can have.
+_ALL = 1 << 62
+_CORPUS = ["root", "path", "kind", "patterns", "reason", "refused", "text", "error"]
+
+
+def _searched(corpus: DataFrame, last_path: str | None) -> DataFrame:
+    if last_path is not None:
+        corpus = corpus.where(F.col("path") <= F.lit(last_path))
+    return corpus.where(F.col("reason").isNull()).where(F.size("patterns") > 0)
+
+
+def _without_unsearched(corpus: DataFrame) -> DataFrame:
+    """Texts that are not searched are not looked at."""
+    if "n_hits" in corpus.columns:
+        return corpus
+    searched = F.col("reason").isNull() & (F.size("patterns") > 0)
+    return corpus.withColumn("text", F.when(searched, F.col("text")))
 
 
 def search(
@@ -99,9 +151,11 @@ def search(
     if "error" not in corpus.columns:
         corpus = corpus.withColumn("error", F.lit(None).cast("string"))
     listing = list_corpus(corpus, globs, limits, allowed_roots)
-    return _search_texts(
-        listing.files, listing, matcher, context_lines, tuple(roots), redact_snippets
-    )
+    output = SearchOutput(
+        _without_unsearched(listing.every.select(*_CORPUS)), listing, tuple(roots), matcher, context_lines,
+        redacted=redact_snippets,
+    )
+    return replace(output, cut=find_cut(output.texts, matcher, limits.max_matches))
 
 
 def search_directory(
@@ -122,17 +176,23 @@ def search_directory(
 ) -> SearchOutput:
     """Search a directory tree that every executor mounts.
 
-    To search one tree many times, write ``directory_texts(...)`` to a table and use ``search``.
+    Files are read now, once: what matches, counts and reports need is stored. To search one tree many times, write ``directory_texts(...)`` to a table and use ``search``.
     """
     matcher = LineMatcher(query, case_sensitive, regex)
     check_regex(spark, matcher)
     listing = list_directory(
         spark, root, globs, Limits.of(max_files, max_matches, max_file_bytes), allowed_roots
     )
-    texts = directory_texts(listing, extractors)
-    return _search_texts(
-        texts, listing, matcher, context_lines, (resolve_root(root),), redact_snippets
+    texts = directory_texts(listing, extractors).withColumns(
+        {"reason": F.lit(None).cast("string"), "refused": F.lit(False)}
     )
+    others = listing.every.where(F.col("reason").isNotNull() & (F.size("patterns") > 0))
+    others = others.withColumns({"text": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    output = SearchOutput(
+        texts.select(*_CORPUS).unionByName(others.select(*_CORPUS)), listing, (resolve_root(root),), matcher,
+        context_lines, redacted=redact_snippets,
+    ).computed()
+    return replace(output, cut=find_cut(output.texts, matcher, listing.limits.max_matches))
 
 
 def list_directory(
@@ -162,17 +222,3 @@ def directory_texts(
 ) -> DataFrame:
     """Texts of the listed files, each file read once however many globs selected it."""
     return corpus_texts(listing.files, reading_tasks(listing.files), extractors)
-
-
-def _search_texts(
-    texts: DataFrame,
-    listing: Listing,
-    matcher: LineMatcher,
-    context_lines: int,
-    roots: tuple[str, ...],
-    redact_snippets: bool,
-) -> SearchOutput:
-    found = limit_matches(match_lines(texts, matcher, context_lines), listing.limits.max_matches)
-    if redact_snippets:
-        found = found.withColumn("snippet", redact(F.col("snippet")))
-    return SearchOutput(found, texts, listing, roots, matcher, context_lines)

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import time
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from linecite.functions.lines import explode_lines, line_hits, with_lines
+from linecite.functions.lines import explode_hits, explode_lines, with_lines
 from linecite.functions.predicates import LineMatcher
 from linecite.functions.text import decode_utf8, key_point, rstrip, strip
 
@@ -58,11 +61,11 @@ def model(text, query, case_sensitive, context):
 def test_hits_equal_a_plain_model(spark, texts, query, case_sensitive, context):
     matcher = LineMatcher(query, case_sensitive)
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    hits = line_hits(F.col("lines"), matcher.line, context)
     # The document test must not lose a matching line.
+    lined = with_lines(df.where(matcher.document(F.col("text")))).drop("text")
     rows = (
-        with_lines(df.where(matcher.document(F.col("text"))))
-        .select("id", F.inline(hits))
+        explode_hits(lined, matcher.line, context)
+        .select("id", "line_number", "snippet")
         .orderBy("id", "line_number")
         .collect()
     )
@@ -106,7 +109,25 @@ def test_long_inner_space_trims_in_linear_time(spark):
 
 
 def test_a_large_file_is_not_copied_per_line(spark):
-    """200,000 lines, each matching: quadratic work would not finish."""
-    df = spark.range(1).select(F.repeat(F.lit("some line of text\n"), 200_000).alias("text"))
-    hits = line_hits(F.col("lines"), LineMatcher("line").line, 2)
-    assert with_lines(df).select(F.explode(hits)).count() == 200_000
+    """50 MB with 100,000 hits: work that grows with hits times size would not finish."""
+    # The number of repeats is a column, so that the text is not a constant of the plan.
+    text = F.repeat(F.lit("word " * 98 + "a hit\n"), (F.col("id") + 100_000).cast("int"))
+    df = spark.range(1).select(text.alias("text"))
+    hits = explode_hits(with_lines(df).drop("text"), LineMatcher("hit").line, 2)
+    start = time.perf_counter()
+    row = hits.agg(F.count("*"), F.max("place"), F.sum(F.length("snippet")), F.max("line_number")).first()
+    assert tuple(row) == (100_000, 99_999, 100_000 * (5 * 495 + 4) - 6 * 496, 100_000)
+    assert time.perf_counter() - start < 60
+
+
+@pytest.mark.parametrize("n_hits", [255, 256, 257, 512, 700])
+def test_snippets_do_not_depend_on_runs_of_hits(spark, n_hits):
+    lines = [f"{i} {'hit' if i % 3 == 0 else ''}" for i in range(3 * n_hits + 1)][1:]
+    df = spark.createDataFrame([("\n".join(lines),)], "text string")
+    for context in (0, 2, 7):
+        found = explode_hits(with_lines(df).drop("text"), LineMatcher("hit").line, context).collect()
+        assert [r["place"] for r in found] == list(range(n_hits))
+        assert {r["n_hits"] for r in found} == {n_hits}
+        for r in found:
+            n = r["line_number"]
+            assert r["snippet"] == "\n".join(lines[max(1, n - context) - 1 : n + context])

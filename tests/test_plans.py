@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from linecite import UNLIMITED, list_corpus, search, table_corpus
 from linecite.operators.coverage import match_counts
-from linecite.operators.topn import checkpointed, first_rows, numbered
+from linecite.operators.topn import beside, checkpointed, cut_row, first_rows, numbered
 from linecite.settings import Limits
 
 WHOLE = {"max_files": UNLIMITED, "max_matches": UNLIMITED}
@@ -47,7 +48,7 @@ def test_only_the_needed_columns_are_read(stored):
     shown = plan(search(stored, "the", **WHOLE).matches)
     assert "other" not in shown
     listing = list_corpus(stored, None, Limits.of(max_files=UNLIMITED))
-    for df in (listing.counts(), listing.skips, listing.occurrences()):
+    for df in (listing.skips, listing.occurrences()):
         assert "text:string" not in plan(df)
 
 
@@ -57,13 +58,28 @@ def test_a_literal_is_tested_before_any_splitting(stored):
     assert shown.count("split(text") == 2  # the two ways to split, once each
 
 
-def test_the_match_limit_cuts_before_the_shuffle(stored):
-    shown = plan(search(stored, "the", max_matches=2000).matches)
-    assert shown.count("Exchange") == 1
-    exchange = shown.index("Exchange")
-    partial = shown.index("2000, Partial")
-    assert exchange < partial, "the partial cut is below the shuffle"
-    assert "TakeOrderedAndProject(limit=2000" in shown
+def test_the_match_limit_shuffles_no_snippet(stored):
+    output = search(stored, "the", max_matches=700)
+    shown = plan(output.matches)
+    assert "Exchange" not in shown and "LessThanOrEqual(path,r/00699.txt)" in shown
+    assert output.matches.count() == 700
+
+
+def test_no_generator_carries_the_lines(stored):
+    shown = plan(search(stored, "the", **WHOLE).matches)
+    # What each generator copies to its rows.
+    copied = re.findall(r"\), \[([^\]]*)\], false, \[", shown)
+    assert len(copied) == shown.count("Generate ") == 3
+    for columns in copied:
+        assert not re.search(r"\b(lines|text|_run|_hits|_extract_lines)#", columns), columns
+
+
+def test_coverage_reads_the_corpus_once(stored):
+    summary = search(stored, "the", **WHOLE).summary()
+    shown = plan(summary)
+    assert "Join" not in shown
+    assert "text:string" not in shown, "the report is made of what one pass has left"
+    assert summary.first()["total_matches"] == 2000
 
 
 def test_a_file_limit_prunes_the_scan_by_path(stored):
@@ -78,12 +94,32 @@ def test_counting_needs_no_distinct(stored):
     assert shown.count("Exchange") == 1 and "SinglePartition" in shown
 
 
-def test_many_first_rows_meet_in_no_task(spark):
-    df = spark.range(0, 60_000, numPartitions=37).select((F.hash("id") % 500).alias("k"), "id")
-    order = [F.col("k"), F.col("id").desc()]
-    first = first_rows(df, order, 50_000)
-    assert "TakeOrdered" not in plan(first) and "Limit" not in plan(first)
-    assert first.collect() == df.orderBy(*order).limit(50_000).collect()
+def test_a_cut_is_where_the_sum_reaches_the_limit(spark):
+    df = spark.range(0, 3000, numPartitions=7).select(
+        (F.col("id") * 7919 % 3000).alias("v"), (F.col("id") % 4).alias("w")
+    )
+    rows = sorted(tuple(r) for r in df.collect())
+    for n in (1, 2, 1500, 4499, 4500):
+        total = 0
+        for v, w in rows:
+            if total + w >= n:
+                break
+            total += w
+        row, before = cut_row(df, ["v"], "w", n)
+        assert (row["v"], before) == (v, total)
+    assert cut_row(df, ["v"], "w", 4501) is None and cut_row(df.limit(0), ["v"], "w", 1) is None
+
+
+def test_first_rows_of_each(spark):
+    df = spark.range(0, 5000, numPartitions=9).select((F.col("id") % 2 == 0).alias("even"), "id")
+    first = first_rows(df, [F.col("id").desc()], 3, ["even"]).collect()
+    assert sorted(r["id"] for r in first) == list(range(4994, 5000))
+
+
+def test_rows_beside_each_other(spark):
+    a, b = spark.range(1).select(F.lit(1).alias("a")), spark.range(1).select(F.array(F.lit("x")).alias("b"))
+    assert "Join" not in plan(beside(a, b))
+    assert [tuple(r) for r in beside(a, b).collect()] == [(1, ["x"])]
 
 
 def test_rows_are_numbered_over_ranges(spark):

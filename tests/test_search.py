@@ -147,7 +147,7 @@ def test_the_standard_limit_cuts_at_2000_and_none_does_not(spark):
 def test_a_text_above_the_standard_size_is_searched_unless_limited(spark):
     df = spark.range(1).select(
         F.lit("r").alias("root"), F.lit("r/a.txt").alias("p"),
-        F.concat(F.repeat(F.lit("some line\n"), 1_100_000), F.lit("a hit")).alias("t"),
+        F.concat(F.repeat(F.lit("some line\n"), (F.col("id") + 1_100_000).cast("int")), F.lit("a hit")).alias("t"),
     )
     rows = table_corpus(df, "p", "t", "root")
     assert [r["line_number"] for r in search(rows, "hit").matches.collect()] == [1_100_001]
@@ -192,7 +192,7 @@ def test_every_context_width_gives_the_same_kind_of_snippet(spark, context):
 
 def test_wide_context_streams_out_of_a_large_file(spark):
     """Together the snippets have far more characters than one row may hold."""
-    text = F.repeat(F.lit("some line of text\n"), 15_000)
+    text = F.repeat(F.lit("some line of text\n"), (F.col("id") + 15_000).cast("int"))
     df = spark.range(1).select(F.lit("r").alias("root"), F.lit("r/a.txt").alias("p"), text.alias("t"))
     output = search(
         table_corpus(df, "p", "t", "root"), "line", context_lines=5_000, max_matches=UNLIMITED
@@ -249,15 +249,14 @@ def test_one_hot_root_and_one_hot_file(spark):
 
 
 def test_streams_search_with_the_same_row_operators(spark, tmp_path):
-    from linecite.functions.lines import line_hits, with_lines
+    from linecite.functions.lines import explode_hits, with_lines
     from linecite.functions.predicates import LineMatcher
 
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([("a\nneedle\nb",), ("none",)], "text string").write.parquet(source)
     stream = spark.readStream.schema("text string").parquet(source)
-    hits = with_lines(stream).select(
-        F.inline(line_hits(F.col("lines"), LineMatcher("needle").line, 1))
-    )
+    lined = with_lines(stream).drop("text")
+    hits = explode_hits(lined, LineMatcher("needle").line, 1).select("line_number", "snippet")
     query = (
         hits.writeStream.format("parquet")
         .option("checkpointLocation", str(tmp_path / "checkpoint"))

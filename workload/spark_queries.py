@@ -30,24 +30,24 @@ ROOTS = ("documents",)
 
 
 def search_literal_ci(spark, sf_dir):
-    return search(corpora.documents(spark, sf_dir), "license", **WHOLE).matches
+    return search(corpora.documents(spark, sf_dir, corpora.SUPPORTED), "license", **WHOLE).matches
 
 
 def search_literal_cs(spark, sf_dir):
     return search(
-        corpora.documents(spark, sf_dir), "license", case_sensitive=True, **WHOLE
+        corpora.documents(spark, sf_dir, corpora.SUPPORTED), "license", case_sensitive=True, **WHOLE
     ).matches
 
 
 def search_regex_ci(spark, sf_dir):
     return search(
-        corpora.documents(spark, sf_dir), r"licen[sc]e|token\s*[:=]", regex=True, **WHOLE
+        corpora.documents(spark, sf_dir, corpora.SUPPORTED), r"licen[sc]e|token\s*[:=]", regex=True, **WHOLE
     ).matches
 
 
 def search_regex_cs(spark, sf_dir):
     return search(
-        corpora.documents(spark, sf_dir),
+        corpora.documents(spark, sf_dir, corpora.SUPPORTED),
         r"^Licen[sc]ed|[0-9]{12,}",
         regex=True,
         case_sensitive=True,
@@ -56,7 +56,7 @@ def search_regex_cs(spark, sf_dir):
 
 
 def search_globs(spark, sf_dir):
-    return search(corpora.documents(spark, sf_dir), "license", globs=GLOBS, **WHOLE).matches
+    return search(corpora.documents(spark, sf_dir, corpora.SUPPORTED), "license", globs=GLOBS, **WHOLE).matches
 
 
 def search_turns(spark, sf_dir):
@@ -80,20 +80,20 @@ def search_context(spark, sf_dir):
 
 
 def search_limit(spark, sf_dir):
-    return search(corpora.documents(spark, sf_dir), "the", max_matches=2000, **ALL_FILES).matches
+    return search(corpora.documents(spark, sf_dir, corpora.SUPPORTED), "the", max_matches=2000, **ALL_FILES).matches
 
 
 def result_order(spark, sf_dir):
     """The match limit, then the shown order; documents sort by location text."""
     found = search(
-        corpora.documents(spark, sf_dir), "the", max_matches=1500, **ALL_FILES
+        corpora.documents(spark, sf_dir, corpora.SUPPORTED), "the", max_matches=1500, **ALL_FILES
     ).found
     placed = numbered(found, matching.result_order(), "place")
     return placed.select("file_path", "location", F.col("place").cast("int").alias("position"))
 
 
 def location_label(spark, sf_dir):
-    found = search(corpora.documents(spark, sf_dir), "license", **WHOLE).found
+    found = search(corpora.documents(spark, sf_dir, corpora.SUPPORTED), "license", **WHOLE).found
     return found.select("file_path", "line_number", "location", "is_doc")
 
 
@@ -270,7 +270,7 @@ def redact_patterns(spark, sf_dir):
 
 
 def ask_matches(spark, sf_dir):
-    return reports.ask(search(corpora.documents(spark, sf_dir), "token", **WHOLE)).matches
+    return reports.ask(search(corpora.documents(spark, sf_dir, corpora.SUPPORTED), "token", **WHOLE)).matches
 
 
 def display_path(spark, sf_dir):
@@ -356,7 +356,7 @@ def _limited(spark, sf_dir):
 
 def coverage_query(spark, sf_dir):
     output = search(
-        corpora.documents(spark, sf_dir),
+        corpora.documents(spark, sf_dir, corpora.SUPPORTED),
         "license",
         globs=GLOBS,
         roots=ROOTS,
@@ -370,30 +370,31 @@ def coverage_limited(spark, sf_dir):
 
 
 def coverage_record(spark, sf_dir):
-    record = history.coverage_record(_limited(spark, sf_dir).summary())
+    output = _report_search(spark, sf_dir, "the", ["*.txt", "*"])
+    record = history.coverage_record(output.summary())
     return _flat(record.drop("seq", "timestamp"))
 
 
 def confidence(spark, sf_dir):
     files = list_corpus(
-        corpora.documents(spark, sf_dir), None, Limits.of(**ALL_FILES)
+        corpora.documents(spark, sf_dir, corpora.SUPPORTED), None, Limits.of(**ALL_FILES)
     ).files
     return coverage.confidence_by_root(files, predicates.LineMatcher("license"))
 
 
 def answer_query(spark, sf_dir):
-    found = search(corpora.documents(spark, sf_dir), "token", globs=["*.txt", "*"], **WHOLE).found
+    found = search(corpora.documents(spark, sf_dir, corpora.SUPPORTED), "token", globs=["*.txt", "*"], **WHOLE).found
     return answer(matching.redact_matches(found), "token")
 
 
 def answer_none(spark, sf_dir):
-    found = search(corpora.documents(spark, sf_dir), "no such phrase", **WHOLE).found
+    found = search(corpora.documents(spark, sf_dir, corpora.SUPPORTED), "no such phrase", **WHOLE).found
     return answer(found, "no such phrase")
 
 
 def _report_search(spark, sf_dir, query, globs=None):
     return search(
-        corpora.documents(spark, sf_dir),
+        corpora.documents(spark, sf_dir, corpora.SUPPORTED),
         query,
         globs=globs,
         roots=ROOTS,
@@ -415,7 +416,7 @@ def ask_report(spark, sf_dir):
 
 
 def render_coverage(spark, sf_dir):
-    summary = _limited(spark, sf_dir).summary()
+    summary = _report_search(spark, sf_dir, "the", ["*.txt", "*"]).summary()
     return summary.select(report.coverage_section(summary).alias("text"))
 
 

@@ -70,56 +70,40 @@ def hit_numbers(lines: Column, matches: Callable[[Column], Column]) -> Column:
     return F.array_compact(F.transform(lines, number))
 
 
-def hit_blocks(lines: Column, hits: Column, context_lines: int) -> Column:
-    """The hits in runs of ``BLOCK_HITS``, each with the lines that its snippets need and no others.
-
-    ``array<struct<place, hits, first_line, lines>>``; ``place`` counts the hits of earlier runs. All
-    runs together hold the text about once, so exploding them does not copy the text per hit.
-    """
-    reach = max(context_lines, 0)
-
-    def block(place: Column) -> Column:
-        behind = F.least(place + BLOCK_HITS, F.size(hits))
-        first = F.greatest(F.lit(1), F.get(hits, place) - reach)
-        last = F.least(F.size(lines), F.get(hits, behind - 1) + reach)
-        return F.struct(
-            place.alias("place"),
-            F.transform(F.sequence(place, behind - 1), lambda i: F.get(hits, i)).alias("hits"),
-            first.alias("first_line"),
-            F.transform(F.sequence(first, last), lambda n: F.get(lines, n - 1)).alias("lines"),
-        )
-
-    places = F.when(
-        F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1, F.lit(BLOCK_HITS))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, block)
-
-
 def explode_hits(
     df: DataFrame, matches: Callable[[Column], Column], context_lines: int, lines: str = "lines"
 ) -> DataFrame:
     """One row per matching line: the other columns, ``n_hits``, ``place`` (0-based), ``line_number``
-    and ``snippet``. Time and memory follow the text and the snippets; no row holds more than the
-    snippets of one run of hits.
+    and ``snippet``.
+
+    Hits leave their text in runs of ``BLOCK_HITS``, each with the lines that its snippets need and no
+    others. All runs together hold the text about once, so exploding them does not copy the text per
+    hit, and no row holds more than the snippets of one run.
     """
     keep = [c for c in df.columns if c != lines]
-    numbered = df.withColumn("_hits", hit_numbers(F.col(lines), matches))
+    reach = max(context_lines, 0)
+    numbered = df.withColumnRenamed(lines, "_lines").withColumn("_hits", hit_numbers(F.col("_lines"), matches))
+    places = f"sequence(0, size(_hits) - 1, {BLOCK_HITS})"
+    first = f"greatest(1, _hits[p] - {reach})"
+    last = f"least(size(_lines), _hits[least(p + {BLOCK_HITS}, size(_hits)) - 1] + {reach})"
+    run = f"""named_struct(
+        'place', p, 'hits', slice(_hits, p + 1, {BLOCK_HITS}),
+        'first_line', {first}, 'lines', slice(_lines, {first}, {last} - {first} + 1))"""
     runs = numbered.select(
         *keep,
         F.size("_hits").alias("n_hits"),
-        F.explode(hit_blocks(F.col(lines), F.col("_hits"), context_lines)).alias("_run"),
+        F.expr(f"explode(CASE WHEN size(_hits) > 0 THEN transform({places}, p -> {run}) END)").alias("_run"),
     )
-    run = F.col("_run")
     hits = F.transform(
-        run["hits"],
+        "_run.hits",
         lambda n: F.struct(
             n.alias("line_number"),
-            snippet(run["lines"], n, context_lines, run["first_line"]).alias("snippet"),
+            snippet(F.col("_run.lines"), n, context_lines, F.col("_run.first_line")).alias("snippet"),
         ),
     )
     return runs.select(
-        *keep, "n_hits", run["place"].alias("_place"), F.posexplode(hits).alias("_pos", "_hit")
-    ).select(*keep, "n_hits", (F.col("_place") + F.col("_pos")).alias("place"), "_hit.line_number", "_hit.snippet")
+        *keep, "n_hits", F.col("_run.place").alias("_place"), F.posexplode(hits).alias("_pos", "_hit")
+    ).select(*keep, "n_hits", F.expr("_place + _pos").alias("place"), "_hit.line_number", "_hit.snippet")
 
 
 def hit_count(lines: Column, matches: Callable[[Column], Column]) -> Column:

@@ -47,7 +47,9 @@ def find_cut(texts: DataFrame, matcher: LineMatcher, max_matches: int | None) ->
         return None
     times = F.col("n_hits").cast("bigint") * F.size("patterns")
     counted = with_hit_counts(texts.select("path", "patterns", *_text_columns(texts)), matcher)
-    found = counted.where(F.col("n_hits") > 0).select("path", times.alias("matches"))
+    # A filter would be moved below the counting and count once more.
+    some = F.filter(F.array(times), lambda n: n > 0)
+    found = counted.select("path", F.explode(some).alias("matches"))
     cut = cut_row(found, ["path"], "matches", max_matches)
     return None if cut is None else Cut(cut[0]["path"], max_matches - cut[1])
 

@@ -50,11 +50,9 @@ def cut_row(df: DataFrame, order: Sequence[str], weight: str, n: int) -> tuple[R
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in order]
-    dealt = checkpointed(
-        df.select(*keys, F.col(weight).cast("bigint").alias("_weight"))
-        .repartitionByRange(ranges, *keys)
-        .withColumn("_range", F.spark_partition_id())
-    )
+    # Stored before they are dealt, as finding the ranges reads them once more.
+    weighed = stored(df.select(*keys, F.col(weight).cast("bigint").alias("_weight")))
+    dealt = stored(weighed.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id()))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     of_range = (
         dealt.groupBy("_range").agg(F.sum("_weight").alias("_sum"))

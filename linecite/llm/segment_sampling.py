@@ -64,7 +64,7 @@ class Vocabulary:
 
     def __init__(self, model: str, alpha: float):
         loaded = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.bytes: list[bytes] = []
+        raws: list[bytes] = []
         self.byte_ids = np.zeros(256, np.int32)
         pieces: dict[str, int] = {}
         ranks = np.zeros(loaded.vocab_size())
@@ -77,8 +77,11 @@ class Vocabulary:
                 spelled = piece.replace("▁", " ")
                 raw = spelled.encode("utf-8")
                 pieces[spelled] = i
-            self.bytes.append(raw)
+            raws.append(raw)
             ranks[i] = i
+        #: The bytes of each piece.
+        self.bytes = np.empty(len(raws), object)
+        self.bytes[:] = raws
         share = 1.0 / (ranks + 10.0)
         self.logp = alpha * np.log(share / share.sum())
         self.byte_logp = float(self.logp.min())
@@ -147,7 +150,7 @@ class Lattice:
 
         at = np.arange(len(chars))
         nodes = np.zeros(len(chars), np.int64)
-        counts = np.zeros(len(chars), np.int64)  # edges per character so far
+        counts = np.zeros(len(chars), np.int32)  # edges per character so far
         found = []
         length = 0
         while len(at):
@@ -158,34 +161,37 @@ class Lattice:
             piece = vocab.piece_at[nodes]
             whole = piece >= 0
             begin = at[whole]
-            found.append((begin, np.full(len(begin), length), piece[whole], counts[begin]))
+            found.append((begin, length, piece[whole], counts[begin]))
             counts[begin] += 1
             if length == 1:  # characters that are no piece are spelled in bytes
                 rest = np.ones(len(chars), bool)
                 rest[begin] = False
                 begin = np.flatnonzero(rest)
-                found.append((begin, np.ones(len(begin), np.int64), -1 - chars[begin], counts[begin]))
+                found.append((begin, 1, -1 - chars[begin], counts[begin]))
                 counts[begin] += 1
             more = left[at] > length
             at, nodes = at[more], nodes[more]
-        at_edge = np.concatenate([[0], np.cumsum(counts)])
+        at_edge = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         n_edges = int(at_edge[-1])
-        start, size, self.piece = (np.empty(n_edges, np.int64) for _ in range(3))
+        size, self.piece = (np.empty(n_edges, np.int64) for _ in range(2))
         for begin, length_, piece, rank in found:
             place = at_edge[begin + 1] - 1 - rank  # longest first
-            start[place], size[place], self.piece[place] = begin, length_, piece
+            size[place], self.piece[place] = length_, piece
 
-        code = -1 - self.piece
         #: Ids per edge: one, or the bytes of a character.
-        self.n_ids = np.where(self.piece >= 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
-        logp = np.where(self.piece >= 0, vocab.logp[np.maximum(self.piece, 0)], vocab.byte_logp * self.n_ids)
+        self.n_ids = np.ones(n_edges, np.int64)
+        logp = vocab.logp[np.maximum(self.piece, 0)]
+        spelled_out = np.flatnonzero(self.piece < 0)
+        code = -1 - self.piece[spelled_out]
+        self.n_ids[spelled_out] += (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        logp[spelled_out] = vocab.byte_logp * self.n_ids[spelled_out]
         self.id_at = np.cumsum(self.n_ids) - self.n_ids
         self.ids = np.repeat(self.piece, self.n_ids).astype(np.int32)
-        for edge in np.flatnonzero(self.piece < 0):
-            spelled = chr(int(code[edge])).encode("utf-8", "surrogatepass")
+        for edge, own in zip(spelled_out.tolist(), code.tolist()):
+            spelled = chr(own).encode("utf-8", "surrogatepass")
             first = self.id_at[edge]
             self.ids[first : first + len(spelled)] = vocab.byte_ids[np.frombuffer(spelled, np.uint8)]
-        self.next = state[start] + size
+        self.next = np.repeat(state, counts) + size
         n_states = len(chars) + len(words)
         # From the ends of the words backwards: the log of the summed probabilities of all rests.
         beta = np.zeros(n_states)
@@ -427,8 +433,7 @@ class Sampler:
 
     def decode(self, ids) -> str:
         """The text of a row of pieces; bytes that are no text become replacement characters."""
-        table = self.vocab.bytes
-        joined = b"".join([table[i] for i in ids])
+        joined = b"".join(self.vocab.bytes[np.asarray(ids, np.int64)].tolist())
         return joined[1:].decode("utf-8", "replace") if joined[:1] == b" " else joined.decode("utf-8", "replace")
 
 
@@ -473,7 +478,7 @@ def encode_samples(
                         pa.array([len(x) for x in ids], pa.int32()),
                         pa.array([s.log_prob for *_, s, _ in flat], pa.float64()),
                         pa.array([s.log_inclusion for *_, s, _ in flat], pa.float64()),
-                        pa.array([sampler.decode(s.ids.tolist()) == (t or "") for *_, s, t in flat], pa.bool_()),
+                        pa.array([sampler.decode(s.ids) == (t or "") for *_, s, t in flat], pa.bool_()),
                     ],
                     ["doc_id", "sample", "ids", "n_ids", "log_prob", "log_inclusion", "round_trip"],
                 )

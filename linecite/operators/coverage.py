@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linecite.functions import paths
 from linecite.functions.predicates import LineMatcher
-from linecite.operators.listing import Listing, refusal
+from linecite.operators.listing import Listing
 from linecite.operators.matching import Cut, with_hit_counts
 from linecite.operators.topn import beside, first_rows, stored
 from linecite.settings import REPORTED_SKIPS, Limits
@@ -49,7 +49,7 @@ def match_counts(matches: DataFrame, max_matches: int | None) -> DataFrame:
 
 def _facts(corpus: DataFrame, matcher: LineMatcher, cut: Cut | None) -> DataFrame:
     """Counts and messages of each row of ``corpus``, in one pass over texts. Row-local."""
-    names = ["root", "path", "patterns", "reason", "refused", "error"]
+    names = ["path", "patterns", "reason", "refusal", "error"]
     text = ["n_hits"] if "n_hits" in corpus.columns else ["text"]
     counted = with_hit_counts(corpus.select(*names, *text), matcher)
     times = F.size("patterns").cast("bigint")
@@ -63,7 +63,7 @@ def _facts(corpus: DataFrame, matcher: LineMatcher, cut: Cut | None) -> DataFram
     hit = F.col("n_hits") > 0
     unread = F.col("error").isNotNull() & searched & reached
     message = (
-        F.when(F.col("refused"), refusal(F.col("root")))
+        F.when(F.col("refusal").isNotNull(), F.col("refusal"))
         .when(~searched & (times > 0), paths.skip_message(F.col("reason"), F.col("path")))
         .when(unread & (times > 0), F.col("error"))
     )
@@ -74,12 +74,12 @@ def _facts(corpus: DataFrame, matcher: LineMatcher, cut: Cut | None) -> DataFram
     return counted.select(
         number(times, searched).alias("scanned_files"),
         number(times, ~searched | unread).alias("skipped_total"),
-        F.col("refused").cast("bigint").alias("errors_total"),
+        F.col("refusal").isNotNull().cast("bigint").alias("errors_total"),
         number(matches, hit & searched).alias("total_matches"),
         number(occurrences, hit & searched).alias("matched_files"),
         number(F.lit(1), hit & searched & (occurrences > 0)).alias("cited_files"),
         F.when(message.isNotNull(), F.struct(
-            F.col("refused"), F.when(searched, F.lit(2)).otherwise(F.lit(0)).alias("phase"),
+            F.col("refusal").isNotNull().alias("refused"), F.when(searched, F.lit(2)).otherwise(F.lit(0)).alias("phase"),
             "path", "patterns", message.alias("message"),
         )).alias("said"),
     )

@@ -17,8 +17,8 @@ from linecite.settings import Limits
 class Listing:
     """The outcome of listing a corpus.
 
-    ``every``: the rows of the corpus plus ``ext``, ``kind``, ``refused`` (under a root that is not
-    allowed), ``reason`` (null for a file to search) and ``patterns``, the 0-based indexes of the globs
+    ``every``: the rows of the corpus plus ``ext``, ``kind``, ``refusal`` (why a row is an error: its root
+    is not allowed, or it is a folder that cannot be read), ``reason`` (null for a file to search) and ``patterns``, the 0-based indexes of the globs
     that selected it, empty for what was not; a file selected twice counts twice. ``last_path``: no file
     behind it was selected. ``limit_pattern``: the glob under which the file limit passed over further
     paths.
@@ -37,12 +37,12 @@ class Listing:
         if self.last_path is not None:
             # Says no more than the patterns do, in a form that reaches the scan.
             selected = selected.where(F.col("path") <= F.lit(self.last_path))
-        return selected.where(~F.col("refused")).where(F.size("patterns") > 0).drop("refused")
+        return selected.where(F.col("refusal").isNull()).where(F.size("patterns") > 0).drop("refusal")
 
     @property
     def errors(self) -> DataFrame:
-        """``path, message`` of rows under a root that is not allowed."""
-        return self.every.where(F.col("refused")).select("path", refusal(F.col("root")).alias("message"))
+        """``path, message`` of rows under a root that is not allowed, and of unreadable folders."""
+        return self.every.where(F.col("refusal").isNotNull()).select("path", F.col("refusal").alias("message"))
 
     @property
     def files(self) -> DataFrame:
@@ -106,10 +106,6 @@ class Listing:
         )
 
 
-def refusal(root: Column) -> Column:
-    return F.concat(F.lit("Root directory not allowed: "), root)
-
-
 def classify(candidates: DataFrame, globs: Sequence[str], limits: Limits) -> DataFrame:
     """Add ``ext``, ``kind``, ``reason`` (null: to be searched) and ``patterns``. Row-local."""
     named = candidates.withColumn("ext", paths.extension(F.col("path")))
@@ -132,19 +128,24 @@ def list_corpus(
     """List a corpus with columns ``root, path, length`` (more columns are kept).
 
     ``path`` is unique and lies below ``root``. A boolean column ``is_file``, if there is one,
-    marks the rows that are not directories.
+    marks the rows that are not directories, and a column ``unlisted`` says why a folder could not be
+    read.
     """
     globs = tuple(globs or ("*",))
     limits = limits or Limits()
-    refused = ~paths.is_root_allowed(F.col("root"), allowed_roots)
-    chosen = classify(corpus, globs, limits).withColumn("refused", F.coalesce(refused, F.lit(True)))
+    allowed = F.coalesce(paths.is_root_allowed(F.col("root"), allowed_roots), F.lit(False))
+    message = F.concat(F.lit("Root directory not allowed: "), F.coalesce("root", F.lit("")))
+    refusal = F.when(~allowed, message)
+    if "unlisted" in corpus.columns:
+        refusal = F.coalesce(refusal, F.col("unlisted"))
+    chosen = classify(corpus, globs, limits).withColumn("refusal", refusal).drop("unlisted")
     is_file = F.col("is_file") if "is_file" in corpus.columns else F.lit(True)
-    counted = F.when(is_file & ~F.col("refused"), F.col("patterns"))
+    counted = F.when(is_file & F.col("refusal").isNull(), F.col("patterns"))
     every = chosen.withColumn("patterns", F.coalesce(counted, F.array().cast("array<int>")))
     listing = Listing(every, globs, limits)
     if limits.max_files is None:
         return listing
-    return _limit_files(chosen.where(~F.col("refused")), listing, limits.max_files)
+    return _limit_files(chosen.where(F.col("refusal").isNull()), listing, limits.max_files)
 
 
 def _limit_files(chosen: DataFrame, listing: Listing, max_files: int) -> Listing:

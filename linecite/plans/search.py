@@ -82,7 +82,7 @@ class SearchOutput:
         return self.listing.skips.unionByName(read_skips(self.texts, self.cut))
 
     def errors(self) -> DataFrame:
-        """``path, message`` of all rows under a root that is not allowed."""
+        """``path, message`` of all rows under a root that is not allowed, and of unreadable folders."""
         return self.listing.errors
 
     def summary(self) -> DataFrame:
@@ -108,7 +108,7 @@ class SearchOutput:
 
 #: More matches than a file can have.
 _ALL = 1 << 62
-_CORPUS = ["root", "path", "kind", "patterns", "reason", "refused", "text", "error"]
+_CORPUS = ["path", "kind", "patterns", "reason", "refusal", "text", "error"]
 
 
 def _searched(corpus: DataFrame, last_path: str | None) -> DataFrame:
@@ -184,9 +184,10 @@ def search_directory(
         spark, root, globs, Limits.of(max_files, max_matches, max_file_bytes), allowed_roots
     )
     texts = directory_texts(listing, extractors).withColumns(
-        {"reason": F.lit(None).cast("string"), "refused": F.lit(False)}
+        {"reason": F.lit(None).cast("string"), "refusal": F.lit(None).cast("string")}
     )
-    others = listing.every.where(F.col("reason").isNotNull() & (F.size("patterns") > 0))
+    skipped = F.col("reason").isNotNull() & (F.size("patterns") > 0)
+    others = listing.every.where(skipped | F.col("refusal").isNotNull())
     others = others.withColumns({"text": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     output = SearchOutput(
         texts.select(*_CORPUS).unionByName(others.select(*_CORPUS)), listing, (resolve_root(root),), matcher,
@@ -213,7 +214,7 @@ def list_directory(
         raise ValueError(f"Root directory not allowed: {root}")
     globs = tuple(globs or ("*",))
     selected = matching_globs(F.col("root"), F.col("path"), globs)
-    names = directory_names(spark, resolved).where(F.size(selected) > 0)
+    names = directory_names(spark, resolved).where((F.size(selected) > 0) | F.col("unlisted").isNotNull())
     return list_corpus(checkpointed(with_sizes(names)), globs, limits)
 
 

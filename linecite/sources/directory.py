@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-NAME_SCHEMA = "root string, path string, is_file boolean"
-_NAMES = pa.schema([("root", pa.string()), ("path", pa.string()), ("is_file", pa.bool_())])
+NAME_SCHEMA = "root string, path string, is_file boolean, unlisted string"
+_NAMES = pa.schema(
+    [("root", pa.string()), ("path", pa.string()), ("is_file", pa.bool_()), ("unlisted", pa.string())]
+)
 _ROWS_PER_BATCH = 10_000
 #: One Arrow batch of contents closes at this size.
 _BATCH_BYTES = 64 * 1024 * 1024
@@ -34,13 +36,14 @@ class Subtree(InputPartition):
         self.recursive = recursive
 
 
-def _entries(folder: str) -> Iterator[os.DirEntry]:
-    """Entries one at a time, as a folder may hold very many. Unreadable ones are passed over."""
+def _entries(folder: str, failed: list[tuple[str, str]] | None = None) -> Iterator[os.DirEntry]:
+    """Entries one at a time, as a folder may hold very many. What cannot be read goes to ``failed``."""
     try:
         with os.scandir(folder) as entries:
             yield from entries
-    except OSError:
-        return
+    except OSError as problem:
+        if failed is not None:
+            failed.append((folder, f"Error listing {folder}: {problem.strerror or problem}"))
 
 
 def _is_folder(entry: os.DirEntry) -> bool:
@@ -74,8 +77,9 @@ class DirectoryReader(DataSourceReader):
         paths: list[str] = []
         are_files: list[bool] = []
         waiting = list(partition.folders)
+        failed: list[tuple[str, str]] = []
         while waiting:
-            for entry in _entries(waiting.pop()):
+            for entry in _entries(waiting.pop(), failed):
                 if partition.recursive and _is_folder(entry):
                     waiting.append(entry.path)
                 try:
@@ -91,12 +95,17 @@ class DirectoryReader(DataSourceReader):
                     paths, are_files = [], []
         if paths:
             yield self._batch(paths, are_files)
+        if failed:
+            yield self._batch([f for f, _ in failed], [False] * len(failed), [why for _, why in failed])
 
-    def _batch(self, paths: list[str], are_files: list[bool]) -> pa.RecordBatch:
+    def _batch(
+        self, paths: list[str], are_files: list[bool], unlisted: list[str] | None = None
+    ) -> pa.RecordBatch:
         columns = [
             pa.array([self.root] * len(paths), pa.string()),
             pa.array(paths, pa.string()),
             pa.array(are_files, pa.bool_()),
+            pa.array(unlisted or [None] * len(paths), pa.string()),
         ]
         return pa.RecordBatch.from_arrays(columns, schema=_NAMES)
 

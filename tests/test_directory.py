@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from linecite import UNLIMITED, Limits, directory_texts, list_directory, search_directory
 from linecite.operators.listing import list_corpus
+from linecite.plans import search as search_plan
+from linecite.sources import directory
 from linecite.sources.directory import (
     DirectoryReader,
     directory_names,
@@ -189,3 +191,25 @@ def test_listing_bytes_say_nothing_about_reading(spark, tmp_path):
         write(tmp_path, f"f{i}.txt", "x")
     files = read_bytes(list_directory(spark, str(tmp_path)).files, 16)
     assert files.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+
+
+def test_folders_that_cannot_be_read_are_error_rows(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("hit")
+    root = os.path.realpath(tmp_path)
+    gone, reader = f"{root}/gone", directory.DirectoryReader(root, 64)
+    # A folder that vanishes between its parent's listing and its own.
+    batches = list(reader.read(directory.Subtree([gone, f"{root}/in"], True)))
+    rows = [row for b in batches for row in b.to_pylist()]
+    assert [(r["path"], r["unlisted"]) for r in rows] == [
+        (f"{root}/in/a.txt", None), (gone, f"Error listing {gone}: No such file or directory"),
+    ]
+    names = spark.createDataFrame([tuple(r.values()) for r in rows], directory.NAME_SCHEMA)
+    listing = list_corpus(names.withColumn("length", F.lit(3).cast("bigint")))
+    assert [r["path"] for r in listing.files.collect()] == [f"{root}/in/a.txt"]
+    assert [tuple(r) for r in listing.errors.collect()] == [(gone, rows[1]["unlisted"])]
+    monkeypatch.setattr(search_plan, "list_directory", lambda *a, **b: listing)
+    output = search_directory(spark, root, "hit")
+    assert output.matches.count() == 1
+    summary = output.summary().first()
+    assert (summary["errors_total"], summary["errors"], summary["scanned_files"]) == (1, [rows[1]["unlisted"]], 1)

@@ -12,12 +12,14 @@ kind, the threshold is the lowest margin whose precision on held-out lines is at
 Candidates above it that touch no base span are added; where added ones overlap, the first kind stays.
 
 Null and empty texts have no spans. Rows are handled one by one, so repeated rows, null ids, empty
-tables and further columns need no care.
+tables and further columns need no care. The work on a text grows with its length and its spans:
+arrays are made in blocks, overlaps are found in one walk in order, and texts are cut from chunks.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,28 +58,84 @@ _HINTS = {
     "secret": lambda t: t.rlike(r"[A-Za-z0-9_+/=-]{16}"),
     "number": lambda t: t.rlike(r"[0-9][0-9 ()./-]{5}"),
 }
-_SPAN = "array<struct<start:int,end:int,value:string>>"
+_CONTEXT = 28
+_SPAN = "struct<start:int,end:int,value:string,before:string>"
+#: Items of a block of a walk.
+_BLOCK = 64
+#: Characters of a chunk that texts are cut from.
+_CHUNK = 512
+
+
+def _once(value: Column, body: Callable) -> Column:
+    """``body`` of a value that is made once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _walked(items: Column, item_type: str, start: Column, step: Callable) -> Column:
+    """An array made in one walk over ``items``.
+
+    ``step(state, item)`` gives the next state and the item to add, null for none. An aggregate copies
+    its state at every step, so an array must not grow in it with all items: one walk finds the states
+    in which blocks begin, and then each block grows its own array.
+    """
+
+    def ahead(state: Column, item: Column) -> Column:
+        return step(state, item)[0]
+
+    def begin(known: Column, block: Column) -> Column:
+        state = known["state"]
+        return F.struct(
+            F.aggregate(block, state, ahead).alias("state"), F.concat(known["begins"], F.array(state)).alias("begins")
+        )
+
+    def grow(block: Column, state: Column) -> Column:
+        def add(known: Column, item: Column) -> Column:
+            after, new = step(known["state"], item)
+            found = F.array_compact(F.array(new.cast(item_type)))
+            return F.struct(after.alias("state"), F.concat(known["out"], found).alias("out"))
+
+        none = F.array().cast(f"array<{item_type}>")
+        return F.aggregate(block, F.struct(state.alias("state"), none.alias("out")), add, lambda known: known["out"])
+
+    def all_blocks(blocks: Column) -> Column:
+        no_states = F.filter(F.array(start), lambda _: F.lit(False))
+        zero = F.struct(start.alias("state"), no_states.alias("begins"))
+        begins = F.aggregate(blocks, zero, begin, lambda known: known["begins"])
+        return F.flatten(F.zip_with(blocks, begins, grow))
+
+    def cut(items: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(_BLOCK)), lambda _: F.size(items) > 0)
+        return _once(F.transform(starts, lambda at: F.slice(items, at, _BLOCK)), all_blocks)
+
+    return _once(items, cut)
 
 
 def located(text: Column, kind: str) -> Column:
-    """The matches of a kind with their places in code points, ``array<struct<start,end,value>>``."""
+    """The matches of a kind with their places in code points and the characters before them.
+
+    ``array<struct<start,end,value,before>>``.
+    """
     pattern = F.lit(PATTERNS[kind])
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("between"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
     )
-    none = F.array().cast(_SPAN)
 
-    def step(state: Column, part: Column) -> Column:
+    def step(state: Column, part: Column) -> tuple[Column, Column]:
         start = state["at"] + F.length(part["between"])
-        end = start + F.coalesce(F.length(part["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), part["match"].alias("value"))
-        found = F.when(part["match"].isNotNull(), F.concat(state["found"], F.array(span)))
-        return F.struct(end.alias("at"), found.otherwise(state["found"]).alias("found"))
+        before = F.right(F.concat(state["before"], part["between"]), F.lit(_CONTEXT))
+        match = F.coalesce(part["match"], F.lit(""))
+        end = start + F.length(match)
+        span = F.struct(start.alias("start"), end.alias("end"), part["match"].alias("value"), before.alias("before"))
+        after = F.right(F.concat(before, match), F.lit(_CONTEXT))
+        return (
+            F.struct(end.alias("at"), after.alias("before")),
+            F.when(part["match"].isNotNull(), span),
+        )
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    spans = F.aggregate(parts, begin, step, lambda state: state["found"])
-    return F.when(_HINTS[kind](text), spans).otherwise(none)
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"))
+    spans = _walked(parts, _SPAN, begin, step)
+    return F.when(_HINTS[kind](text), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _digits(value: Column) -> Column:
@@ -114,17 +172,13 @@ def base_spans(text: Column, kind: str) -> Column:
 
 # ---- candidates -----------------------------------------------------------------------------
 
-_CONTEXT = 28
 _SECRET_WORDS = r"(?i)(?:token|secret|passw|api|key|auth|bearer|credential)"
 _CALL_WORDS = r"(?i)(?:tel|phone|call|fax|mobile|cell|contact|ssn|social)"
 
 
-def features(text: Column, span: Column, kind: str) -> Column:
+def features(span: Column, kind: str) -> Column:
     """``array<double>``: format and context of a candidate."""
-    value = span["value"]
-    before = F.substring(
-        text, F.greatest(span["start"] - _CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(_CONTEXT))
-    )
+    value, before = span["value"], span["before"]
     size = F.length(value)
     digits = F.length(_digits(value))
     letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
@@ -158,7 +212,7 @@ def with_candidates(text: Column, kind: str) -> Column:
     return F.transform(
         located(text, kind),
         lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), features(text, s, kind).alias("f")
+            s["start"].alias("start"), s["end"].alias("end"), features(s, kind).alias("f")
         ),
     )
 
@@ -290,8 +344,38 @@ def calibrated(margins: np.ndarray, labels: np.ndarray, precision: float = PRECI
 # ---- spans ----------------------------------------------------------------------------------
 
 
-def _touches(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+_PLACED = "struct<start:int,rank:int,end:int,kind:string>"
+
+
+def _last(rank: int) -> Column:
+    """A span behind all others, before which a walk gives what it still holds."""
+    end = F.lit((1 << 31) - 1)
+    return F.struct(end.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit("").alias("kind"))
+
+
+def _beside(taken: Column, fresh: Column, rank: int) -> Column:
+    """``taken`` in order, and those spans of ``fresh`` that touch none of it.
+
+    ``fresh`` has the given rank, higher than all of ``taken``, and its spans do not overlap each other.
+    So one walk in order is enough: a fresh span waits until the next one comes, and goes if it starts
+    inside what was taken before it or if something taken starts inside it.
+    """
+
+    def step(state: Column, span: Column) -> tuple[Column, Column]:
+        waiting, reach = state["waiting"], state["reach"]
+        is_fresh = span["rank"] == rank
+        hit = span["start"] < waiting["end"]
+        free = F.when(span["start"] >= reach, span)
+        next_state = F.struct(
+            F.when(is_fresh, free).otherwise(F.when(~F.coalesce(hit, F.lit(False)), waiting)).alias("waiting"),
+            F.when(is_fresh, reach).otherwise(F.greatest(reach, span["end"])).alias("reach"),
+        )
+        return next_state, F.when(is_fresh, waiting).otherwise(span)
+
+    begin = F.struct(F.lit(None).cast(_PLACED).alias("waiting"), F.lit(0).alias("reach"))
+    union = F.array_sort(F.concat(taken, fresh, F.array(_last(rank))))
+    merged = F.array_sort(_walked(union, _PLACED, begin, step))
+    return F.when(F.size(fresh) > 0, merged).otherwise(taken)
 
 
 def _placed(spans: Column, kind: str, rank: int) -> Column:
@@ -324,15 +408,10 @@ def with_spans(docs: DataFrame, model: PiiModel, keep: list[str]) -> DataFrame:
             >= F.lit(model.thresholds[kind]),
         )
         rows = rows.withColumn(f"_{kind}", _placed(scored, kind, len(BASE_KINDS) + i))
-    taken = F.col("_base")
-    for kind in ADDED_KINDS:
-        earlier = taken
-        fresh = F.filter(
-            F.col(f"_{kind}"), lambda c: ~F.exists(earlier, lambda b: _touches(c, b))
-        )
-        rows = rows.withColumn("_all" if kind == ADDED_KINDS[-1] else f"_to_{kind}", F.concat(earlier, fresh))
-        taken = F.col(f"_to_{kind}")
-    return rows.withColumn("_all", F.array_sort("_all"))
+    rows = rows.withColumn("_all", F.col("_base"))
+    for i, kind in enumerate(ADDED_KINDS):
+        rows = rows.withColumn("_all", _beside(F.col("_all"), F.col(f"_{kind}"), len(BASE_KINDS) + i))
+    return rows
 
 
 def _listed(spans: Column) -> Column:
@@ -355,6 +434,48 @@ def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
     )
 
 
+def _merged(spans: Column) -> Column:
+    """Overlapping spans as one, of the first one's kind; ``spans`` are in order."""
+
+    def step(state: Column, span: Column) -> tuple[Column, Column]:
+        run = state["run"]
+        inside = F.coalesce(span["start"] < run["end"], F.lit(False))
+        longer = F.struct(
+            run["start"].alias("start"), run["rank"].alias("rank"),
+            F.greatest(run["end"], span["end"]).alias("end"), run["kind"].alias("kind"),
+        )
+        return F.struct(F.when(inside, longer).otherwise(span).alias("run")), F.when(~inside, run)
+
+    begin = F.struct(F.lit(None).cast(_PLACED).alias("run"))
+    return _walked(F.concat(spans, F.array(_last(0))), _PLACED, begin, step)
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with its spans replaced by their kinds in brackets."""
+
+    def cut(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _CHUNK).cast("int")
+        count = F.floor((end - 1) / _CHUNK).cast("int") - first + 1
+        near = F.array_join(F.slice(chunks, first + 1, count), "")
+        return F.when(end > start, F.substring(near, start % _CHUNK + 1, end - start)).otherwise("")
+
+    def pieces(runs: Column, chunks: Column) -> Column:
+        shown = F.transform(
+            runs,
+            lambda run, i: F.concat(
+                cut(chunks, F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0), run["start"]),
+                F.lit("["), F.upper(run["kind"]), F.lit("]"),
+            ),
+        )
+        return F.concat(F.array_join(shown, ""), cut(chunks, F.get(runs, F.size(runs) - 1)["end"], F.length(text)))
+
+    whole = F.struct(
+        _merged(spans).alias("runs"),
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)).alias("chunks"),
+    )
+    return _once(whole, lambda once: pieces(once["runs"], once["chunks"]))
+
+
 def redact_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
     """``docs`` with each span of its ``text`` replaced by its kind in brackets.
 
@@ -364,22 +485,7 @@ def redact_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
     own = "_pii_row"
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own), "text")
     rows = with_spans(packed, model, [own])
-    text = F.col("_text")
-
-    def step(state: Column, s: Column) -> Column:
-        cut = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        added = F.concat(state["out"], cut, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] < state["at"], state["out"]).otherwise(added).alias("out"),
-        )
-
-    redacted = F.aggregate(
-        F.col("_all"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))),
-    )
+    redacted = _replaced(F.col("_text"), F.col("_all"))
     rows = rows.select(
         own, F.when(F.size("_all") > 0, redacted).otherwise(F.col(own)["text"]).alias("_new"), F.size("_all").alias("_n")
     )

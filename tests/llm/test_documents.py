@@ -183,6 +183,47 @@ def test_redaction(spark, pii_model):
     assert pii.find_pii(docs.limit(0), pii_model).collect() == []
 
 
+def test_spans_are_merged_like_by_a_plain_scan(spark):
+    pick = random.Random(11)
+
+    def disjoint(rank, kind):
+        ends = sorted(pick.sample(range(400), 2 * pick.randint(0, 30)))
+        return [(a, rank, b, kind) for a, b in zip(ends[::2], ends[1::2])]
+
+    rows = [(i, sorted(disjoint(0, "a") + disjoint(1, "b")), disjoint(2, "c")) for i in range(300)]
+    rows += [(300, [], []), (301, [], [(0, 2, 5, "c")]), (302, [(0, 0, 5, "a")], [(0, 2, 5, "c"), (5, 2, 6, "c")])]
+    spans = "array<struct<start:int,rank:int,end:int,kind:string>>"
+    df = spark.createDataFrame(rows, f"i int, taken {spans}, fresh {spans}")
+    found = df.select("i", pii._beside(df.taken, df.fresh, 2).alias("all"), pii._merged(df.taken).alias("runs"))
+    for r in found.collect():
+        _, taken, fresh = rows[r["i"]]
+        apart = [c for c in fresh if not any(c[0] < b[2] and b[0] < c[2] for b in taken)]
+        assert [tuple(s) for s in r["all"]] == sorted(taken + apart)
+        runs = []
+        for start, rank, end, kind in taken:
+            if runs and start < runs[-1][2]:
+                runs[-1][2] = max(runs[-1][2], end)
+            else:
+                runs.append([start, rank, end, kind])
+        assert [list(s) for s in r["runs"]] == runs
+
+
+def test_very_many_spans_of_one_text(spark, pii_model):
+    n = 50_000
+    lines = [f'é word u{i}@mail.co token = "4d44c79e8bf7c557{i:06}c4958dd60ed83d" and\n' for i in range(n)]
+    docs = spark.createDataFrame([(1, "".join(lines))], DOCS)
+    row = pii.find_pii(docs, pii_model).first()
+    spans = row["spans"].split(",")
+    assert row["n_email"] == n and len(spans) == 2 * n
+    at, wanted = 0, []
+    for i, line in enumerate(lines):
+        start = at + line.index('"') + 1
+        wanted += [f"email:{at + 7}:{at + 7 + len(f'u{i}@mail.co')}", f"secret:{start}:{start + 36}"]
+        at += len(line)
+    assert spans == wanted
+    assert pii.redact_pii(docs, pii_model).first()["text"] == 'é word [EMAIL] token = "[SECRET]" and\n' * n
+
+
 # ---- segmentation sampling ------------------------------------------------------------------
 
 

@@ -1,13 +1,17 @@
-"""Search history: an append-only table of coverage records."""
+"""Search history: a table of coverage records, added one by one and kept to the newest.
+
+Records of the same microsecond are told apart by their other columns, so "the newest" never depends on
+the order of files.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linecite.settings import HISTORY_ENTRIES, REPORTED_SKIPS
+from linecite.sources.history_files import HistoryFiles, Manifest
 
 _STRINGS = T.ArrayType(T.StringType())
 RECORD_SCHEMA = T.StructType(
@@ -37,35 +41,61 @@ def coverage_record(summary: DataFrame) -> DataFrame:
     return stamped.select(*[F.col(f.name).cast(f.dataType) for f in RECORD_SCHEMA])
 
 
-def save_coverage(summary: DataFrame, table_path: str) -> None:
-    """Append the record. Appends do not read, so concurrent searches lose nothing."""
-    coverage_record(summary).write.mode("append").parquet(table_path)
+def save_coverage(summary: DataFrame, table_path: str, compact_at: int = HISTORY_ENTRIES) -> None:
+    """Append the record, and compact once more than ``compact_at`` records lie beside the base.
+
+    Appends do not read, so concurrent searches lose nothing.
+    """
+    coverage_record(summary).coalesce(1).write.mode("append").parquet(table_path)
+    files = HistoryFiles(table_path)
+    if len(set(files.records()).difference(files.manifest().covered)) > compact_at:
+        compact_history(summary.sparkSession, table_path)
 
 
 def load_history(spark: SparkSession, table_path: str) -> DataFrame:
-    """All records; none if nothing was saved."""
-    try:
-        return spark.read.schema(RECORD_SCHEMA).parquet(table_path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """The retained records; none if nothing was saved.
+
+    The frame can be read until the compaction after the next one removes its files.
+    """
+    files = HistoryFiles(table_path)
+    return retained(_read(spark, files.live(files.manifest(), files.records())))
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    if not paths:
         return spark.createDataFrame([], RECORD_SCHEMA)
+    return spark.read.schema(RECORD_SCHEMA).parquet(*paths)
 
 
 def clear_history(spark: SparkSession, table_path: str) -> None:
     spark.createDataFrame([], RECORD_SCHEMA).write.mode("overwrite").parquet(table_path)
 
 
+def _newest_first() -> list:
+    ties = ["timestamp", "scanned_files", "matched_files", "roots", "globs", "skipped_files", "errors"]
+    return [F.col(c).desc() for c in ["seq", *ties]] + [F.array_sort(F.map_entries("limits_applied")).desc()]
+
+
 def retained(history: DataFrame, entries: int = HISTORY_ENTRIES) -> DataFrame:
     """The newest entries. Small top-k by ``seq``, not a ranking of the whole table."""
-    return history.orderBy(F.col("seq").desc()).limit(entries)
+    return history.orderBy(*_newest_first()).limit(entries)
 
 
-def compact_history(spark: SparkSession, table_path: str, new_path: str) -> None:
-    """Write the retained entries to a new table."""
-    retained(load_history(spark, table_path)).coalesce(1).write.mode("errorifexists").parquet(
-        new_path
-    )
+def compact_history(spark: SparkSession, table_path: str) -> None:
+    """Put the retained entries into one base file, in place.
+
+    The base is written first and counts once the manifest that names it is there; a run that is lost
+    on its way leaves the table as it was. Records saved meanwhile stay beside the base. Of several
+    compactions at once one counts, and the others' records stay live.
+    """
+    files = HistoryFiles(table_path)
+    # The manifest first: records that it covers may be gone when they are listed, others never are.
+    before = files.manifest()
+    records = files.records()
+    name, path = files.new_base(before.number + 1)
+    retained(_read(spark, files.live(before, records))).coalesce(1).write.parquet(path)
+    files.commit(Manifest(before.number + 1, name, tuple(records)))
+    files.remove_before(before)
 
 
 def last_coverage(history: DataFrame) -> DataFrame:

@@ -169,12 +169,59 @@ def test_saved_coverage_round_trips(spark, tmp_path):
     report = text(sources_report(history))
     assert report.startswith("## Last Search Coverage\n\n### Coverage Report\n")
     assert "(10 total)" in report and "more" not in report
-    h.compact_history(spark, table, str(tmp_path / "compacted"))
-    assert h.load_history(spark, str(tmp_path / "compacted")).count() == 2
+    h.compact_history(spark, table)
+    assert h.load_history(spark, table).collect() == history.collect()
     h.clear_history(spark, table)
     assert h.load_history(spark, table).count() == 0
 
 
+def summary_row(spark, i):
+    kind = "scanned_files long, matched_files long, skipped_files array<string>, errors array<string>"
+    df = spark.createDataFrame([(i, 1, [], [])], kind)
+    some = [F.array(F.lit("r")).alias("roots"), F.array(F.lit("*")).alias("globs")]
+    return df.select("*", *some, F.create_map(F.lit("max_files"), F.lit(5)).alias("limits_applied"))
+
+
+def test_history_stays_small_and_readable(spark, tmp_path):
+    table = tmp_path / "history"
+    frames, most = [], 0
+    for i in range(14):
+        h.save_coverage(summary_row(spark, i), str(table), compact_at=3)
+        frames.append(h.load_history(spark, str(table)))
+        assert [r["scanned_files"] for r in frames[-1].collect()] == list(range(i, -1, -1))
+        most = max(most, sum(p.suffix == ".parquet" for p in table.rglob("*")))
+    assert most <= 11  # two rounds of four, two bases, one that is being written
+    # Frames made before a compaction still read the same until the next but one.
+    assert [r["scanned_files"] for r in frames[10].collect()] == list(range(10, -1, -1))
+
+
+@pytest.mark.parametrize("lost", ["commit", "remove_before"])
+def test_a_lost_compaction_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch, lost):
+    table = f"file:{tmp_path}/history"
+    records(spark, [[str(i)] for i in range(60)]).repartition(7).write.parquet(table)
+    wanted = h.load_history(spark, table).collect()
+    assert [r["seq"] for r in wanted] == list(range(59, 9, -1))
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(h.HistoryFiles, lost, fail)
+        with pytest.raises(OSError):
+            h.compact_history(spark, table)
+    assert h.load_history(spark, table).collect() == wanted
+    h.save_coverage(summary_row(spark, 7), table)
+    h.compact_history(spark, table)
+    h.compact_history(spark, table)
+    assert [r["seq"] for r in h.load_history(spark, table).collect()][1:] == list(range(59, 10, -1))
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    tied = records(spark, [["a"], ["c"], ["b"]]).withColumns({"seq": F.lit(1).cast("long"), "timestamp": F.lit(None).cast("timestamp"), "scanned_files": F.lit(1).cast("long")})
+    for df in (tied, tied.orderBy("roots"), tied.orderBy(F.col("roots").desc())):
+        assert h.last_coverage(df).first()["roots"] == ["c"]
+
+
 def test_retention_keeps_the_newest_fifty(spark):
     kept = h.retained(records(spark, [["r"]] * 53))
     assert sorted(r["seq"] for r in kept.collect()) == list(range(3, 53))

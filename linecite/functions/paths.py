@@ -137,6 +137,14 @@ def is_root_allowed(root: Column, allowed: Sequence[str]) -> Column:
     return test
 
 
+def is_below_any(path: Column, bases: Sequence[str]) -> Column:
+    """True for paths that begin with one of the bases and a slash; a scan can prune by it."""
+    test = F.lit(False)
+    for base in bases:
+        test = test | F.startswith(path, F.lit(base.rstrip("/") + "/"))
+    return test
+
+
 def display_path(path: Column, base: str) -> Column:
     """The path without a leading ``base`` and the slashes that follow it."""
     rest = F.regexp_replace(F.substr(path, F.lit(len(base) + 1)), r"\A[/\\]+", "")

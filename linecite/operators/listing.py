@@ -29,16 +29,26 @@ class Listing:
     limits: Limits
     last_path: str | None = None
     limit_pattern: int | None = None
+    allowed_roots: tuple[str, ...] = ()
 
     @property
     def rows(self) -> DataFrame:
         """Selected files, those that are skipped included."""
-        selected = self.every
-        if self.last_path is not None:
-            # Says no more than the patterns do, in a form that reaches the scan.
-            selected = selected.where(F.col("path") <= F.lit(self.last_path))
+        selected = self.pruned(self.every)
         return selected.where(F.col("refusal").isNull()).where(F.size("patterns") > 0).drop("refusal")
 
+    def pruned(self, rows: DataFrame) -> DataFrame:
+        """``rows`` without some that are not selected.
+
+        Says no more than ``refusal`` and ``patterns`` do, in a form that reaches the scan: a table
+        stored in path order is read below the allowed roots only, and up to the last path.
+        """
+        if self.last_path is not None:
+            rows = rows.where(F.col("path") <= F.lit(self.last_path))
+        if self.allowed_roots:
+            rows = rows.where(paths.is_below_any(F.col("path"), self.allowed_roots))
+        return rows
+
     @property
     def errors(self) -> DataFrame:
         """``path, message`` of rows under a root that is not allowed, and of unreadable folders."""
@@ -142,7 +152,7 @@ def list_corpus(
     is_file = F.col("is_file") if "is_file" in corpus.columns else F.lit(True)
     counted = F.when(is_file & F.col("refusal").isNull(), F.col("patterns"))
     every = chosen.withColumn("patterns", F.coalesce(counted, F.array().cast("array<int>")))
-    listing = Listing(every, globs, limits)
+    listing = Listing(every, globs, limits, allowed_roots=tuple(allowed_roots))
     if limits.max_files is None:
         return listing
     return _limit_files(chosen.where(F.col("refusal").isNull()), listing, limits.max_files)

@@ -55,7 +55,8 @@ class SearchOutput:
     @property
     def texts(self) -> DataFrame:
         """The files that are searched."""
-        return _searched(self.corpus, self.listing.last_path)
+        searched = self.listing.pruned(self.corpus).where(F.col("reason").isNull())
+        return searched.where(F.size("patterns") > 0)
 
     @property
     def found(self) -> DataFrame:
@@ -111,12 +112,6 @@ _ALL = 1 << 62
 _CORPUS = ["path", "kind", "patterns", "reason", "refusal", "text", "error"]
 
 
-def _searched(corpus: DataFrame, last_path: str | None) -> DataFrame:
-    if last_path is not None:
-        corpus = corpus.where(F.col("path") <= F.lit(last_path))
-    return corpus.where(F.col("reason").isNull()).where(F.size("patterns") > 0)
-
-
 def _without_unsearched(corpus: DataFrame) -> DataFrame:
     """Texts that are not searched are not looked at."""
     if "n_hits" in corpus.columns:

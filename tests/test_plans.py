@@ -88,6 +88,24 @@ def test_a_file_limit_prunes_the_scan_by_path(stored):
     assert output.matches.count() == 100
 
 
+def test_an_allowlist_prunes_the_scan_by_path(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    spark.range(4000).select(
+        F.format_string("r%d/sub/%05d.txt", F.col("id") % 40, "id").alias("path"),
+        F.format_string("r%d/sub", F.col("id") % 40).alias("root"),
+        F.lit("the text").alias("text"),
+    ).repartitionByRange(8, "path").sortWithinPartitions("path").write.parquet(path)
+    corpus = table_corpus(spark.read.parquet(path), "path", "text", "root")
+    output = search(corpus, "the", allowed_roots=["r3", "r11/sub/", "r2/su"])
+    found = output.matches
+    assert "StringStartsWith(path,r3/)" in plan(found) and "StringStartsWith(path,r11/sub/)" in plan(found)
+    assert {r["file_path"].split("/")[0] for r in found.collect()} == {"r3", "r11"}
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < 2000
+    summary = output.summary().first()
+    assert (summary["scanned_files"], summary["errors_total"]) == (200, 3800)
+
+
 def test_counting_needs_no_distinct(stored):
     shown = plan(match_counts(search(stored, "the", **WHOLE).found, None))
     assert "distinct" not in shown.lower()

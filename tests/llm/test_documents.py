@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linecite.llm import decontaminate, pii, segment_sampling, simhash, warc
@@ -379,3 +380,36 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in docs.collect()} == set(after)
     assert {(r["doc_id"], r["text"]) for r in segment_sampling.decode_samples(docs).collect()} == set(after.items())
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+ODD_DOCS = [
+    (1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (3, "same words in here", "en", "s", 18, "x"),
+    (3, "same words in here", "en", "s", 18, "x"), (4, "same words in here", None, "s", 18, None),
+    (None, "no id, mail a@b.co", "en", None, 18, "x"), (5, "very long text with a word " * 8000, "en", "s", 216_000, "x"),
+]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_rows(spark, tmp_path, empty):
+    """Null columns, empty and very long texts, repeated rows, empty tables, columns of clashing names."""
+    folder = str(tmp_path / "tables")
+    clashing = "_text string"
+    docs = spark.createDataFrame(ODD_DOCS, f"doc_id long, text string, lang string, source string, n_chars long, {clashing}")
+    docs = docs.withColumns({c: F.lit(1) for c in ("fp", "component_id", "kept_id", "score", "_all", "sample")})
+    docs = docs.limit(0) if empty else docs
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {"quality classifier": 7, "simhash near-dedup": 4, "benchmark decontamination": 4, "pii": 4}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        path = f"{folder}/{name.replace(' ', '-')}"
+        out.write.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        if name in kept:
+            assert docs.columns == before.columns
+            assert docs.count() == (0 if empty else kept[name]), name
+    if not empty:
+        texts = {r["doc_id"]: r["text"] for r in segment_sampling.decode_samples(docs).collect()}
+        assert texts[None] == "no id, mail [EMAIL]" and texts[5] == ODD_DOCS[-1][1]

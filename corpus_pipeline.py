@@ -1,7 +1,12 @@
 """From raw documents to tokens: filter, deduplicate, decontaminate, redact, encode.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame that is written as Parquet and read
-again as the next one's documents. All but the last keep the columns of documents.
+again as the next one's documents. All but the last keep the columns of documents, whatever their
+names, and null values in them.
+
+Null texts count as empty ones and stay null; texts of any length are taken whole. Rows that repeat an
+id stay once after the SimHash stage, rows without an id all stay. Without labels no document is
+rejected, without benchmark items none is dropped, and empty documents give an empty result.
 """
 
 from __future__ import annotations

@@ -80,30 +80,56 @@ def explode_hits(
     others. All runs together hold the text about once, so exploding them does not copy the text per
     hit, and no row holds more than the snippets of one run.
     """
-    keep = [c for c in df.columns if c != lines]
+    return explode_runs(hit_runs(df, matches, context_lines, lines), context_lines)
+
+
+def hit_runs(
+    df: DataFrame,
+    matches: Callable[[Column], Column],
+    context_lines: int,
+    lines: str = "lines",
+    around: tuple[str, str] | None = None,
+    outer: bool = False,
+) -> DataFrame:
+    """One row per run of hits: the other columns, ``n_hits`` and ``run``. With ``outer``, a row of a null
+    run for texts without hits.
+
+    ``around`` names arrays of lines before and after ``lines``, which snippets show and which are
+    neither hits nor counted by ``line_number``.
+    """
+    keep = [c for c in df.columns if c not in (lines, *(around or ()))]
     reach = max(context_lines, 0)
-    numbered = df.withColumnRenamed(lines, "_lines").withColumn("_hits", hit_numbers(F.col("_lines"), matches))
+    own, every, ahead = hit_numbers(F.col(lines), matches), F.col(lines), F.lit(0)
+    if around is not None:
+        ahead = F.size(around[0])
+        own = F.transform(own, lambda n: n + ahead)
+        every = F.concat(F.col(around[0]), F.col(lines), F.col(around[1]))
+    numbered = df.select(*keep, every.alias("_lines"), own.alias("_hits"), ahead.alias("_ahead"))
     places = f"sequence(0, size(_hits) - 1, {BLOCK_HITS})"
     first = f"greatest(1, _hits[p] - {reach})"
     last = f"least(size(_lines), _hits[least(p + {BLOCK_HITS}, size(_hits)) - 1] + {reach})"
     run = f"""named_struct(
-        'place', p, 'hits', slice(_hits, p + 1, {BLOCK_HITS}),
+        'place', p, 'ahead', _ahead, 'hits', slice(_hits, p + 1, {BLOCK_HITS}),
         'first_line', {first}, 'lines', slice(_lines, {first}, {last} - {first} + 1))"""
-    runs = numbered.select(
-        *keep,
-        F.size("_hits").alias("n_hits"),
-        F.expr(f"explode(CASE WHEN size(_hits) > 0 THEN transform({places}, p -> {run}) END)").alias("_run"),
+    runs = F.expr(f"CASE WHEN size(_hits) > 0 THEN transform({places}, p -> {run}) END")
+    return numbered.select(
+        *keep, F.size("_hits").alias("n_hits"), (F.explode_outer if outer else F.explode)(runs).alias("run")
     )
+
+
+def explode_runs(runs: DataFrame, context_lines: int) -> DataFrame:
+    """The hits of ``hit_runs``, a row each: ``place``, ``line_number`` and ``snippet`` instead of ``run``."""
+    keep = [c for c in runs.columns if c != "run"]
     hits = F.transform(
-        "_run.hits",
+        "run.hits",
         lambda n: F.struct(
-            n.alias("line_number"),
-            snippet(F.col("_run.lines"), n, context_lines, F.col("_run.first_line")).alias("snippet"),
+            (n - F.col("run.ahead")).alias("line_number"),
+            snippet(F.col("run.lines"), n, context_lines, F.col("run.first_line")).alias("snippet"),
         ),
     )
-    return runs.select(
-        *keep, "n_hits", F.col("_run.place").alias("_place"), F.posexplode(hits).alias("_pos", "_hit")
-    ).select(*keep, "n_hits", F.expr("_place + _pos").alias("place"), "_hit.line_number", "_hit.snippet")
+    return runs.select(*keep, F.col("run.place").alias("_place"), F.posexplode(hits).alias("_pos", "_hit")).select(
+        *keep, F.expr("_place + _pos").alias("place"), "_hit.line_number", "_hit.snippet"
+    )
 
 
 def hit_count(lines: Column, matches: Callable[[Column], Column]) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linecite.functions.lines import explode_hits, hit_count, with_lines
+from linecite.functions.lines import explode_hits, explode_runs, hit_count, hit_runs, with_lines
 from linecite.functions.paths import location
 from linecite.functions.predicates import LineMatcher
 from linecite.functions.redaction import redact
@@ -75,6 +75,11 @@ def match_lines(
     found = explode_hits(
         with_lines(matching.select("path", "kind", "patterns", "text")).drop("text"), matcher.line, context_lines
     )
+    return _citations(found, cut)
+
+
+def _citations(found: DataFrame, cut: Cut | None) -> DataFrame:
+    """Hits, numbered inside their file, as ``match_lines`` gives them."""
     occurrence = F.explode(F.sequence(F.lit(1), F.size("patterns"))).alias("occurrence")
     found = found.select("path", "kind", "n_hits", "place", "line_number", "snippet", occurrence)
     if cut is not None:
@@ -93,6 +98,68 @@ def match_lines(
     )
 
 
+def chunk_runs(chunks: DataFrame, matcher: LineMatcher, context_lines: int) -> DataFrame:
+    """Chunks of files to runs of hits beside ``n_hits``; a row without a run for a chunk without hits.
+
+    Row-local. No row holds a chunk's text: what leaves is what snippets need. Texts that cannot match are
+    not split.
+    """
+    lined = chunks.withColumn("text", F.when(matcher.document(F.col("text")), F.col("text")))
+    for text, lines in _CHUNK_LINES.items():
+        lined = with_lines(lined, text, lines).drop(text)
+    runs = hit_runs(
+        lined, matcher.line, context_lines, around=("lines_ahead", "lines_behind"), outer=True
+    )
+    return runs.withColumn("n_hits", F.coalesce("n_hits", F.lit(0)).cast("bigint"))
+
+
+_CHUNK_LINES = {"text": "lines", "before": "lines_ahead", "after": "lines_behind"}
+
+
+def _once_a_chunk(runs: DataFrame) -> DataFrame:
+    return runs.where(F.col("run").isNull() | (F.col("run.place") == 0))
+
+
+def chunked_files(runs: DataFrame) -> DataFrame:
+    """``path, kind, patterns, n_hits, error`` of the files that ``chunk_runs`` come from.
+
+    A file with a chunk that cannot be read has an error and no hits.
+    """
+    error = F.min("error")
+    hits = F.when(error.isNull(), F.sum("n_hits")).otherwise(F.lit(0))
+    return _once_a_chunk(runs).groupBy("path", "kind", "patterns").agg(
+        hits.cast("bigint").alias("n_hits"), error.alias("error")
+    )
+
+
+def match_chunks(runs: DataFrame, context_lines: int, cut: Cut | None = None) -> DataFrame:
+    """``match_lines`` for files in chunks, from ``chunk_runs``.
+
+    Numbers inside a file follow from counts alone, a narrow row per chunk; runs meet them by file and
+    chunk, so that one long file is not one task.
+    """
+    if cut is not None:
+        runs = runs.where(F.col("path") <= F.lit(cut.path))
+    of_file = Window.partitionBy("path")
+    earlier = of_file.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = _once_a_chunk(runs).select(
+        "path",
+        "chunk",
+        F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)).alias("lines_before"),
+        F.coalesce(F.sum("n_hits").over(earlier), F.lit(0)).alias("hits_before"),
+        F.sum("n_hits").over(of_file).alias("file_hits"),
+        F.min("error").over(of_file).alias("failed"),
+    )
+    matching = runs.where(F.col("run").isNotNull()).select("path", "kind", "patterns", "chunk", "run")
+    placed = matching.join(counts.where(F.col("failed").isNull()).drop("failed"), ["path", "chunk"])
+    inside = {
+        "n_hits": F.col("file_hits"),
+        "place": F.col("place") + F.col("hits_before"),
+        "line_number": (F.col("line_number") + F.col("lines_before")).cast("int"),
+    }
+    return _citations(explode_runs(placed, context_lines).withColumns(inside), cut)
+
+
 def result_order() -> list[Column]:
     """The order in which matches are shown. Document locations sort as text: 10 before 2."""
     return [

@@ -17,7 +17,10 @@ from linecite.operators.listing import Listing, list_corpus
 from linecite.operators.matching import (
     MATCH_COLUMNS,
     Cut,
+    chunk_runs,
+    chunked_files,
     find_cut,
+    match_chunks,
     match_lines,
     read_skips,
     redact_matches,
@@ -26,6 +29,7 @@ from linecite.operators.matching import (
 )
 from linecite.operators.topn import checkpointed, stored
 from linecite.settings import DEFAULT_CONTEXT_LINES, Limits
+from linecite.sources.chunks import CHUNK_BYTES, read_chunks
 from linecite.sources.directory import (
     directory_names,
     reading_tasks,
@@ -40,7 +44,8 @@ class SearchOutput:
     """A search. ``corpus`` has the rows of ``listing.every`` with ``text`` and ``error``.
 
     ``cut`` says where the match limit falls. ``redacted`` removes secrets from snippets; ``answers``
-    also hides line numbers, as answers do.
+    also hides line numbers, as answers do. ``chunks`` holds the runs of hits of files too long for
+    one row, whose rows in ``corpus`` have counts only.
     """
 
     corpus: DataFrame
@@ -51,6 +56,7 @@ class SearchOutput:
     cut: Cut | None = None
     redacted: bool = False
     answers: bool = False
+    chunks: DataFrame | None = None
 
     @property
     def texts(self) -> DataFrame:
@@ -65,6 +71,8 @@ class SearchOutput:
 
     def _found(self, cut: Cut | None) -> DataFrame:
         found = match_lines(self.texts, self.matcher, self.context_lines, cut)
+        if self.chunks is not None:
+            found = found.unionByName(match_chunks(self.chunks, self.context_lines, cut))
         if self.answers:
             return redact_matches(found)
         return found.withColumn("snippet", redact(F.col("snippet"))) if self.redacted else found
@@ -104,6 +112,8 @@ class SearchOutput:
         """The same search, its corpus read once and stored: paths, kinds, errors, the number of hits,
         and the texts that have any. Matches, counts and reports are then made of that.
         """
+        if "n_hits" in self.corpus.columns:
+            return self
         return replace(self, corpus=stored(with_hit_counts(_without_unsearched(self.corpus), self.matcher)))
 
 
@@ -168,19 +178,23 @@ def search_directory(
     allowed_roots: Sequence[str] = (),
     redact_snippets: bool = False,
     extractors: Mapping[str, Extractor] = EXTRACTORS,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> SearchOutput:
     """Search a directory tree that every executor mounts.
 
-    Files are read now, once: what matches, counts and reports need is stored. To search one tree many times, write ``directory_texts(...)`` to a table and use ``search``.
+    Files are read now, once: what matches, counts and reports need is stored. Plain-text files longer
+    than ``chunk_bytes`` are read in chunks of that size, of any number; only a single line must fit in
+    a value. To search one tree many times, write ``directory_texts(...)`` to a table and use ``search``.
     """
     matcher = LineMatcher(query, case_sensitive, regex)
     check_regex(spark, matcher)
     listing = list_directory(
         spark, root, globs, Limits.of(max_files, max_matches, max_file_bytes), allowed_roots
     )
-    texts = directory_texts(listing, extractors).withColumns(
-        {"reason": F.lit(None).cast("string"), "refusal": F.lit(None).cast("string")}
-    )
+    is_long = F.coalesce((F.col("kind") == "text") & (F.col("length") > chunk_bytes), F.lit(False))
+    short, long = listing.files.where(~is_long), listing.files.where(is_long)
+    searched = {"reason": F.lit(None).cast("string"), "refusal": F.lit(None).cast("string")}
+    texts = corpus_texts(short, reading_tasks(short), extractors).withColumns(searched)
     skipped = F.col("reason").isNotNull() & (F.size("patterns") > 0)
     others = listing.every.where(skipped | F.col("refusal").isNotNull())
     others = others.withColumns({"text": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
@@ -188,6 +202,11 @@ def search_directory(
         texts.select(*_CORPUS).unionByName(others.select(*_CORPUS)), listing, (resolve_root(root),), matcher,
         context_lines, redacted=redact_snippets,
     ).computed()
+    if not long.isEmpty():
+        columns = long.select("path", "kind", "patterns", "length")
+        chunks = stored(chunk_runs(read_chunks(columns, context_lines, chunk_bytes), matcher, context_lines))
+        counts = chunked_files(chunks).withColumns({**searched, "text": F.lit(None).cast("string")})
+        output = replace(output, corpus=output.corpus.unionByName(counts), chunks=chunks)
     return replace(output, cut=find_cut(output.texts, matcher, listing.limits.max_matches))
 
 

@@ -99,7 +99,7 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names.
 
     In local mode without such a folder a temporary one is set; a cluster must name one.
@@ -117,7 +117,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into the checkpoint folder."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -125,6 +125,6 @@ def stored(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into a table in the checkpoint folder, of which later reads take the
     columns they need. The table stays there until the folder is cleared.
     """
-    path = f"{_shared_folder(df.sparkSession)}/linecite-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/linecite-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,6 +24,8 @@ _NAMES = pa.schema(
 _ROWS_PER_BATCH = 10_000
 #: One Arrow batch of contents closes at this size.
 _BATCH_BYTES = 64 * 1024 * 1024
+#: What a value can hold.
+_VALUE_BYTES = (1 << 31) - 64
 #: Bytes of file content per reading task.
 _TASK_BYTES = 256 * 1024 * 1024
 
@@ -214,6 +216,9 @@ def read_file(path: str) -> tuple[bytes | None, str | None]:
     """The whole file, or what went wrong."""
     try:
         with open(path, "rb") as file:
+            size = os.fstat(file.fileno()).st_size
+            if size > _VALUE_BYTES:
+                return None, f"{size} bytes do not fit in one value"
             return file.read(), None
     except OSError as problem:
         return None, str(problem)

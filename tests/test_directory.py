@@ -155,6 +155,12 @@ def test_unreadable_file_is_an_error_row(spark, tmp_path):
     assert rows["gone.txt"]["content"] is None and "No such file" in rows["gone.txt"]["error"]
 
 
+def test_a_file_too_long_for_a_value_is_an_error_row(tmp_path):
+    write(tmp_path, "a.docx", "")
+    os.truncate(tmp_path / "a.docx", 3 << 30)  # takes no disk
+    assert directory.read_file(str(tmp_path / "a.docx")) == (None, "3221225472 bytes do not fit in one value")
+
+
 def test_files_that_vanish_before_their_size_is_known_are_skips(spark, tmp_path):
     write(tmp_path, "a.txt", "x")
     write(tmp_path, "b.txt", "x")

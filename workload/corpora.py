@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from linecite import table_corpus
 from linecite.functions.paths import extension, kind
+from linecite.operators.topn import shared_folder
 from linecite.sources.tables import spread
 
 # By doc_id % 7: every branch of the type checks gets files, in both spellings of case.
@@ -55,6 +58,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_corpus(table(spark, sf_dir, "pages"), path, "html", F.lit("web"))
 
 
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    """``documents`` as long text files in the shared folder, a file per task, each text ended by a line feed."""
+    folder = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("text").write.text(folder)
+    place = urlparse(folder)
+    if place.scheme not in ("", "file"):
+        raise ValueError("a tree needs a shared folder that every executor mounts")
+    return place.path
+
+
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as UTF-8 bytes: ``path, ext, kind, content``."""
     corpus = documents(spark, sf_dir).withColumn("ext", extension(F.col("path")))

@@ -298,6 +298,8 @@ ORACLES: dict[str, str] = {
     "search_context": f"""WITH {DOCS}, {line_source("docs")}
       SELECT path AS file_path, c::INT AS context, n::INT AS number, {snippet("c")} AS snippet
       FROM numbered, (VALUES (0), (1), (5), (20)) v(c) WHERE {literal("license")}""",
+    "search_chunks": f"""WITH {DOCS}, {line_source("docs")}
+      SELECT line, count(*) AS n FROM numbered WHERE {literal("the")} GROUP BY line""",
     "search_limit": f"{matches(literal('the'), ALL, limit=2000)} {MATCH}",
     "result_order": f"""{matches(literal("the"), ALL, limit=1500)}
       SELECT file_path, location, i::INT AS position FROM found""",

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecite import UNLIMITED, Limits, list_corpus, search
+from linecite import UNLIMITED, Limits, list_corpus, search, search_directory
 from linecite.functions import paths, predicates, validation
 from linecite.functions.lines import explode_lines, with_lines
 from linecite.functions.redaction import redact
@@ -79,6 +79,15 @@ def search_context(spark, sf_dir):
     return reduce(DataFrame.unionByName, found)
 
 
+def search_chunks(spark, sf_dir):
+    """All documents as a tree of long files, searched in chunks: each matching line and how often it is there."""
+    output = search_directory(
+        spark, corpora.tree(spark, sf_dir), "the", globs=["**/*.txt"], context_lines=0,
+        chunk_bytes=1 << 18, **WHOLE,
+    )
+    return output.matches.groupBy(F.col("snippet").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def search_limit(spark, sf_dir):
     return search(corpora.documents(spark, sf_dir, corpora.SUPPORTED), "the", max_matches=2000, **ALL_FILES).matches
 
@@ -450,6 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_turns": search_turns,
     "search_pages": search_pages,
     "search_context": search_context,
+    "search_chunks": search_chunks,
     "search_limit": search_limit,
     "result_order": result_order,
     "location_label": location_label,

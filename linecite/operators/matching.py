@@ -116,42 +116,48 @@ def chunk_runs(chunks: DataFrame, matcher: LineMatcher, context_lines: int) -> D
 _CHUNK_LINES = {"text": "lines", "before": "lines_ahead", "after": "lines_behind"}
 
 
-def _once_a_chunk(runs: DataFrame) -> DataFrame:
-    return runs.where(F.col("run").isNull() | (F.col("run.place") == 0))
+def chunk_counts(runs: DataFrame) -> DataFrame:
+    """A narrow row per chunk of ``chunk_runs``: the lines and hits of its file before it, the hits of the
+    file, and ``failed``, what is wrong with the file.
+    """
+    of_file = Window.partitionBy("path")
+    earlier = of_file.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    once = runs.where(F.col("run").isNull() | (F.col("run.place") == 0))
+    return once.select(
+        "path",
+        "kind",
+        "patterns",
+        "chunk",
+        F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)).alias("lines_before"),
+        F.coalesce(F.sum("n_hits").over(earlier), F.lit(0)).alias("hits_before"),
+        F.sum("n_hits").over(of_file).alias("file_hits"),
+        F.min("error").over(of_file).alias("failed"),
+    )
 
 
-def chunked_files(runs: DataFrame) -> DataFrame:
-    """``path, kind, patterns, n_hits, error`` of the files that ``chunk_runs`` come from.
+def chunked_files(counts: DataFrame) -> DataFrame:
+    """``path, kind, patterns, n_hits, error`` of the files that ``chunk_counts`` speaks of.
 
     A file with a chunk that cannot be read has an error and no hits.
     """
-    error = F.min("error")
-    hits = F.when(error.isNull(), F.sum("n_hits")).otherwise(F.lit(0))
-    return _once_a_chunk(runs).groupBy("path", "kind", "patterns").agg(
-        hits.cast("bigint").alias("n_hits"), error.alias("error")
-    )
+    hits = F.when(F.col("failed").isNull(), F.col("file_hits")).otherwise(F.lit(0)).cast("bigint")
+    first = counts.where(F.col("chunk") == 0)
+    return first.select("path", "kind", "patterns", hits.alias("n_hits"), F.col("failed").alias("error"))
 
 
-def match_chunks(runs: DataFrame, context_lines: int, cut: Cut | None = None) -> DataFrame:
-    """``match_lines`` for files in chunks, from ``chunk_runs``.
+def match_chunks(
+    runs: DataFrame, counts: DataFrame, context_lines: int, cut: Cut | None = None
+) -> DataFrame:
+    """``match_lines`` for files in chunks, from ``chunk_runs`` and ``chunk_counts``.
 
-    Numbers inside a file follow from counts alone, a narrow row per chunk; runs meet them by file and
-    chunk, so that one long file is not one task.
+    Numbers inside a file follow from counts, which runs meet by file and chunk, so that one long file is
+    not one task. Stored counts have a known size: Spark sends them to the runs while they are small.
     """
     if cut is not None:
         runs = runs.where(F.col("path") <= F.lit(cut.path))
-    of_file = Window.partitionBy("path")
-    earlier = of_file.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = _once_a_chunk(runs).select(
-        "path",
-        "chunk",
-        F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)).alias("lines_before"),
-        F.coalesce(F.sum("n_hits").over(earlier), F.lit(0)).alias("hits_before"),
-        F.sum("n_hits").over(of_file).alias("file_hits"),
-        F.min("error").over(of_file).alias("failed"),
-    )
+    read = counts.where(F.col("failed").isNull()).drop("failed", "kind", "patterns")
     matching = runs.where(F.col("run").isNotNull()).select("path", "kind", "patterns", "chunk", "run")
-    placed = matching.join(counts.where(F.col("failed").isNull()).drop("failed"), ["path", "chunk"])
+    placed = matching.join(read, ["path", "chunk"])
     inside = {
         "n_hits": F.col("file_hits"),
         "place": F.col("place") + F.col("hits_before"),

@@ -17,6 +17,7 @@ from linecite.operators.listing import Listing, list_corpus
 from linecite.operators.matching import (
     MATCH_COLUMNS,
     Cut,
+    chunk_counts,
     chunk_runs,
     chunked_files,
     find_cut,
@@ -45,7 +46,7 @@ class SearchOutput:
 
     ``cut`` says where the match limit falls. ``redacted`` removes secrets from snippets; ``answers``
     also hides line numbers, as answers do. ``chunks`` holds the runs of hits of files too long for
-    one row, whose rows in ``corpus`` have counts only.
+    one row, and the counts of their chunks; rows of ``corpus`` have no text of them.
     """
 
     corpus: DataFrame
@@ -56,7 +57,7 @@ class SearchOutput:
     cut: Cut | None = None
     redacted: bool = False
     answers: bool = False
-    chunks: DataFrame | None = None
+    chunks: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def texts(self) -> DataFrame:
@@ -72,7 +73,7 @@ class SearchOutput:
     def _found(self, cut: Cut | None) -> DataFrame:
         found = match_lines(self.texts, self.matcher, self.context_lines, cut)
         if self.chunks is not None:
-            found = found.unionByName(match_chunks(self.chunks, self.context_lines, cut))
+            found = found.unionByName(match_chunks(*self.chunks, self.context_lines, cut))
         if self.answers:
             return redact_matches(found)
         return found.withColumn("snippet", redact(F.col("snippet"))) if self.redacted else found
@@ -204,9 +205,10 @@ def search_directory(
     ).computed()
     if not long.isEmpty():
         columns = long.select("path", "kind", "patterns", "length")
-        chunks = stored(chunk_runs(read_chunks(columns, context_lines, chunk_bytes), matcher, context_lines))
-        counts = chunked_files(chunks).withColumns({**searched, "text": F.lit(None).cast("string")})
-        output = replace(output, corpus=output.corpus.unionByName(counts), chunks=chunks)
+        runs = stored(chunk_runs(read_chunks(columns, context_lines, chunk_bytes), matcher, context_lines))
+        counts = stored(chunk_counts(runs))
+        files = chunked_files(counts).withColumns({**searched, "text": F.lit(None).cast("string")})
+        output = replace(output, corpus=output.corpus.unionByName(files), chunks=(runs, counts))
     return replace(output, cut=find_cut(output.texts, matcher, listing.limits.max_matches))
 
 

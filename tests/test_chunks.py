@@ -8,7 +8,7 @@ import pytest
 
 from linecite import ask_report, search_directory, search_report
 from linecite.functions.predicates import LineMatcher
-from linecite.operators.matching import chunk_runs, chunked_files, match_chunks
+from linecite.operators.matching import chunk_counts, chunk_runs, chunked_files, match_chunks
 from linecite.sources.chunks import LONGEST_BYTES, line_starts, read_chunk, read_chunks
 from tests.files import write
 
@@ -81,7 +81,7 @@ def test_searches_in_chunks_equal_searches_of_whole_files(spark, tmp_path, optio
     write(tmp_path, "empty.txt", "")
     whole = search_directory(spark, str(tmp_path), "needle", **{"globs": ["**/*"], **options})
     cut = search_directory(spark, str(tmp_path), "needle", **{"globs": ["**/*"], **options}, chunk_bytes=70)
-    assert whole.chunks is None and cut.chunks.select("path").distinct().count() == 5
+    assert whole.chunks is None and cut.chunks[0].select("path").distinct().count() == 5
     assert len(rows(whole.ordered())) > 20
     assert rows(cut.ordered()) == rows(whole.ordered())
     assert rows(cut.summary()) == rows(whole.summary())
@@ -101,9 +101,10 @@ def test_a_file_with_an_unreadable_chunk_is_one_skip(spark, tmp_path):
     files = [(str(tmp_path / "a.txt"), "text", [0], 350), (str(tmp_path / "gone.txt"), "text", [0], 90)]
     listed = spark.createDataFrame(files, "path string, kind string, patterns array<int>, length bigint")
     matcher = LineMatcher("needle", False, False)
-    chunks = chunk_runs(read_chunks(listed, 1, 40), matcher, 1)
-    assert chunks.count() == 12
-    found = {r["path"]: (r["n_hits"], r["error"]) for r in chunked_files(chunks).collect()}
+    runs = chunk_runs(read_chunks(listed, 1, 40), matcher, 1)
+    counts = chunk_counts(runs)
+    assert counts.count() == 12
+    found = {r["path"]: (r["n_hits"], r["error"]) for r in chunked_files(counts).collect()}
     assert found[files[0][0]] == (50, None)
     assert found[files[1][0]][0] == 0 and "No such file" in found[files[1][0]][1]
-    assert match_chunks(chunks, 1).count() == 50
+    assert match_chunks(runs, counts, 1).count() == 50

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -132,6 +133,27 @@ def test_prefixes_of_long_repeats():
     assert shared.max() == 29_995
 
 
+def test_memory_of_a_shard():
+    """Workers of an executor sort a shard each: it must take little beside the JVM's heap."""
+    pick = np.random.default_rng(6)
+    base = pick.integers(97, 101, 100_000).astype(np.uint8)
+    copies = []
+    for _ in range(4):
+        copies.append(base.copy())
+        copies[-1][pick.integers(0, len(base), 300)] = 65
+    data = np.concatenate(copies).tobytes()
+    rows = [(data[i : i + 584], 185, 1) for i in range(0, len(data) - 584, 584)]
+    tracemalloc.start()
+    try:
+        repeated, _, text = suffix_dedup.shard_windows(rows, suffix_dedup.LENGTH)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 0 < repeated.sum() < len(repeated)
+    assert most < 60 * len(text)
+    assert most / len(text) * suffix_dedup.SHARD_BYTES < 100e6
+
+
 # ---- SimHash --------------------------------------------------------------------------------
 
 

@@ -29,3 +29,14 @@ def test_query(spark, connection, name):
 
 def test_entry(spark):
     assert contract.entry(spark).columns == ["file_path", "location", "snippet", "line_number"]
+
+
+def test_coverage_searches_every_text_and_reports_skips(spark, tmp_path):
+    rows = [(i, "a license\nb", "en", "src0") for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["coverage"](spark, str(tmp_path)).first()
+    # Texts and notes are under two globs each.
+    assert (found["scanned_files"], found["total_matches"], found["cited_files"]) == (18, 18, 14)
+    assert found["skipped_total"] == 2
+    assert found["skipped_files"] == "|".join(f"Unsupported file type: src0/en/{i}.xyz" for i in (12, 5))

@@ -10,7 +10,7 @@ from urllib.parse import urlparse
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecite import table_corpus
@@ -37,13 +37,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(scan, *_KEYS[name]) if name in _KEYS else scan
 
 
-def documents(spark: SparkSession, sf_dir: str, extensions=EXTENSIONS) -> DataFrame:
-    """``documents``: root = source, path = source/lang/doc_id + extension."""
-    suffix = F.element_at(
+def _suffix(extensions) -> Column:
+    return F.element_at(
         F.array(*[F.lit(e) for e in extensions]), (F.col("doc_id") % 7 + 1).cast("int")
     )
+
+
+def _named(docs: DataFrame, suffix: Column) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), suffix))
-    return table_corpus(table(spark, sf_dir, "documents"), path, "text", "source")
+    return table_corpus(docs, path, "text", "source")
+
+
+def documents(spark: SparkSession, sf_dir: str, extensions=EXTENSIONS) -> DataFrame:
+    """``documents``: root = source, path = source/lang/doc_id + extension."""
+    return _named(table(spark, sf_dir, "documents"), _suffix(extensions))
+
+
+def documents_and_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under names that are searched, and beside them those that ``documents`` gives a
+    type that is not: no text is passed over, and there are skips to report."""
+    both = F.array_distinct(F.array(_suffix(SUPPORTED), _suffix(EXTENSIONS)))
+    docs = table(spark, sf_dir, "documents").withColumn("suffix", F.explode(both))
+    return _named(docs, F.col("suffix"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

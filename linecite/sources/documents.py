@@ -7,7 +7,6 @@ import zipfile
 from collections.abc import Callable, Iterator, Mapping
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,9 @@ from linecite.sources.directory import read_bytes, read_file
 
 #: Bytes of a document to its text.
 Extractor = Callable[[bytes], str]
+#: Rows, and characters of text, that leave a worker at a time, about.
+SLICE_ROWS = 256
+SLICE_CHARACTERS = 1 << 20
 
 # Names in the WordprocessingML format.
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -94,24 +96,29 @@ def _schema(df: DataFrame, kept: list[str]) -> str:
 def extract_documents(df: DataFrame, extractors: Mapping[str, Extractor] = EXTRACTORS) -> DataFrame:
     """``content binary`` of ``kind`` docx or pdf to ``text`` and ``error``; one row in, one out.
 
-    A missing decoder or a bad file gives an error, never an exception.
+    A missing decoder or a bad file gives an error, never an exception. Documents are taken from an
+    Arrow batch one by one and their texts leave in short runs, so that memory beside the batch is
+    that of one document and a run, however many rows a batch has.
     """
     kept = [c for c in df.columns if c not in ("content", "text", "error")]
     extractors = dict(extractors)
 
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            results = [
-                _extract(extractors, *row)
-                for row in zip(frame["kind"], frame["content"], frame["error"])
-            ]
-            out = frame[kept].copy()
-            out["text"] = pd.Series([r[0] for r in results], dtype=object, index=out.index)
-            out["error"] = pd.Series([r[1] for r in results], dtype=object, index=out.index)
-            yield out
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(kept)
+            given = [batch.column(c) for c in ("kind", "content", "error")]
+            start, results, size = 0, [], 0
+            for i in range(batch.num_rows):
+                results.append(_extract(extractors, *(column[i].as_py() for column in given)))
+                size += len(results[-1][0] or "")
+                if size >= SLICE_CHARACTERS or len(results) == SLICE_ROWS or i + 1 == batch.num_rows:
+                    texts, errors = (pa.array(list(c), pa.string()) for c in zip(*results))
+                    columns = rows.slice(start, len(results)).columns
+                    start, results, size = i + 1, [], 0
+                    yield pa.RecordBatch.from_arrays([*columns, texts, errors], names=[*kept, "text", "error"])
 
     source = df if "error" in df.columns else df.withColumn("error", F.lit(None).cast("string"))
-    return source.select(*kept, "content", "error").mapInPandas(extract, _schema(df, kept))
+    return source.select(*kept, "content", "error").mapInArrow(extract, _schema(df, kept))
 
 
 def read_documents(

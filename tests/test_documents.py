@@ -7,7 +7,7 @@ import pytest
 
 from linecite import UNLIMITED
 from linecite.sources.csv_rows import cell, csv_rows, csv_summary
-from linecite.sources.documents import docx_text, join_pages, read_text_file
+from linecite.sources.documents import docx_text, extract_documents, join_pages, read_text_file
 from workload.corpora import docx_bytes, docx_package
 
 
@@ -41,6 +41,23 @@ def test_a_bad_page_is_left_out():
     assert join_pages(iter([lambda: "a", broken, lambda: "b"])) == "a\nb\n"
 
 
+def test_extracted_texts_leave_in_short_runs(spark):
+    """A worker must not hold all texts of an Arrow batch: here 300 of a million characters."""
+
+    def long_text(content):
+        import resource
+
+        return f"{resource.getrusage(resource.RUSAGE_SELF).ru_maxrss} ".ljust(1_000_000, "x")
+
+    files = spark.range(300).coalesce(1).selectExpr("id", "'pdf' AS kind", "CAST('%' AS BINARY) AS content")
+    found = extract_documents(files, {"pdf": long_text}).selectExpr(
+        "id", "length(text) AS size", "CAST(substring_index(text, ' ', 1) AS LONG) AS kib", "error"
+    )
+    rows = found.orderBy("id").collect()
+    assert [(r["id"], r["size"], r["error"]) for r in rows] == [(i, 1_000_000, None) for i in range(300)]
+    assert max(r["kib"] for r in rows) - min(r["kib"] for r in rows) < 100_000
+
+
 def test_read_text_file(spark, tmp_path):
     names = []
     for name, content in {"a.txt": b"abc\r\n", "b.txt": b"abcdef"}.items():

@@ -9,13 +9,14 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecite import table_corpus
 from linecite.functions.paths import extension, kind
 from linecite.operators.topn import shared_folder
+from linecite.sources.documents import SLICE_ROWS
 from linecite.sources.tables import spread
 
 # By doc_id % 7: every branch of the type checks gets files, in both spellings of case.
@@ -116,12 +117,17 @@ def docx_package(body: str) -> bytes:
 def as_docx(df: DataFrame) -> DataFrame:
     """Turn ``content`` (UTF-8 text) into word-processing bytes, a paragraph per line."""
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [bytes(c).decode("utf-8").split("\n") for c in frame["content"]]
-            yield frame.assign(content=[docx_bytes(t) for t in texts])
+    at = df.columns.index("content")
 
-    return df.mapInPandas(pack, df.schema)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(start, SLICE_ROWS)
+                packed = [docx_bytes(bytes(c.as_py()).decode("utf-8").split("\n")) for c in rows.column(at)]
+                columns = [*rows.columns[:at], pa.array(packed, pa.binary()), *rows.columns[at + 1 :]]
+                yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names)
+
+    return df.mapInArrow(pack, df.schema)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

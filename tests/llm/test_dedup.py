@@ -13,6 +13,7 @@ import xxhash
 
 from linecite.llm import simhash, suffix_dedup, vector_dedup
 from linecite.llm.components import connected_components
+from linecite.llm.queries import LLM_QUERIES
 
 DOCS = "doc_id long, text string"
 
@@ -99,6 +100,20 @@ def test_suffix_removal_over_many_shards(spark, monkeypatch, shard_segments):
     assert {r["doc_id"]: w for r, w in zip(rows, wanted)} == {r[0]: tuple(r)[1:5] for r in found}
 
 
+def test_suffix_removal_query_names_the_remaining_text(spark, tmp_path):
+    pick = random.Random(8)
+    own = [" ".join("".join(pick.choice("abcdé") for _ in range(5)) for _ in range(90)) for _ in range(7)]
+    passage = own.pop()
+    assert len(passage.encode()) > suffix_dedup.LENGTH and len(passage.split()) > 50
+    texts = [f"{t}{i}\n{passage}\n{i}{t[:20]}" if i < 3 else t for i, t in enumerate(own)] + [None]
+    spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = LLM_QUERIES["op2_suffix_dedup"](spark, str(tmp_path)).collect()
+    got = {r["doc_id"]: (r["text"], r["n_removed"] > 0, r["n_bytes"]) for r in rows}
+    # The line breaks around the passage repeat with it.
+    wanted = [f"{t}{i}{i}{t[:20]}" if i < 3 else t for i, t in enumerate(own)] + [""]
+    assert got == {i: (w, i < 3, len((t or "").encode())) for i, (w, t) in enumerate(zip(wanted, texts))}
+
+
 def shared_prefix(a, b):
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
